@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from sparkloom.llm import mixing
+from sparkloom.llm import mixing, quality
 
 
 def queries() -> dict:
     return {
+        "op6_quality": quality.op6_quality,
         "op8_mixing": mixing.op8_mixing,
     }
 
