@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from sparkloom.llm import mixing, quality
+from sparkloom.llm import mixing, quality, secrets
 
 
 def queries() -> dict:
     return {
+        "op5_secrets": secrets.op5_secrets,
         "op6_quality": quality.op6_quality,
         "op8_mixing": mixing.op8_mixing,
     }
@@ -14,5 +15,6 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op5_secrets": secrets.scan_sql(),
         "op8_mixing": mixing.mix_sql(),
     }
