@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from sparkloom.llm import mixing, quality, secrets
+from sparkloom.llm import mixing, packing, quality, secrets
 
 
 def queries() -> dict:
     return {
+        "op4_packing": packing.op4_packing,
         "op5_secrets": secrets.op5_secrets,
         "op6_quality": quality.op6_quality,
         "op8_mixing": mixing.op8_mixing,
