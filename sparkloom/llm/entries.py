@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparkloom.llm import mixing, packing, quality, secrets
+from sparkloom.llm import language, mixing, packing, quality, secrets
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op5_secrets": secrets.op5_secrets,
         "op6_quality": quality.op6_quality,
         "op8_mixing": mixing.op8_mixing,
+        "op10_language": language.op10_language,
     }
 
 
