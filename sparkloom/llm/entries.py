@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from sparkloom.llm import language, mixing, packing, quality, secrets
+from sparkloom.llm import language, mixing, packing, quality, secrets, simhash
 
 
 def queries() -> dict:
     return {
+        "op1_simhash": simhash.op1_simhash,
         "op4_packing": packing.op4_packing,
         "op5_secrets": secrets.op5_secrets,
         "op6_quality": quality.op6_quality,
