@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparkloom.llm import language, mixing, packing, quality, secrets, simhash
+from sparkloom.llm import embedding_dedup, language, mixing, packing, quality, secrets, simhash
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op5_secrets": secrets.op5_secrets,
         "op6_quality": quality.op6_quality,
         "op8_mixing": mixing.op8_mixing,
+        "op9_embeddings": embedding_dedup.op9_embeddings,
         "op10_language": language.op10_language,
     }
 
