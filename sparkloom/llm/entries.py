@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from sparkloom.llm import embedding_dedup, language, mixing, packing, quality, secrets, simhash
+from sparkloom.llm import embedding_dedup, language, line_dedup, mixing, packing, quality, secrets, simhash
 
 
 def queries() -> dict:
     return {
         "op1_simhash": simhash.op1_simhash,
+        "op2_lines": line_dedup.op2_lines,
         "op4_packing": packing.op4_packing,
         "op5_secrets": secrets.op5_secrets,
         "op6_quality": quality.op6_quality,
@@ -19,6 +20,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_lines": line_dedup.dedup_sql(),
         "op5_secrets": secrets.scan_sql(),
         "op8_mixing": mixing.mix_sql(),
     }
