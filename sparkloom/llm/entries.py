@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from sparkloom.llm import embedding_dedup, language, line_dedup, mixing, packing, quality, secrets, simhash
+from sparkloom.llm import embedding_dedup, html_extraction, language, line_dedup, mixing, packing, quality, secrets, simhash
 
 
 def queries() -> dict:
     return {
         "op1_simhash": simhash.op1_simhash,
         "op2_lines": line_dedup.op2_lines,
+        "op3_html": html_extraction.op3_html,
         "op4_packing": packing.op4_packing,
         "op5_secrets": secrets.op5_secrets,
         "op6_quality": quality.op6_quality,
