@@ -59,3 +59,8 @@ def words_of(text: Column) -> Column:
 def digits_key(text: Column) -> Column:
     """60-bit non-negative ordering key from md5, the same number in any SQL engine."""
     return F.conv(F.substring(F.md5(F.coalesce(text, F.lit("null"))), 1, 15), 16, 10).cast("long")
+
+
+def numbered(docs: DataFrame, column: str = "_row") -> DataFrame:
+    """``docs`` written down with a number that is unique to each row and stays the same when read again."""
+    return cut(docs.withColumn(column, F.monotonically_increasing_id()))

@@ -21,7 +21,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import cut, digits_key, table, words_of
+from sparkloom.llm.common import cut, digits_key, numbered, table, words_of
 
 
 def source_targets(sizes: DataFrame, cap: int = 3) -> DataFrame:
@@ -53,10 +53,16 @@ def source_targets(sizes: DataFrame, cap: int = 3) -> DataFrame:
         F.when(F.col("capped"), (cap * F.col("source_size")).cast("double")).otherwise(F.col("weight") * level / left).alias("target"))
 
 
-def mix(docs: DataFrame, cap: int = 3) -> DataFrame:
-    """Per document: doc_id, source, size, source_size, target, taken, position (null where nothing is taken)."""
+def _position(share, slope):
+    """Where the integrated schedule t + slope * (t * t - t) reaches a share of the demand."""
+    return 2 * share / ((1 - slope) + F.sqrt((1 - slope) * (1 - slope) + 4 * slope * share))
+
+
+def mix(docs: DataFrame, cap: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Per document: doc_id, the kept columns, source, size, source_size, target, taken, position (null where nothing is
+    taken), and start, demand and slope, from which positions of further passes follow."""
     sized = cut(docs.select(
-        "doc_id", "source", F.size(words_of(F.col("text"))).cast("long").alias("size"),
+        "doc_id", *keep, "source", F.size(words_of(F.col("text"))).cast("long").alias("size"),
         digits_key(F.col("doc_id").cast("string")).alias("key")))
     n = sized.count()
     bits = max(0, math.ceil(math.log2(max(n, 1)) / 2))
@@ -78,8 +84,21 @@ def mix(docs: DataFrame, cap: int = 3) -> DataFrame:
     share = (F.col("start") + F.least(F.col("size"), F.col("taken")) / F.lit(2.0)) / F.col("demand")
     return placed.withColumn("taken", taken).withColumn("demand", demand.cast("double")).withColumn("slope", slope).withColumn(
         "share", F.when(F.col("taken") > 0, share)).select(
-        "doc_id", "source", "size", "source_size", "target", "taken",
-        (2 * F.col("share") / ((1 - F.col("slope")) + F.sqrt((1 - F.col("slope")) * (1 - F.col("slope")) + 4 * F.col("slope") * F.col("share")))).alias("position"))
+        "doc_id", *keep, "source", "size", "source_size", "target", "taken",
+        _position(F.col("share"), F.col("slope")).alias("position"), "start", "demand", "slope")
+
+
+def mixed_documents(docs: DataFrame, cap: int = 3) -> DataFrame:
+    """``docs`` as the mix takes them, in training order: whole documents, as often as the taken words round to.
+
+    At most one document a source is rounded; documents without words are not taken.
+    """
+    rows = numbered(docs)
+    mixed = mix(rows, cap, ("_row",)).where("taken > 0").withColumn("copies", F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")).where("copies > 0")
+    passes = mixed.withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    share = F.least(F.lit(1.0), (F.col("start") + F.col("pass") * F.col("source_size") + F.col("size") / F.lit(2.0)) / F.col("demand"))
+    placed = passes.select("_row", _position(share, F.col("slope")).alias("_position"))
+    return rows.join(placed, "_row").orderBy("_position", "_row").drop("_row", "_position")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

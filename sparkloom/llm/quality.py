@@ -55,17 +55,18 @@ def _repeat_words(words: Column) -> Column:
     return F.when(F.size(words) < WINDOW + 1, F.lit(0).cast("long")).otherwise(let(hashes, of))
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """Base statistics of every document, by its whole text."""
+def statistics(docs: DataFrame, *keep: Column) -> DataFrame:
+    """The kept columns and the base statistics of every document, by its whole text."""
     text = F.coalesce(F.col("text"), F.lit(""))
+    kept = docs.select(*keep).columns
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, WHITE_CHARS, "")) > 0)
     return docs.select(
-        "doc_id", "lang", "source",
+        *keep, "lang", "source",
         let(words_of(text), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), _repeat_words(w).alias("n_repeat_words"))).alias("w"),
         F.length(F.translate(text, WHITE_CHARS, "")).cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), F.size(F.array_distinct(x)).cast("long").alias("d"))).alias("l"),
-    ).select("doc_id", "lang", "source", "w.n_words", "word_chars", "n_symbols", (F.col("l.n") - F.col("l.d")).alias("n_dup_lines"),
+    ).select(*kept, "lang", "source", "w.n_words", "word_chars", "n_symbols", (F.col("l.n") - F.col("l.d")).alias("n_dup_lines"),
              "w.n_repeat_words", F.col("l.n").alias("n_lines"))
 
 
@@ -157,23 +158,43 @@ def _step(rows: DataFrame, estimate: DataFrame) -> DataFrame:
     return kept.groupBy(*GROUP).agg(F.max("n").alias("n"), *(F.sum(c).alias(c) for c in MOMENTS))
 
 
-def judge(docs: DataFrame) -> DataFrame:
-    """Statistics, base_failed, distance2 (null where the base rules decide or no estimate exists) and kept per document."""
-    stats = cut(_transformed(statistics(docs)).withColumn("base_failed", base_failed()))
+NAMES = [*(f"m{j}" for j in range(P)), *(f"r{j}{k}" for k in range(P) for j in range(k, P))]
+
+
+def estimates(stats: DataFrame) -> tuple[DataFrame, dict | None]:
+    """Robust estimates by group (one row each), and the pooled one of all groups (None without rows)."""
     rows = stats.where(~F.col("base_failed")).select(*GROUP, *(f"x{j}" for j in range(P)))
     estimate = cut(_quartile_start(rows))
     for _ in range(STEPS):
         moments = cut(_step(rows, estimate))
         estimate = _estimate(moments, [*GROUP, "n"])
     pooled = _estimate(moments.groupBy().agg(*(F.sum(c).alias(c) for c in MOMENTS)).where(F.col("s") > 0), []).collect()  # one row
-    names = [*(f"m{j}" for j in range(P)), *(f"r{j}{k}" for k in range(P) for j in range(k, P))]
-    own = estimate.where(F.col("n") >= SMALL).select(*(F.col(g).alias(f"e_{g}") for g in GROUP), *(F.col(c).alias(f"own_{c}") for c in names))
+    own = estimate.where(F.col("n") >= SMALL).select(*(F.col(g).alias(f"e_{g}") for g in GROUP), *(F.col(c).alias(f"own_{c}") for c in NAMES))
+    return cut(own), pooled[0].asDict() if pooled else None
+
+
+def verdicts(stats: DataFrame, own: DataFrame, pooled: dict | None) -> DataFrame:
+    """Adds distance2 (null where the base rules decide or no estimate exists) and kept."""
     joined = stats.join(own, stats["lang"].eqNullSafe(own["e_lang"]) & stats["source"].eqNullSafe(own["e_source"]), "left")
-    joined = joined.withColumns({c: F.coalesce(F.col(f"own_{c}"), F.lit(pooled[0][c] if pooled else None).cast("double")) for c in names})
+    joined = joined.withColumns({c: F.coalesce(F.col(f"own_{c}"), F.lit(pooled[c] if pooled else None).cast("double")) for c in NAMES})
     return joined.withColumn("distance2", F.when(~F.col("base_failed"), distance())).withColumn(
-        "kept", ~F.col("base_failed") & (F.coalesce(F.col("distance2"), F.lit(0.0)) <= LIMIT)).select(
+        "kept", ~F.col("base_failed") & (F.coalesce(F.col("distance2"), F.lit(0.0)) <= LIMIT))
+
+
+def judge(docs: DataFrame) -> DataFrame:
+    """Statistics, base_failed, kept and distance2 per document."""
+    stats = cut(_transformed(statistics(docs, F.col("doc_id"))).withColumn("base_failed", base_failed()))
+    return verdicts(stats, *estimates(stats)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance2")
 
 
+def keep_good(docs: DataFrame) -> DataFrame:
+    """``docs`` without the rejected rows. Statistics are taken twice rather than texts being shuffled."""
+    stats = cut(_transformed(statistics(docs)).withColumn("base_failed", base_failed()).select(*GROUP, "base_failed", *(f"x{j}" for j in range(P))))
+    own, pooled = estimates(stats)
+    whole = _transformed(statistics(docs, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"))).withColumn("base_failed", base_failed())
+    return verdicts(whole, own, pooled).where("kept").select("_doc.*")
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"))

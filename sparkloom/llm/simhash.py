@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from sparkloom.llm.common import cut, table
+from sparkloom.llm.common import cut, numbered, table
 from sparkloom.llm.components import components
 
 SEED = 42
@@ -188,16 +188,24 @@ def links(distinct: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The kept columns, fp and component_id (smallest doc_id reachable over links) of every row."""
+    """The kept columns, fp, root (one per component) and component_id (smallest doc_id reachable over links) of every row."""
     rows = cut(fingerprints(docs, words, keep))
     distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     joined = components(links(distinct.select("fp")), "u", "v")
     rooted = distinct.join(joined, distinct["fp"] == joined["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(smallest, "root").select("fp", "component_id")
+    named = rooted.join(smallest, "root").select("fp", "root", "component_id")
     return rows.join(named, "fp")
 
 
+def drop_near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
+    """``docs`` with one row of each component: the smallest doc_id, null last."""
+    rows = numbered(docs)
+    found = near_duplicates(rows, words, ("doc_id", "_row"))
+    kept = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))["_row"].alias("_row"))
+    return rows.join(kept, "_row", "left_semi").drop("_row")
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
