@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparkloom.llm import embedding_dedup, html_extraction, language, line_dedup, mixing, packing, quality, secrets, simhash
+from sparkloom.llm import embedding_dedup, html_extraction, language, line_dedup, mixing, packing, quality, secrets, simhash, suffix_dedup
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_packing": packing.op4_packing,
         "op5_secrets": secrets.op5_secrets,
         "op6_quality": quality.op6_quality,
+        "op7_suffixes": suffix_dedup.op7_suffixes,
         "op8_mixing": mixing.op8_mixing,
         "op9_embeddings": embedding_dedup.op9_embeddings,
         "op10_language": language.op10_language,
