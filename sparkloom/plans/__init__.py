@@ -1,0 +1,3 @@
+"""Query plans over the driver tables; importing the package registers them."""
+
+from sparkloom.plans import rollups  # noqa: F401
