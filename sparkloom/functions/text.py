@@ -18,16 +18,21 @@ def fnv1a(text: Column, seed: Column | int = 0) -> Column:
     return F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), start, lambda h, c: ((h.bitwiseXOR(F.ascii(c).cast("long"))) * FNV_PRIME).bitwiseAND(F.lit(MASK32).cast("long")))
 
 
+def let(value: Column, body) -> Column:
+    """``body(x)`` with x bound to ``value``, which is evaluated once a row even where lambdas use it many times."""
+    return F.transform(F.array(value), body)[0]
+
+
 def shingles(tokens: Column, size: int = SHINGLE, separator: str = " ") -> Column:
-    return F.when(F.size(tokens) < size, F.array().cast("array<string>")).otherwise(
-        F.transform(F.sequence(F.lit(1), F.size(tokens) - (size - 1)), lambda i: F.array_join(F.slice(tokens, i, size), separator)))
+    return let(tokens, lambda t: F.when(F.size(t) < size, F.array().cast("array<string>")).otherwise(
+        F.transform(F.sequence(F.lit(1), F.size(t) - (size - 1)), lambda i: F.array_join(F.slice(t, i, size), separator))))
 
 
 def minhash(tokens: Column) -> Column:
     """64 lane minima of seeded FNV-1a over 3-shingles; null under 40 tokens."""
-    lanes = F.transform(
+    lanes = let(shingles(tokens), lambda found: F.transform(
         F.sequence(F.lit(0), F.lit(LANES - 1)),
-        lambda i: F.array_min(F.transform(shingles(tokens), lambda s: fnv1a(s, ((2 * i + 1).cast("long") * GOLDEN).bitwiseAND(F.lit(MASK32).cast("long"))))))
+        lambda i: F.array_min(F.transform(found, lambda s: fnv1a(s, ((2 * i + 1).cast("long") * GOLDEN).bitwiseAND(F.lit(MASK32).cast("long")))))))
     return F.when(F.size(tokens) >= LEAST_TOKENS, lanes)
 
 
