@@ -2,50 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkloom.scratch import cut, drop_cut, scratch_dir  # noqa: F401
+
 #: Fixed values of the word rule: words are runs of anything but space and \t \n \v \f \r.
 WHITE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 WHITE_CHARS = " \t\n\x0b\f\r"
 
-_own_folders: dict[str, str] = {}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if shared:
-        return shared.rstrip("/")
-    return _own_folders.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="sparkloom-"))
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Writes ``df`` to the shared scratch folder and reads it back: lineage ends at files every executor sees."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._scratch_path = path
-    return out
-
-
-def drop_cut(df: DataFrame) -> None:
-    """Deletes the files behind a frame made by :func:`cut`; only for frames nothing reads any more."""
-    path = df._scratch_path
-    jvm = df.sparkSession._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(hadoop, True)
-
-
 def let(value: Column, body) -> Column:
     """``body(x)`` with x bound to ``value``, which is evaluated once a row even where lambdas use it many times."""
     return F.transform(F.array(value), body)[0]
@@ -61,6 +31,11 @@ def digits_key(text: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(text, F.lit("null"))), 1, 15), 16, 10).cast("long")
 
 
-def numbered(docs: DataFrame, column: str = "_row") -> DataFrame:
-    """``docs`` written down with a number that is unique to each row and stays the same when read again."""
-    return cut(docs.withColumn(column, F.monotonically_increasing_id()))
+def whole(docs: DataFrame) -> Column:
+    """All columns of a row as one struct, out of the way of working columns of the same names."""
+    return F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc")
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """(_doc, _row): whole rows with a number unique to each, written down so that it stays the same when read again."""
+    return cut(docs.select(whole(docs), F.monotonically_increasing_id().alias("_row")))

@@ -1,49 +1,3 @@
-"""Connected components of a distributed edge list, by alternating large-star and small-star contraction.
+"""Connected components of distributed edge lists."""
 
-Every round is a few joins and aggregations on DataFrames and ends in a table in the shared scratch folder; nothing is
-gathered on the driver but a row count and a checksum. Minima are taken with map-side combining, and the joins are plain
-equi-joins, so a node with very many neighbours is split by adaptive execution.
-"""
-
-from __future__ import annotations
-
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from sparkloom.llm.common import cut, drop_cut
-
-
-def _downhill(edges: DataFrame) -> DataFrame:
-    """Distinct edges from the larger node to the smaller one."""
-    return edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
-
-
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-
-
-def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(least.select("u", F.col("m").alias("v")))
-
-
-def components(edges: DataFrame, a: str, b: str) -> DataFrame:
-    """(node, component) for every node of an edge, component being the smallest node of its component.
-
-    Loops and repeated edges are allowed; null ends are not links. No edges: an empty result.
-    """
-    links = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null")
-    now = cut(_downhill(links))
-    state = None
-    while True:
-        seen = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if seen[0] == 0 or seen == state:
-            break
-        state, before = seen, now
-        now = cut(_downhill(_small_star(_downhill(_large_star(before)))))
-        drop_cut(before)
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
-        now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+from sparkloom.operators.graph import components  # noqa: F401

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import cut, digits_key, let, table
+from sparkloom.llm.common import cut, digits_key, let, table, whole
 
 #: Fixed values of the rolling hash: prime, multiplier, mean lines to a boundary, fewest lines of a removable chunk.
 PRIME, FACTOR, DIVISOR, LEAST = 2147483647, 1000003, 3, 2
@@ -37,16 +37,20 @@ def chunks_of(text: Column) -> Column:
     return let(F.split(text, "\n", -1), lambda lines: let(F.transform(lines, lambda x: digits_key(x) % PRIME), lambda hashes: cut_up(lines, hashes)))
 
 
-def dedup(docs: DataFrame) -> DataFrame:
-    """All columns, text without its repeated chunks, and n_lines, n_removed (lines)."""
-    keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
+def dedup(docs: DataFrame, counts: bool = True) -> DataFrame:
+    """All columns, text without its repeated chunks, and n_lines, n_removed (lines) if counts are asked for.
+
+    The counts take the place of input columns of their names.
+    """
+    keyed = docs.select(whole(docs), "doc_id", "text", F.xxhash64("doc_id", "text").alias("_row"))
     chunked = keyed.where("text is not null").select("_row", "doc_id", F.filter(chunks_of(F.col("text")), lambda c: c["n"] >= LEAST).alias("c"))
     chunks = cut(chunked.select("_row", "doc_id", F.explode(F.transform("c", lambda c: F.struct(c["k"].alias("k"), F.xxhash64(c["text"]).alias("h")))).alias("c")).select("_row", "doc_id", "c.*"))
     first = F.min(F.struct("doc_id", "_row", "k")).alias("first")
     firsts = cut(chunks.groupBy("h").agg(first, F.max(F.struct("doc_id", "_row", "k")).alias("last")).where("first <> last").select(
         "h", F.col("first._row").alias("first_row"), F.col("first.k").alias("first_k")))
+    # merged at every size: what is wanted grows with the corpus, so it is not to be broadcast while it happens to be small
     wanted = firsts.groupBy(F.col("first_row").alias("_row")).agg(F.collect_set(F.struct("first_k", "h")).alias("w"))
-    held = keyed.select("_row", "text").join(wanted, "_row").select(F.explode(let(
+    held = keyed.select("_row", "text").join(wanted.hint("merge"), "_row").select(F.explode(let(
         chunks_of(F.col("text")), lambda cs: F.transform("w", lambda w: F.struct(w["h"].alias("h"), F.get(cs, w["first_k"])["text"].alias("held"))))).alias("x")).select("x.*")
     held = cut(held.groupBy("h").agg(F.min("held").alias("held")))  # repeated rows give a chunk more than once
     later = chunks.join(firsts, "h").where("_row <> first_row or k <> first_k").select("_row", "k", "h").distinct()
@@ -57,8 +61,10 @@ def dedup(docs: DataFrame) -> DataFrame:
         lambda left: F.struct(F.array_join(F.transform(left, lambda c: c["text"]), "\n").alias("text"),
                               F.aggregate(cs, F.lit(0).cast("long"), lambda a, c: a + c["n"]).alias("n_lines"),
                               F.aggregate(left, F.lit(0).cast("long"), lambda a, c: a + c["n"]).alias("n_left"))))
-    whole = joined.withColumn("_kept", F.when(F.col("text").isNotNull(), kept))
-    return whole.withColumns({"text": F.col("_kept.text"), "n_lines": F.coalesce("_kept.n_lines", F.lit(0)).cast("long"), "n_removed": F.coalesce(F.col("_kept.n_lines") - F.col("_kept.n_left"), F.lit(0)).cast("long")}).drop("_row", "_gone", "_kept")
+    read = joined.withColumn("_kept", F.when(F.col("text").isNotNull(), kept))
+    n = [F.coalesce("_kept.n_lines", F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.col("_kept.n_lines") - F.col("_kept.n_left"), F.lit(0)).cast("long").alias("n_removed")] if counts else []
+    taken = {"n_lines", "n_removed"} if counts else set()
+    return read.select(*(F.col("_kept.text").alias("text") if c == "text" else F.col("_doc").getField(c).alias(c) for c in docs.columns if c not in taken), *n)
 
 
 def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -94,11 +94,11 @@ def mixed_documents(docs: DataFrame, cap: int = 3) -> DataFrame:
     At most one document a source is rounded; documents without words are not taken.
     """
     rows = numbered(docs)
-    mixed = mix(rows, cap, ("_row",)).where("taken > 0").withColumn("copies", F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")).where("copies > 0")
+    mixed = mix(rows.select("_doc.doc_id", "_doc.text", "_doc.source", "_row"), cap, ("_row",)).where("taken > 0").withColumn("copies", F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")).where("copies > 0")
     passes = mixed.withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
     share = F.least(F.lit(1.0), (F.col("start") + F.col("pass") * F.col("source_size") + F.col("size") / F.lit(2.0)) / F.col("demand"))
     placed = passes.select("_row", _position(share, F.col("slope")).alias("_position"))
-    return rows.join(placed, "_row").orderBy("_position", "_row").drop("_row", "_position")
+    return rows.join(placed, "_row").orderBy("_position", "_row").select("_doc.*")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

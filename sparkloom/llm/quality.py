@@ -11,7 +11,7 @@ reruns agree.
 
 All of it is DataFrame work. Defined results: null and empty texts have no words and fail the base rules; null
 languages and sources are groups of their own; a group with fewer than ``SMALL`` documents that pass the base rules uses
-the pooled estimate of all groups; an empty table gives an empty result; other columns are ignored.
+the pooled estimate, made the same way from all rows; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import WHITE_CHARS, cut, let, table, words_of
+from sparkloom.llm.common import WHITE_CHARS, cut, let, table, whole, words_of
 
 #: Fixed values of the base rules.
 SYMBOLS = "#*$%&|<>"
@@ -36,7 +36,8 @@ STEPS = 4
 #: About the 1 - 5e-10 quantile of chi-square with five degrees of freedom.
 LIMIT = 52.0
 SMALL = 60
-GROUP = ["lang", "source"]
+#: Every row counts in its own group and in the pooled one.
+GROUP = ["pooled", "lang", "source"]
 
 
 def _repeat_words(words: Column) -> Column:
@@ -87,10 +88,6 @@ def _transformed(stats: DataFrame) -> DataFrame:
     return stats.withColumns({f"x{j}": F.round(F.greatest(F.lit(-16.0), F.least(F.lit(16.0), v)) * SCALE).cast("long") for j, v in enumerate(values)})
 
 
-def _same_group(a: DataFrame, b: DataFrame):
-    return a["lang"].eqNullSafe(b["lang"]) & a["source"].eqNullSafe(b["source"])
-
-
 def _factor(frame: DataFrame, keep: list[str]) -> DataFrame:
     """Cholesky factor r{j}{k} of the covariance c{j}{k}, column by column."""
     for k in range(P):
@@ -147,7 +144,7 @@ def _estimate(moments: DataFrame, keep: list[str]) -> DataFrame:
 def _step(rows: DataFrame, estimate: DataFrame) -> DataFrame:
     """Moments of the lowest distances that hold SHARE of each group."""
     e = estimate.withColumnsRenamed({g: f"e_{g}" for g in GROUP})
-    near = rows.join(e, rows["lang"].eqNullSafe(e["e_lang"]) & rows["source"].eqNullSafe(e["e_source"]))
+    near = rows.join(e, (rows["pooled"] == e["e_pooled"]) & rows["lang"].eqNullSafe(e["e_lang"]) & rows["source"].eqNullSafe(e["e_source"]))
     binned = near.withColumn("bin", F.floor(16 * F.log2(distance() + 1.0 / 64)))
     sums = binned.groupBy(*GROUP, "bin").agg(
         F.count("*").alias("s"), *(F.sum(f"x{j}").alias(f"s{j}") for j in range(P)),
@@ -162,14 +159,16 @@ NAMES = [*(f"m{j}" for j in range(P)), *(f"r{j}{k}" for k in range(P) for j in r
 
 
 def estimates(stats: DataFrame) -> tuple[DataFrame, dict | None]:
-    """Robust estimates by group (one row each), and the pooled one of all groups (None without rows)."""
-    rows = stats.where(~F.col("base_failed")).select(*GROUP, *(f"x{j}" for j in range(P)))
+    """Robust estimates by group (one row each), and the pooled one of all rows (None without rows)."""
+    values = [F.col(f"x{j}") for j in range(P)]
+    passed = stats.where(~F.col("base_failed"))
+    rows = passed.select(F.lit(False).alias("pooled"), "lang", "source", *values).unionByName(
+        passed.select(F.lit(True).alias("pooled"), F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("source"), *values))
     estimate = cut(_quartile_start(rows))
     for _ in range(STEPS):
-        moments = cut(_step(rows, estimate))
-        estimate = _estimate(moments, [*GROUP, "n"])
-    pooled = _estimate(moments.groupBy().agg(*(F.sum(c).alias(c) for c in MOMENTS)).where(F.col("s") > 0), []).collect()  # one row
-    own = estimate.where(F.col("n") >= SMALL).select(*(F.col(g).alias(f"e_{g}") for g in GROUP), *(F.col(c).alias(f"own_{c}") for c in NAMES))
+        estimate = cut(_estimate(_step(rows, estimate), [*GROUP, "n"]))
+    pooled = estimate.where("pooled").collect()  # one row
+    own = estimate.where(~F.col("pooled") & (F.col("n") >= SMALL)).select(F.col("lang").alias("e_lang"), F.col("source").alias("e_source"), *(F.col(c).alias(f"own_{c}") for c in NAMES))
     return cut(own), pooled[0].asDict() if pooled else None
 
 
@@ -190,10 +189,10 @@ def judge(docs: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """``docs`` without the rejected rows. Statistics are taken twice rather than texts being shuffled."""
-    stats = cut(_transformed(statistics(docs)).withColumn("base_failed", base_failed()).select(*GROUP, "base_failed", *(f"x{j}" for j in range(P))))
+    stats = cut(_transformed(statistics(docs)).withColumn("base_failed", base_failed()).select("lang", "source", "base_failed", *(f"x{j}" for j in range(P))))
     own, pooled = estimates(stats)
-    whole = _transformed(statistics(docs, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"))).withColumn("base_failed", base_failed())
-    return verdicts(whole, own, pooled).where("kept").select("_doc.*")
+    again = _transformed(statistics(docs, whole(docs))).withColumn("base_failed", base_failed())
+    return verdicts(again, own, pooled).where("kept").select("_doc.*")
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

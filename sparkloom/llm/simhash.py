@@ -201,9 +201,9 @@ def near_duplicates(docs: DataFrame, words: int = 3, keep: tuple[str, ...] = ("d
 def drop_near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
     """``docs`` with one row of each component: the smallest doc_id, null last."""
     rows = numbered(docs)
-    found = near_duplicates(rows, words, ("doc_id", "_row"))
+    found = near_duplicates(rows.select("_doc.doc_id", "_doc.text", "_row"), words, ("doc_id", "_row"))
     kept = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))["_row"].alias("_row"))
-    return rows.join(kept, "_row", "left_semi").drop("_row")
+    return rows.join(kept, "_row", "left_semi").select("_doc.*")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
