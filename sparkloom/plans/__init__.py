@@ -1,3 +1,3 @@
 """Query plans over the driver tables; importing the package registers them."""
 
-from sparkloom.plans import linking, rollups, texts  # noqa: F401
+from sparkloom.plans import inventory, linking, rollups, texts  # noqa: F401
