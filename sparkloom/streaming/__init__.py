@@ -1,0 +1 @@
+"""Reserved: what is rebuilt here has no streaming, watermarks or time windows, and none is added."""
