@@ -11,7 +11,8 @@ some twenty times the input in each of eight rounds, so two things are pruned wi
 * Neighbouring windows with one anchor form a run, a row of 28 bytes. Runs whose whole context (the bytes that all their
   windows cover) occurs twice are duplicates at once, and need no rank per window.
 
-For the runs left, one of each context goes on to rank 200: their windows are hashed with their distance to the anchor
+Runs are combined by context in each segment before they are shuffled, as a group-by does map-side, so that copies and
+periodic texts do not gather at one anchor. For the runs left, one of each context goes on to rank 200: their windows are hashed with their distance to the anchor
 and sorted within the anchor's group. Anchors with more than ``HOT`` contexts are ranked window by window instead, by a
 plain group-by of window hashes, counted map-side and joined back, so no group has to fit a task.
 
@@ -117,6 +118,37 @@ def runs(pieces: list[bytes]) -> tuple[np.ndarray, ...]:
     return piece, lo - starts[piece], n, anchor - lo, grams[anchor], context
 
 
+#: Marks in ``off`` of what a segment has found by itself: a context it holds twice, and windows that are such.
+TWICE, SETTLED = 1 << 10, 1 << 11
+
+
+def _combine(keys: np.ndarray, p: np.ndarray, n: np.ndarray, off: np.ndarray, gram: np.ndarray, context: np.ndarray) -> list[np.ndarray]:
+    """Combines runs of one segment, as a group-by does map-side: of runs with one context the first stands for all.
+
+    The others are settled: neighbours become one row with a key of its own, which any task may get. So an anchor that
+    copies or periodic texts repeat without end sends one row a segment and context.
+    """
+    order = np.lexsort((context, gram))
+    same = (gram[order][1:] == gram[order][:-1]) & (context[order][1:] == context[order][:-1])
+    settled = np.zeros(len(p), bool)
+    settled[order[1:][same]] = True
+    first = np.zeros(len(p), bool)
+    first[order[:-1][same]] = True
+    off = off + TWICE * (first & ~settled)
+    rest = np.flatnonzero(~settled)
+    some = np.flatnonzero(settled)
+    opens = np.ones(len(some), bool)
+    if len(some):
+        before, after = some[:-1], some[1:]
+        opens[1:] = (after != before + 1) | (keys[after] != keys[before]) | (p[before] + n[before] != p[after])
+    head = some[opens]
+    total = np.add.reduceat(n[some], np.flatnonzero(opens)) if len(some) else np.zeros(0, np.int64)
+    own = _mix(_mix(keys[head].view(np.uint64)) ^ p[head].astype(np.uint64))
+    join = lambda a, b: np.concatenate([a, b])
+    return [join(gram[rest], own).view(np.int64), join(context[rest].view(np.int64).astype(np.int32), np.zeros(len(head), np.int32)), join(keys[rest], keys[head]),
+            join(p[rest], p[head]), join(n[rest], total).astype(np.int32), join(off[rest], np.full(len(head), SETTLED)).astype(np.int32)]
+
+
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (h, c, row, p, n, off): anchor hash, context hash, text, first window, windows, anchor - first window."""
     for batch in batches:
@@ -129,9 +161,8 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush():
             piece, p, n, off, gram, context = runs(held)
             who, shift = np.array(owner, np.int64), np.array(base, np.int64)
-            return pa.RecordBatch.from_arrays([
-                pa.array(gram.view(np.int64)), pa.array(context.view(np.int64).astype(np.int32)), pa.array(keys[who[piece]]),
-                pa.array(p + shift[piece]), pa.array(n.astype(np.int32)), pa.array(off.astype(np.int32))], names=["h", "c", "row", "p", "n", "off"])
+            columns = _combine(keys[who[piece]], p + shift[piece], n, off, gram.view(np.uint64), context.view(np.uint64))
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["h", "c", "row", "p", "n", "off"])
 
         for i, text in enumerate(batch.column(1).cast(pa.binary())):
             raw = text.as_py() or b""
@@ -183,17 +214,20 @@ def _first_rank(most_contexts: int, held: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _complete(batches, held):
-            h, c = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            h, c, off = (batch.column(i).to_numpy() for i in (0, 1, 5))
             new_h = np.concatenate([[True], h[1:] != h[:-1]])
             new_c = new_h | np.concatenate([[True], c[1:] != c[:-1]])
             group, context = np.cumsum(new_h) - 1, np.cumsum(new_c) - 1
             rows = np.bincount(group)[group]
             contexts = np.bincount(group, weights=new_c).astype(np.int64)[group]
-            shared = np.bincount(context)[context] > 1
+            shared = (np.bincount(context) > 1)[context] | (np.bincount(context, weights=off >= TWICE) > 0)[context]
+            settled = off >= SETTLED
             hot = (contexts > most_contexts) | (rows >= held // 2)
             state = np.where(shared, np.where(new_c & ((contexts > 1) | hot), np.where(hot, HOT_GIVES, GIVES), KNOWN), np.where(hot, HOT_ASKS, ASKS))
-            keep = pa.array(np.flatnonzero((rows > 1) | hot), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(state.astype(np.int32))], names=["h", "row", "p", "n", "off", "state"]).take(keep)
+            state = np.where(settled, KNOWN, state)
+            keep = pa.array(np.flatnonzero((rows > 1) | hot | (off >= TWICE)), pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *batch.columns[2:5], pa.array((off % TWICE).astype(np.int32)), pa.array(state.astype(np.int32))], names=["h", "row", "p", "n", "off", "state"]).take(keep)
 
     return run
 
