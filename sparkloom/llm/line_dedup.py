@@ -52,9 +52,10 @@ def dedup(docs: DataFrame, counts: bool = True) -> DataFrame:
     wanted = firsts.groupBy(F.col("first_row").alias("_row")).agg(F.collect_set(F.struct("first_k", "h")).alias("w"))
     held = keyed.select("_row", "text").join(wanted.hint("merge"), "_row").select(F.explode(let(
         chunks_of(F.col("text")), lambda cs: F.transform("w", lambda w: F.struct(w["h"].alias("h"), F.get(cs, w["first_k"])["text"].alias("held"))))).alias("x")).select("x.*")
-    held = cut(held.groupBy("h").agg(F.min("held").alias("held")))  # repeated rows give a chunk more than once
-    later = chunks.join(firsts, "h").where("_row <> first_row or k <> first_k").select("_row", "k", "h").distinct()
-    gone = later.join(held, "h").groupBy("_row").agg(F.collect_list(F.struct("k", "held")).alias("_gone"))
+    held = cut(firsts.join(held.groupBy("h").agg(F.min("held").alias("held")), "h"))  # repeated rows give a chunk more than once
+    # one plain join over the chunks: nothing above it needs a hash's rows together, so a hash that very many rows hold is split
+    later = chunks.join(held, "h").where("_row <> first_row or k <> first_k").select("_row", "k", "held")
+    gone = later.groupBy("_row").agg(F.collect_list(F.struct("k", "held")).alias("_gone"))
     joined = keyed.join(gone, "_row", "left")
     kept = let(chunks_of(F.col("text")), lambda cs: let(
         F.filter(cs, lambda c: ~F.exists(F.coalesce("_gone", F.array().cast("array<struct<k:int,held:string>>")), lambda g: (g["k"] == c["k"]) & (g["held"] == c["text"]))),
