@@ -22,7 +22,7 @@ def cut(df: DataFrame) -> DataFrame:
     """Writes ``df`` to the scratch folder and reads it back."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out
