@@ -205,15 +205,28 @@ def _complete(batches: Iterator[pa.RecordBatch], most: int | None = None) -> Ite
         yield pa.Table.from_batches(kept).combine_chunks().to_batches()[0]
 
 
+def _neighbours(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, bool, bool]]:
+    """Each part, whether its first group began in the part before, and whether its last goes on in the next."""
+    before, continues = None, False
+    for part in parts:
+        if before is not None:
+            goes_on = before.column(0)[-1].as_py() == part.column(0)[0].as_py()
+            yield before, continues, goes_on
+            continues = goes_on
+        before = part
+    if before is not None:
+        yield before, continues, False
+
+
 #: What is known of a run, and what it gives to rank 200.
 KNOWN, ASKS, GIVES, HOT_ASKS, HOT_GIVES = 1, 2, 3, 4, 5
 
 
 def _first_rank(most_contexts: int, held: int):
-    """For batches sorted by (h, c): runs with a shared anchor, and their state."""
+    """For batches sorted by (h, c): runs with a shared anchor, and their state. Every part of a split group is hot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _complete(batches, held):
+        for batch, continues, continued in _neighbours(_complete(batches, held)):
             h, c, off = (batch.column(i).to_numpy() for i in (0, 1, 5))
             new_h = np.concatenate([[True], h[1:] != h[:-1]])
             new_c = new_h | np.concatenate([[True], c[1:] != c[:-1]])
@@ -222,7 +235,8 @@ def _first_rank(most_contexts: int, held: int):
             contexts = np.bincount(group, weights=new_c).astype(np.int64)[group]
             shared = (np.bincount(context) > 1)[context] | (np.bincount(context, weights=off >= TWICE) > 0)[context]
             settled = off >= SETTLED
-            hot = (contexts > most_contexts) | (rows >= held // 2)
+            split = (continues & (h == h[0])) | (continued & (h == h[-1]))
+            hot = (contexts > most_contexts) | (rows >= held // 2) | split
             state = np.where(shared, np.where(new_c & ((contexts > 1) | hot), np.where(hot, HOT_GIVES, GIVES), KNOWN), np.where(hot, HOT_ASKS, ASKS))
             state = np.where(settled, KNOWN, state)
             keep = pa.array(np.flatnonzero((rows > 1) | hot | (off >= TWICE)), pa.int64())
