@@ -7,7 +7,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from sparkloom.llm import html_extraction, language, mixing, packing, quality, secrets
+from sparkloom.llm import html_extraction, mixing, packing, quality, secrets
 from tests.compare import SF, same
 
 
@@ -161,45 +161,6 @@ def test_mixing(spark):
     assert taken.columns == df.columns and mixing.mixed_documents(df.limit(0)).count() == 0 and mixing.mix(df.limit(0)).count() == 0
 
 
-def test_forward_sums_all_segmentations():
-    import public_tokenizers
-
-    pieces = language.Pieces(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    table = np.random.default_rng(0).random((len(pieces.keys) + 1, 2))
-    table[-1] = 0
-    at = {int(k): i for i, k in enumerate(pieces.keys)}
-
-    def brute(w):
-        if not w:
-            return np.ones(2)
-        out = np.zeros(2)
-        for n in range(1, min(7, len(w)) + 1):
-            k = int.from_bytes(w[-n:], "little") | n << 56
-            if k in at:
-                out += brute(w[:-n]) * table[at[k]]
-        return out
-
-    words = [b" the", " schön".encode(), b"x", b" inter", b"\x00\x00a"]
-    alpha = language.forward(pieces.lattice(words), table)
-    assert all(np.allclose(alpha[i, len(w)], brute(w)) for i, w in enumerate(words))
-
-
-def test_language_held_out_accuracy(spark, tmp_path):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    got = {r.doc_id: r for r in language.op10_language(spark, "/root/testdata/sf0.01").collect()}
-    wrong = out = 0
-    for r in docs.collect():
-        assert got[r.doc_id].held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
-        if got[r.doc_id].held_out:
-            out += 1
-            wrong += got[r.doc_id].lang_pred != r.lang
-    assert out > 200 and wrong <= 0.01 * out
-    odd = spark.createDataFrame([(1, None, "en"), (2, "", "en"), (3, "12 34 !", "en"), (None, "the cat", None), (5, "x" * 100_000, None)], "doc_id long, text string, lang string")
-    pred = {r.doc_id: (r.lang_pred, r.score) for r in language.identify(odd).collect()}
-    assert pred[1] == pred[2] == pred[3] == pred[None] == ("und", 0.0)
-    assert language.identify(odd.limit(0)).count() == 0
-
-
 def test_pipeline(spark):
     import corpus_pipeline
 
