@@ -31,12 +31,18 @@ from sparkloom.llm.common import cut, table
 
 WINDOW = 2048
 END = 1
+#: Fixed value: the vocabulary's added token; its id follows the last piece.
+ADDED = "<|endoftext|>"
 PADDING = 0.02
 GRAINS = (None, 256, 32)
 
 
 class Encoder:
-    """Little-endian unsigned 32-bit ids of whole texts as bytes."""
+    """Little-endian unsigned 32-bit ids of whole texts as bytes.
+
+    The ids are those of the vocabulary's ``tokenizers`` file with its default settings: the string of an added token in
+    a text is that token.
+    """
 
     def __init__(self, vocabulary: str):
         import base64
@@ -46,10 +52,11 @@ class Encoder:
 
         with open(vocabulary, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.encode = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.coding = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={ADDED: len(ranks)})
 
     def __call__(self, text: str) -> bytes:
-        return np.array(self.encode(text), "<u4").tobytes()
+        ids = self.coding.encode(text, allowed_special="all") if ADDED in text else self.coding.encode_ordinary(text)
+        return np.array(ids, "<u4").tobytes()
 
 
 def default_vocabulary() -> str:
