@@ -1,31 +1,34 @@
 """Packing documents into fixed token windows by minimum bin slack.
 
-A document's ids (byte-level BPE, then one end id) are cut into whole windows and a remainder. The remainders are known
-by their lengths alone, so the corpus is summed up as a histogram with fewer rows than the window has tokens. On it,
-minimum bin slack fills one window after another: the longest remaining length opens the window, a bitset subset-sum
-dynamic program over the remaining-length multiset finds the reachable sum closest to the capacity, and backtracking
-gives the counts of each length. A pattern is repeated as often as the histogram allows, so there are a few thousand
-patterns however many documents there are. Documents then find their place by their rank within their length: a range
-sort, row numbers inside its partitions and one small table of offsets per (partition, length).
-
-Remainders are cut further (at multiples of 256, then 32 tokens) only if whole remainders would leave more than
-``PADDING`` of the window space empty, as happens where most remainders have one awkward length.
-
-Style: tokenization and placing run as Arrow batches, the rest as DataFrames; the driver holds the histogram and the
-patterns only. Defined results: null text counts as empty, which is the end id alone; null and repeated doc_ids are rows
-of their own; equal rows are interchangeable; an empty table gives an empty result; other columns are ignored.
+A document's ids (byte-level BPE, then one end id) are cut into whole windows and a remainder. Remainders are packed in
+blocks of rows that follow one another: the longest remaining length opens a window, a bitset subset-sum dynamic program
+over the remaining-length multiset finds the reachable sum closest to the capacity, and backtracking gives the counts of
+each length. What a window still lacks is cut from the longest remainder left, at any size alike, so only the last window
+of a block can hold padding.
+
+A block is a run of rows of one partition (and of one file, where rows have an order) of at most ``ROWS`` rows and, but for
+its last row, ``TOKENS`` tokens, so a task holds a bounded part of its input, no text moves and no corpus-wide histogram is
+needed. Blocks keep the order of their rows, and sequence ids follow it: a corpus in training order becomes sequences in
+training order, but for the mixing inside a block. The sequences of a block start after those of the blocks before it; the
+blocks' sizes are the only rows that meet.
+
+Style: tokenization and packing run as Arrow batches, the numbering as DataFrames. Defined results: null text counts as
+empty, which is the end id alone; null and repeated doc_ids are rows of their own; equal rows are interchangeable; very
+long texts are cut whole window by whole window; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from bisect import bisect_left, insort
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from sparkloom.llm.common import cut, table
 
@@ -33,8 +36,8 @@ WINDOW = 2048
 END = 1
 #: Fixed value: the vocabulary's added token; its id follows the last piece.
 ADDED = "<|endoftext|>"
-PADDING = 0.02
-GRAINS = (None, 256, 32)
+#: What a block holds.
+ROWS, TOKENS = 65_536, 1 << 23
 
 
 class Encoder:
@@ -65,125 +68,161 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-def cuts(n: int, grain: int | None) -> list[int]:
-    """Lengths of the pieces of a document of n tokens: whole windows, then the remainder, cut at the grain."""
-    pieces = [WINDOW] * (n // WINDOW)
-    rest = n % WINDOW
-    if grain:
-        pieces += [grain] * (rest // grain)
-        rest %= grain
-    return pieces + [rest] * (rest > 0)
-
-
-def pieces(docs: DataFrame, vocabulary: str | None = None, grain: int | None = None) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens of every piece."""
-    path = vocabulary or default_vocabulary()
-    source = docs.select("doc_id", "text")
-    schema = StructType([StructField("doc_id", source.schema["doc_id"].dataType), *(StructField(c, LongType()) for c in ("start", "length", "ids_crc32", "doc_tokens"))])
+class Remainders:
+    """The lengths that are left, in order, and the items of each."""
+
+    def __init__(self, items):
+        self.items: dict[int, list] = {}
+        for item, length in items:
+            self.items.setdefault(length, []).append(item)
+        self.lengths = sorted(self.items)
+
+    def put(self, item, length: int) -> None:
+        if length not in self.items:
+            self.items[length] = []
+            insort(self.lengths, length)
+        self.items[length].append(item)
+
+    def take(self, length: int):
+        some = self.items[length]
+        item = some.pop()
+        if not some:
+            del self.items[length]
+            del self.lengths[bisect_left(self.lengths, length)]
+        return item
+
+
+def closest(lengths: list[int], count: Callable[[int], int], room: int) -> dict[int, int]:
+    """length -> count of a multiset whose sum is closest to ``room`` from below; ``lengths`` ascend."""
+    full = (1 << (room + 1)) - 1
+    reach, trail = 1, []  # bit s: sum s can be reached
+    for at in range(bisect_left(lengths, room + 1) - 1, -1, -1):
+        length = lengths[at]
+        most, part = min(count(length), room // length), 1
+        while most > 0 and not reach >> room & 1:  # binary splitting of the count
+            part = min(part, most)
+            trail.append((length, part, reach))
+            reach |= reach << (length * part) & full
+            most -= part
+            part *= 2
+        if reach >> room & 1:
+            break
+    total, pattern = reach.bit_length() - 1, {}
+    for length, part, before in reversed(trail):
+        if not before >> total & 1:
+            pattern[length] = pattern.get(length, 0) + part
+            total -= length * part
+    return pattern
+
+
+def minimum_bin_slack(remainders: list[tuple[int, int]], capacity: int = WINDOW) -> Iterator[list[tuple[int, int, int]]]:
+    """Windows of pieces (item, start in the item's remainder, length), from (item, length of its remainder)."""
+    left = Remainders(((item, 0), length) for item, length in remainders)
+    while left.lengths:
+        seed = left.lengths[-1]
+        window, room = [(*left.take(seed), seed)], capacity - seed
+        pattern = closest(left.lengths, lambda x: len(left.items[x]), room) if room else {}
+        for length, n in pattern.items():
+            room -= length * n
+            window += [(*left.take(length), length) for _ in range(n)]
+        if room and left.lengths:  # what is left is longer than the room, or it would have been taken
+            length = left.lengths[-1]
+            item, start = left.take(length)
+            window.append((item, start, room))
+            left.put((item, start + room), length - room)
+        yield window
+
+
+NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "file", "block", "sequence", "offset"]
+
+
+class _Block:
+    """Rows that are packed together: their pieces so far and the remainders still to be placed."""
+
+    def __init__(self, file: str, number: int):
+        self.file, self.number = file, number
+        self.rows = self.tokens = self.sequences = 0
+        self.doc_ids: list[pa.Array] = []
+        self.held: list[tuple[int, int, bytes, int]] = []  # row, start, ids, tokens of the document
+        self.out: list[list[int]] = [[] for _ in range(7)]  # row, start, length, crc, tokens, sequence, offset
+
+    def add(self, ids: bytes) -> None:
+        n, here, view = len(ids) // 4, 0, memoryview(ids)
+        while n - here >= WINDOW:
+            self.piece(self.rows, here, view[4 * here : 4 * (here + WINDOW)], n, 0)
+            self.sequences += 1
+            here += WINDOW
+        if here < n:
+            self.held.append((self.rows, here, ids[4 * here :], n))
+        self.rows += 1
+        self.tokens += n
+
+    def piece(self, row: int, start: int, ids, tokens: int, offset: int) -> None:
+        for column, value in zip(self.out, (row, start, len(ids) // 4, zlib.crc32(ids), tokens, self.sequences, offset), strict=True):
+            column.append(value)
+
+    def packed(self) -> pa.RecordBatch:
+        for window in minimum_bin_slack([(i, len(ids) // 4) for i, (_, _, ids, _) in enumerate(self.held)]):
+            offset = 0
+            for i, start, length in window:
+                row, base, ids, tokens = self.held[i]
+                self.piece(row, base + start, ids[4 * start : 4 * (start + length)], tokens, offset)
+                offset += length
+            self.sequences += 1
+        columns = [pa.array(x, pa.int64()) for x in self.out]
+        doc_ids = pa.concat_arrays(self.doc_ids).take(columns[0])
+        n = len(doc_ids)
+        return pa.RecordBatch.from_arrays([doc_ids, *columns[1:5], pa.repeat(pa.scalar(self.file, pa.string()), n), pa.repeat(pa.scalar(self.number, pa.int64()), n), *columns[5:]], names=NAMES)
+
+
+def _pack_blocks(vocabulary: str, most_rows: int, most_tokens: int):
+    """Batches (doc_id, text, file, row) to pieces, with their block and the sequence and offset in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(path)
+        encode = Encoder(vocabulary)
         end = np.array([END], "<u4").tobytes()
+        block = None
         for batch in batches:
-            at, start, length, crc, total = [], [], [], [], []
+            first = 0  # row of the batch with which the block goes on
             for i, text in enumerate(batch.column(1)):
-                ids = encode(text.as_py() or "") + end
-                n, here = len(ids) // 4, 0
-                view = memoryview(ids)
-                for size in cuts(n, grain):
-                    at.append(i)
-                    start.append(here)
-                    length.append(size)
-                    crc.append(zlib.crc32(view[4 * here : 4 * (here + size)]))
-                    total.append(n)
-                    here += size
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, crc, total))], names=schema.names)
-
-    return source.mapInArrow(run, schema)
-
-
-def minimum_bin_slack(histogram: dict[int, int], capacity: int = WINDOW) -> list[tuple[dict[int, int], int]]:
-    """Patterns (length -> count in a window) and how many windows each fills; together they use up the histogram."""
-    left = {k: n for k, n in histogram.items() if n > 0}
-    plan = []
-    while left:
-        seed = max(left)
-        room = capacity - seed
-        full = (1 << (room + 1)) - 1
-        reach, trail = 1, []  # bit s: sum s can be reached
-        for length in sorted((x for x in left if x <= room), reverse=True):
-            most = min(left[length] - (length == seed), room // length)
-            part = 1
-            while most > 0 and not reach >> room & 1:  # binary splitting of the count
-                part = min(part, most)
-                trail.append((length, part, reach))
-                reach |= reach << (length * part) & full
-                most -= part
-                part *= 2
-            if reach >> room & 1:
-                break
-        total, pattern = reach.bit_length() - 1, {seed: 1}
-        for length, part, before in reversed(trail):
-            if not before >> total & 1:
-                pattern[length] = pattern.get(length, 0) + part
-                total -= length * part
-        times = min(left[k] // n for k, n in pattern.items())
-        plan.append((pattern, times))
-        for k, n in pattern.items():
-            left[k] -= n * times
-            if not left[k]:
-                del left[k]
-    return plan
-
-
-def padding_share(plan: list[tuple[dict[int, int], int]], capacity: int = WINDOW) -> tuple[int, float]:
-    empty = sum((capacity - sum(k * n for k, n in pattern.items())) * times for pattern, times in plan)
-    return empty, empty / max(1, capacity * sum(times for _, times in plan))
-
-
-def pack(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """Every piece with its sequence_id and its offset there."""
-    for grain in GRAINS:
-        cutting = cut(pieces(docs, vocabulary, grain))
-        counts = {r["length"]: r["n"] for r in cutting.groupBy("length").agg(F.count("*").alias("n")).collect()}  # a window's lengths at most
-        whole = counts.pop(WINDOW, 0)
-        plan = minimum_bin_slack(counts)
-        empty, _ = padding_share(plan)
-        if empty <= max(4 * WINDOW, PADDING * WINDOW * (whole + sum(times for _, times in plan))):
-            break
-    # per length: ranks from which a pattern takes over, its first sequence, its count in a window, its first offset
-    taken: dict[int, int] = {}
-    runs, sequence = [], 0
-    for pattern, times in plan:
-        offset = 0
-        for length, n in sorted(pattern.items(), reverse=True):
-            runs.append((length, taken.get(length, 0), sequence, n, offset))
-            taken[length] = taken.get(length, 0) + n * times
-            offset += length * n
-        sequence += times
-    runs.append((WINDOW, 0, sequence, 1, 0))
-    runs.sort()
-    marks = np.array([(length << 44) + rank for length, rank, *_ in runs], np.int64)
-    table_ = np.array(runs, np.int64)
-
-    keys = ["length", "ids_crc32", "doc_id", "start"]
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = cut(cutting.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("at", F.monotonically_increasing_id()))
-    spread = ordered.groupBy(F.shiftright("at", 33).alias("part"), F.col("length").alias("of")).agg(F.min("at").alias("first"), F.count("*").alias("n"))
-    before = Window.partitionBy("of").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
-    offsets = spread.select("part", "of", "first", (F.sum("n").over(before) - F.col("n")).alias("before"))
-    ranked = ordered.join(F.broadcast(offsets), (F.shiftright("at", 33) == F.col("part")) & (F.col("length") == F.col("of")))  # partitions + lengths rows at most
-    ranked = ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("before") + F.col("at") - F.col("first")).alias("rank"))
-    schema = StructType([*ranked.drop("rank").schema.fields, StructField("sequence_id", LongType()), StructField("offset", LongType())])
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            length, rank = (batch.column(c).to_numpy() for c in ("length", "rank"))
-            run = table_[np.searchsorted(marks, (length << 44) + rank, "right") - 1]
-            inside = rank - run[:, 1]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(run[:, 2] + inside // run[:, 3]), pa.array(run[:, 4] + inside % run[:, 3] * length)], names=schema.names)
-
-    return ranked.mapInArrow(place, schema)
+                file = batch.column(2)[i].as_py()
+                if block is None or file != block.file or block.rows >= most_rows or block.tokens >= most_tokens:
+                    if block is not None:
+                        block.doc_ids.append(batch.column(0).slice(first, i - first))
+                        yield block.packed()
+                    first, block = i, _Block(file, batch.column(3)[i].as_py())
+                block.add(encode(text.as_py() or "") + end)
+            if block is not None:
+                block.doc_ids.append(batch.column(0).slice(first))
+        if block is not None:
+            yield block.packed()
+
+    return run
+
+
+def place(docs: DataFrame) -> tuple[Column, Column]:
+    """File and row of every row of a table, which order its rows; of a frame that is no file, a number in its order."""
+    try:
+        docs.select("_metadata.file_path", "_metadata.row_index")
+    except AnalysisException:
+        return F.lit("").alias("_file"), F.monotonically_increasing_id().alias("_row")
+    return F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")
+
+
+def pack(docs: DataFrame, vocabulary: str | None = None, rows: int = ROWS, tokens: int = TOKENS) -> DataFrame:
+    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id and offset of every piece."""
+    source = docs.select("doc_id", "text", *place(docs))
+    schema = StructType([source.schema["doc_id"], *(StructField(c, StringType() if c == "file" else LongType()) for c in NAMES[1:])])
+    pieces = cut(source.mapInArrow(_pack_blocks(vocabulary or default_vocabulary(), rows, tokens), schema))
+    sizes = pieces.groupBy("file", "block").agg((F.max("sequence") + 1).alias("n"))
+    before = lambda n, w: F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col(n)
+    # by file, then by block in the file: a row of either is a whole block of documents
+    files = sizes.groupBy("file").agg(F.sum("n").alias("in_file"))
+    starts = files.select("file", before("in_file", Window.orderBy("file")).alias("file_start"))
+    blocks = sizes.select("file", "block", before("n", Window.partitionBy("file").orderBy("block")).alias("block_start"))
+    first = blocks.join(starts, "file").select("file", "block", (F.col("file_start") + F.col("block_start")).alias("first"))
+    return pieces.join(first, ["file", "block"]).select(
+        "doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("first") + F.col("sequence")).alias("sequence_id"), "offset")
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
