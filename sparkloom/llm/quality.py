@@ -5,13 +5,14 @@ a document whose squared Mahalanobis distance from its group's estimate exceeds
 
 The estimate starts from quartiles of each statistic and takes concentration steps: distances from the present
 estimate are counted in fine logarithmic bins together with the moments of each bin, and the lowest bins that hold at
-least ``SHARE`` of the group give the next estimate. One step is one pass with one small shuffle, whatever the size of a
-group: a source with a third of all rows is summed map-side. Statistics are fixed-point integers, so sums are exact and
-reruns agree.
+least ``SHARE`` of the group give the next estimate, until no group's determinant falls any more. One step is one pass
+with one small shuffle, whatever the size of a group: a source with a third of all rows is summed map-side. Statistics
+are fixed-point integers, so sums are exact and reruns agree. At last each group's estimate is drawn to the pooled one,
+made the same way from all rows, as if that rested on ``PRIOR`` more documents of the group: one rule at every size.
 
 All of it is DataFrame work. Defined results: null and empty texts have no words and fail the base rules; null
-languages and sources are groups of their own; a group with fewer than ``SMALL`` documents that pass the base rules uses
-the pooled estimate, made the same way from all rows; an empty table gives an empty result; other columns are ignored.
+languages and sources are groups of their own; repeated rows count as often as they stand there and are judged alike;
+very long texts are read whole; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import WHITE_CHARS, cut, let, table, whole, words_of
+from sparkloom.llm.common import WHITE_CHARS, cut, drop_cut, let, table, whole, words_of
 
 #: Fixed values of the base rules.
 SYMBOLS = "#*$%&|<>"
@@ -32,10 +33,11 @@ FLOOR = (1.0, 0.10, 0.30, 0.50, 0.50)
 #: Share of a group that the estimate rests on, and the factor that makes its covariance consistent for normal data.
 SHARE = 0.75
 CONSISTENT = 1.41
-STEPS = 4
+#: By how much the logarithm of a determinant must fall for another step.
+FALL = 1e-3
 #: About the 1 - 5e-10 quantile of chi-square with five degrees of freedom.
 LIMIT = 52.0
-SMALL = 60
+PRIOR = 60
 #: Every row counts in its own group and in the pooled one.
 GROUP = ["pooled", "lang", "source"]
 
@@ -88,15 +90,21 @@ def _transformed(stats: DataFrame) -> DataFrame:
     return stats.withColumns({f"x{j}": F.round(F.greatest(F.lit(-16.0), F.least(F.lit(16.0), v)) * SCALE).cast("long") for j, v in enumerate(values)})
 
 
-def _factor(frame: DataFrame, keep: list[str]) -> DataFrame:
-    """Cholesky factor r{j}{k} of the covariance c{j}{k}, column by column."""
-    for k in range(P):
-        for j in range(k, P):
-            rest = F.col(f"c{j}{k}")
-            for i in range(k):
-                rest = rest - F.col(f"r{j}{i}") * F.col(f"r{k}{i}")
-            frame = frame.withColumn(f"r{j}{k}", F.sqrt(F.greatest(rest, F.lit(1e-9))) if j == k else rest / F.col(f"r{k}{k}"))
-    return frame.select(*keep, *(f"m{j}" for j in range(P)), *(f"r{j}{k}" for k in range(P) for j in range(k, P)))
+PAIRS = [(j, k) for k in range(P) for j in range(k, P)]
+CENTRE = [f"m{j}" for j in range(P)]
+SPREAD = [f"c{j}{k}" for j, k in PAIRS]
+FACTOR = [f"r{j}{k}" for j, k in PAIRS]
+
+
+def _factored(frame: DataFrame) -> DataFrame:
+    """Adds the Cholesky factor r{j}{k} of the covariance c{j}{k}, column by column, and the logarithm of its determinant."""
+    for j, k in PAIRS:
+        rest = F.col(f"c{j}{k}")
+        for i in range(k):
+            rest = rest - F.col(f"r{j}{i}") * F.col(f"r{k}{i}")
+        frame = frame.withColumn(f"r{j}{k}", F.sqrt(F.greatest(rest, F.lit(1e-9))) if j == k else rest / F.col(f"r{k}{k}"))
+    logs = [F.log(f"r{j}{j}") for j in range(P)]
+    return frame.withColumn("logdet", sum(logs[1:], logs[0]) * 2)
 
 
 def _quartile_start(rows: DataFrame) -> DataFrame:
@@ -111,9 +119,8 @@ def _quartile_start(rows: DataFrame) -> DataFrame:
     spread = run.groupBy(*GROUP, "j").agg(at(0.5).alias("m"), ((at(0.75) - at(0.25)) / 1.349).alias("s"), F.max("all").alias("n"))
     wide = spread.groupBy(*GROUP).agg(
         F.max("n").alias("n"), *(F.max(F.when(F.col("j") == j, F.col("m"))).alias(f"m{j}") for j in range(P)),
-        *(F.max(F.when(F.col("j") == j, F.col("s") * F.col("s") + FLOOR[j] ** 2)).alias(f"c{j}{j}") for j in range(P)))
-    zero = {f"c{j}{k}": F.lit(0.0) for k in range(P) for j in range(k + 1, P)}
-    return _factor(wide.withColumns(zero), [*GROUP, "n"])
+        *(F.max(F.when(F.col("j") == j, F.greatest(F.col("s") * F.col("s"), F.lit(FLOOR[j] ** 2)))).alias(f"c{j}{j}") for j in range(P)))
+    return _factored(wide.withColumns({f"c{j}{k}": F.lit(0.0) for j, k in PAIRS if j > k}))
 
 
 def distance() -> Column:
@@ -130,15 +137,13 @@ def distance() -> Column:
     return total
 
 
-MOMENTS = ["s", *(f"s{j}" for j in range(P)), *(f"s{j}{k}" for k in range(P) for j in range(k, P))]
+MOMENTS = ["s", *(f"s{j}" for j in range(P)), *(f"s{j}{k}" for j, k in PAIRS)]
 
 
-def _estimate(moments: DataFrame, keep: list[str]) -> DataFrame:
-    means = {f"m{j}": F.col(f"s{j}") / F.col("s") / SCALE for j in range(P)}
-    frame = moments.withColumns(means)
-    covs = {f"c{j}{k}": CONSISTENT * (F.col(f"s{j}{k}") / F.col("s") / (SCALE * SCALE) - F.col(f"m{j}") * F.col(f"m{k}")) + (FLOOR[j] ** 2 if j == k else 0.0)
-            for k in range(P) for j in range(k, P)}
-    return _factor(frame.withColumns(covs), keep)
+def _estimate(moments: DataFrame) -> DataFrame:
+    frame = moments.withColumns({f"m{j}": F.col(f"s{j}") / F.col("s") / SCALE for j in range(P)})
+    plain = {(j, k): CONSISTENT * (F.col(f"s{j}{k}") / F.col("s") / (SCALE * SCALE) - F.col(f"m{j}") * F.col(f"m{k}")) for j, k in PAIRS}
+    return _factored(frame.withColumns({f"c{j}{k}": F.greatest(c, F.lit(FLOOR[j] ** 2)) if j == k else c for (j, k), c in plain.items()}))
 
 
 def _step(rows: DataFrame, estimate: DataFrame) -> DataFrame:
@@ -155,27 +160,49 @@ def _step(rows: DataFrame, estimate: DataFrame) -> DataFrame:
     return kept.groupBy(*GROUP).agg(F.max("n").alias("n"), *(F.sum(c).alias(c) for c in MOMENTS))
 
 
-NAMES = [*(f"m{j}" for j in range(P)), *(f"r{j}{k}" for k in range(P) for j in range(k, P))]
+KEPT = ["n", "logdet", *CENTRE, *SPREAD, *FACTOR]
+
 
+def _concentrated(rows: DataFrame) -> DataFrame:
+    """The MCD estimate of every group: steps go on while a determinant falls; groups that are done are left out of them."""
+    # the start is no subset's estimate, so the first step is always taken
+    now = cut(_quartile_start(rows).withColumn("logdet", F.lit(1e9)).select(*GROUP, *KEPT, F.lit(True).alias("moving")))
+    while now.where("moving").limit(1).count():
+        before = now
+        step = _estimate(_step(rows, before.where("moving").select(*GROUP, *CENTRE, *FACTOR)))
+        new = step.select(*(F.col(g).alias(f"to_{g}") for g in GROUP), *(F.col(c).alias(f"to_{c}") for c in KEPT))
+        same = F.lit(True)
+        for g in GROUP:
+            same = same & F.col(g).eqNullSafe(F.col(f"to_{g}"))
+        falls = F.coalesce(F.col("to_logdet") < F.col("logdet") - FALL, F.lit(False))
+        now = cut(before.join(new, same, "left").select(*GROUP, *(F.when(falls, F.col(f"to_{c}")).otherwise(F.col(c)).alias(c) for c in KEPT), falls.alias("moving")))
+        drop_cut(before)
+    return now
 
-def estimates(stats: DataFrame) -> tuple[DataFrame, dict | None]:
-    """Robust estimates by group (one row each), and the pooled one of all rows (None without rows)."""
+
+def estimates(stats: DataFrame) -> DataFrame:
+    """Robust estimates by group: e_lang, e_source, the centre and the factor of the covariance, drawn to the pooled ones."""
     values = [F.col(f"x{j}") for j in range(P)]
     passed = stats.where(~F.col("base_failed"))
     rows = passed.select(F.lit(False).alias("pooled"), "lang", "source", *values).unionByName(
         passed.select(F.lit(True).alias("pooled"), F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("source"), *values))
-    estimate = cut(_quartile_start(rows))
-    for _ in range(STEPS):
-        estimate = cut(_estimate(_step(rows, estimate), [*GROUP, "n"]))
-    pooled = estimate.where("pooled").collect()  # one row
-    own = estimate.where(~F.col("pooled") & (F.col("n") >= SMALL)).select(F.col("lang").alias("e_lang"), F.col("source").alias("e_source"), *(F.col(c).alias(f"own_{c}") for c in NAMES))
-    return cut(own), pooled[0].asDict() if pooled else None
-
-
-def verdicts(stats: DataFrame, own: DataFrame, pooled: dict | None) -> DataFrame:
-    """Adds distance2 (null where the base rules decide or no estimate exists) and kept."""
+    found = _concentrated(rows)
+    pooled = found.where("pooled").first()  # one row, none without rows
+    own = found.where(~F.col("pooled"))
+    share = F.col("n") / (F.col("n") + PRIOR)
+    of = lambda c: F.lit(pooled[c] if pooled else 0.0)
+    apart = lambda j: F.col(f"m{j}") - of(f"m{j}")
+    drawn = own.select(
+        F.col("lang").alias("e_lang"), F.col("source").alias("e_source"), *((share * F.col(c) + (1 - share) * of(c)).alias(c) for c in CENTRE),
+        *((share * F.col(f"c{j}{k}") + (1 - share) * of(f"c{j}{k}") + share * (1 - share) * apart(j) * apart(k)).alias(f"c{j}{k}") for j, k in PAIRS))
+    out = cut(_factored(drawn).select("e_lang", "e_source", *CENTRE, *FACTOR))
+    drop_cut(found)
+    return out
+
+
+def verdicts(stats: DataFrame, own: DataFrame) -> DataFrame:
+    """Adds distance2 (null where the base rules decide) and kept."""
     joined = stats.join(own, stats["lang"].eqNullSafe(own["e_lang"]) & stats["source"].eqNullSafe(own["e_source"]), "left")
-    joined = joined.withColumns({c: F.coalesce(F.col(f"own_{c}"), F.lit(pooled[c] if pooled else None).cast("double")) for c in NAMES})
     return joined.withColumn("distance2", F.when(~F.col("base_failed"), distance())).withColumn(
         "kept", ~F.col("base_failed") & (F.coalesce(F.col("distance2"), F.lit(0.0)) <= LIMIT))
 
@@ -183,16 +210,14 @@ def verdicts(stats: DataFrame, own: DataFrame, pooled: dict | None) -> DataFrame
 def judge(docs: DataFrame) -> DataFrame:
     """Statistics, base_failed, kept and distance2 per document."""
     stats = cut(_transformed(statistics(docs, F.col("doc_id"))).withColumn("base_failed", base_failed()))
-    return verdicts(stats, *estimates(stats)).select(
+    return verdicts(stats, estimates(stats)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance2")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rejected rows. Statistics are taken twice rather than texts being shuffled."""
-    stats = cut(_transformed(statistics(docs)).withColumn("base_failed", base_failed()).select("lang", "source", "base_failed", *(f"x{j}" for j in range(P))))
-    own, pooled = estimates(stats)
-    again = _transformed(statistics(docs, whole(docs))).withColumn("base_failed", base_failed())
-    return verdicts(again, own, pooled).where("kept").select("_doc.*")
+    """``docs`` without the rejected rows. Rows and their statistics are written down once, side by side."""
+    stats = cut(_transformed(statistics(docs, whole(docs))).withColumn("base_failed", base_failed()).select("_doc", "lang", "source", "base_failed", *(f"x{j}" for j in range(P))))
+    return verdicts(stats, estimates(stats)).where("kept").select("_doc.*")
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter
@@ -7,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from sparkloom.llm import html_extraction, mixing, packing, quality, secrets
+from sparkloom.llm import html_extraction, mixing, quality, secrets
 from tests.compare import SF, same
 
 
@@ -41,47 +42,6 @@ def test_alignment_finds_optional_and_repeated_groups():
     assert html_extraction.expression(both) == "div(h1(#)? p(#)+ h3(#)?)"
 
 
-def test_packing_round_trip(spark):
-    import public_tokenizers
-    from tokenizers import Tokenizer
-
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()] + [(9001, None), (9002, ""), (9003, "  x \n\n y<|endoftext|>"), (None, "z é 日本"), (9004, "w " * 5000)]
-    df = spark.createDataFrame([(i, x, "k") for i, x in docs], "doc_id long, text string, length string")
-    rows = packing.pack(df).toPandas()
-    ids = {i: np.array(t.encode(x or "", add_special_tokens=False).ids + [1], "<u4") for i, x in docs}
-    for r in rows.itertuples():
-        own = ids[None if pd.isna(r.doc_id) else int(r.doc_id)]
-        assert r.doc_tokens == len(own) and zlib.crc32(own[r.start : r.start + r.length].tobytes()) == r.ids_crc32
-    assert rows["length"].sum() == sum(map(len, ids.values()))
-    rows = rows.sort_values(["sequence_id", "offset"])
-    assert (rows["offset"] == rows.groupby("sequence_id")["length"].cumsum() - rows["length"]).all() and (rows["offset"] + rows["length"]).max() <= 2048
-    assert rows["length"].sum() / (2048 * rows["sequence_id"].nunique()) > 0.97
-    assert packing.pack(df.limit(0)).count() == 0
-
-
-def test_minimum_bin_slack_uses_all_and_fills():
-    rng = np.random.default_rng(0)
-    histogram = Counter(rng.integers(1, 2048, 3000).tolist())
-    plan = packing.minimum_bin_slack(dict(histogram))
-    used = Counter()
-    for pattern, times in plan:
-        assert sum(k * n for k, n in pattern.items()) <= 2048
-        for k, n in pattern.items():
-            used[k] += n * times
-    assert used == histogram and packing.padding_share(plan)[1] < 0.03  # lengths about half a window are the hard case
-    best = packing.minimum_bin_slack({1500: 1, 300: 2, 240: 1, 8: 1})[0][0]
-    assert best == {1500: 1, 300: 1, 240: 1, 8: 1}
-    assert packing.cuts(5000, None) == [2048, 2048, 904] and packing.cuts(600, 256) == [256, 256, 88] and packing.cuts(2048, None) == [2048]
-
-
-def test_awkward_lengths_are_cut_further(spark):
-    df = spark.createDataFrame([(i, "w " * 1500) for i in range(40)], "doc_id long, text string")
-    rows = packing.pack(df).toPandas()
-    assert rows["length"].sum() / (2048 * rows["sequence_id"].nunique()) > 0.9
-
-
 PLAIN = re.compile(r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
 
 
@@ -139,12 +99,67 @@ def test_quality_distance_is_mahalanobis(spark):
     x = rng.integers(-4000, 4000, (20, 5))
     row = {f"c{j}{k}": float(cov[j, k]) for k in range(5) for j in range(k, 5)} | {f"m{j}": 0.25 * j for j in range(5)}
     frame = spark.createDataFrame([row])
-    factored = quality._factor(frame, [])
+    factored = quality._factored(frame)
     got = [r[0] for r in spark.createDataFrame([tuple(map(int, v)) for v in x], [f"x{j}" for j in range(5)]).crossJoin(factored).select(quality.distance()).collect()]
     z = x / 1024 - np.array([0.25 * j for j in range(5)])
     assert np.allclose(sorted(got), sorted(np.einsum("ij,jk,ik->i", z, np.linalg.inv(cov), z)))
 
 
+def plain_mcd(x, prior=None):
+    """Concentration steps on exact subsets, from the same start."""
+    q = np.quantile(np.floor(x * 64) / 64 + 1 / 128, [0.25, 0.5, 0.75], axis=0, method="inverted_cdf")
+    floor = np.diag(np.square(quality.FLOOR))
+    m, c = q[1], np.diag(np.maximum(np.square((q[2] - q[0]) / 1.349), np.diag(floor)))
+    last = np.inf
+    while True:
+        d = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
+        near = x[np.argsort(d, kind="stable")[: math.ceil(quality.SHARE * len(x))]]
+        mean, cov = near.mean(axis=0), quality.CONSISTENT * np.cov(near.T, bias=True)
+        np.fill_diagonal(cov, np.maximum(np.diag(cov), np.diag(floor)))
+        logdet = np.linalg.slogdet(cov)[1]
+        if not logdet < last - quality.FALL:
+            return m, c
+        m, c, last = mean, cov, logdet
+
+
+def test_quality_estimates_are_mcd(spark):
+    rng = np.random.default_rng(3)
+    a = rng.standard_normal((5, 5))
+    groups = {("en", "s"): 900, ("en", None): 300, (None, "s"): 40, ("de", "t"): 3}
+    rows, data = [], {}
+    for n, (g, size) in enumerate(groups.items()):
+        x = rng.standard_normal((size, 5)) @ a * 0.7 + n
+        x[: size // 10] += 6  # a tenth lies far off
+        x = np.clip(np.round(x * 1024), -16 * 1024, 16 * 1024).astype(int)
+        data[g] = x / 1024
+        rows += [(*g, False, *map(int, v)) for v in x]
+    rows += [("en", "s", True, 0, 0, 0, 0, 0)]
+    stats = spark.createDataFrame(rows, "lang string, source string, base_failed boolean, " + ", ".join(f"x{j} long" for j in range(5)))
+    got = {(r.e_lang, r.e_source): r for r in quality.estimates(stats).collect()}
+    pooled = plain_mcd(np.vstack(list(data.values())))
+    assert set(got) == set(groups)
+    for g, x in data.items():
+        m, c = plain_mcd(x)
+        w = len(x) / (len(x) + quality.PRIOR)
+        mean, cov = w * m + (1 - w) * pooled[0], w * c + (1 - w) * pooled[1] + w * (1 - w) * np.outer(m - pooled[0], m - pooled[0])
+        factor = np.array([[got[g][f"r{j}{k}"] if k <= j else 0 for k in range(5)] for j in range(5)])
+        # whole bins of distances are taken, so subsets differ by a few documents
+        assert np.abs(np.array([got[g][f"m{j}"] for j in range(5)]) - mean).max() < 0.15 * np.sqrt(np.diag(cov).max())
+        assert np.abs(factor @ factor.T - cov).max() < 0.2 * np.abs(cov).max()
+
+
+def test_quality_odd_rows(spark):
+    good = " ".join(f"word{i}" for i in range(50))
+    rows = [(1, None, "en", "a"), (2, "", "en", "a"), (None, good, None, None), (3, good, "en", "a"), (3, good, "en", "a"), (4, "w " * 200_000, "en", "a"), (5, " ".join(f"v{i}" for i in range(100_000)), "en", "a")]
+    df = spark.createDataFrame([(*r, 1, 2.0) for r in rows], "doc_id long, text string, lang string, source string, n_words int, x0 double")
+    got = quality.judge(df).collect()
+    assert sorted(str(r.doc_id) for r in got) == ["1", "2", "3", "3", "4", "5", "None"]
+    assert all(r.base_failed and not r.kept for r in got if r.doc_id in (1, 2, 4)) and len({r.distance2 for r in got if r.doc_id == 3}) == 1
+    kept = quality.keep_good(df)
+    assert kept.columns == df.columns and sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r.doc_id) for r in got if r.kept)
+    assert quality.keep_good(df.limit(0)).count() == quality.judge(df.limit(0)).count() == 0
+
+
 def test_mixing(spark):
     same(mixing.op8_mixing(spark, SF), mixing.mix_sql())
     rows = [(i, "w " * n, s) for i, (n, s) in enumerate([(10, "a"), (1000, "b"), (3, "c"), (0, "a"), (7, None), (500, "b"), (1, "d")])] + [(None, None, "a"), (5, "w " * 500, "b")]
