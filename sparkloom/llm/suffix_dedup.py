@@ -8,8 +8,9 @@ some twenty times the input in each of eight rounds, so two things are pruned wi
 * Rank 100 is given to content-chosen positions only. Every 200-byte window holds 101 strings of 100 bytes; the one with
   the least hash is its anchor, so equal windows have equal anchors at equal distances. Windows whose anchor is unique in
   the corpus are unique.
-* Neighbouring windows with one anchor form a run, a row of 28 bytes. Runs whose whole context (the bytes that all their
-  windows cover) occurs twice are duplicates at once, and need no rank per window.
+* Neighbouring windows with one anchor form a run, a row of 40 bytes. Runs whose whole context (the bytes that all their
+  windows cover) occurs twice are duplicates at once, and need no rank per window; contexts are told by 64-bit hashes, as
+  ranks are.
 
 Runs are combined by context in each segment before they are shuffled, as a group-by does map-side, so that copies and
 periodic texts do not gather at one anchor. For the runs left, one of each context goes on to rank 200: their windows are hashed with their distance to the anchor
@@ -145,7 +146,7 @@ def _combine(keys: np.ndarray, p: np.ndarray, n: np.ndarray, off: np.ndarray, gr
     total = np.add.reduceat(n[some], np.flatnonzero(opens)) if len(some) else np.zeros(0, np.int64)
     own = _mix(_mix(keys[head].view(np.uint64)) ^ p[head].astype(np.uint64))
     join = lambda a, b: np.concatenate([a, b])
-    return [join(gram[rest], own).view(np.int64), join(context[rest].view(np.int64).astype(np.int32), np.zeros(len(head), np.int32)), join(keys[rest], keys[head]),
+    return [join(gram[rest], own).view(np.int64), join(context[rest].view(np.int64), np.zeros(len(head), np.int64)), join(keys[rest], keys[head]),
             join(p[rest], p[head]), join(n[rest], total).astype(np.int32), join(off[rest], np.full(len(head), SETTLED)).astype(np.int32)]
 
 
@@ -359,7 +360,7 @@ def dedup(docs: DataFrame, keep_text: bool = True, most_contexts: int = HOT, hel
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes, null unless asked for)."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keyed = docs.select(F.xxhash64("doc_id", "text").alias("row"), "text")
-    found = keyed.where(F.octet_length("text") >= LENGTH).mapInArrow(_survey, "h long, c int, row long, p long, n int, off int")
+    found = keyed.where(F.octet_length("text") >= LENGTH).mapInArrow(_survey, "h long, c long, row long, p long, n int, off int")
     ranked = cut(found.repartition(n, "h").sortWithinPartitions("h", "c").mapInArrow(_first_rank(most_contexts, held), "h long, row long, p long, n int, off int, state int"))
     asked = ranked.where(f"state <> {KNOWN}").groupBy("row").agg(F.collect_list(F.struct("h", "p", "n", "off", "state")).alias("asked"))
     packed = _packed(docs)
