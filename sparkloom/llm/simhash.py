@@ -20,6 +20,7 @@ empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import accumulate, combinations
 
@@ -36,6 +37,9 @@ SEED = 42
 BITS = 3
 SHARED = 5
 HOT = 256
+#: Bytes of a text that are read at once, and what ends a section.
+SECTION = 1 << 20
+INSIDE = re.compile(rb"[^ \t\n\x0b\f\r]*")
 
 
 def _signed(x: int) -> int:
@@ -63,20 +67,38 @@ def _finer(block) -> list[int]:
 FINER = [_finer(b) for b in BLOCKS]
 
 
+def _sections(text: bytes) -> Iterator[list[bytes]]:
+    """The words of a text, about ``SECTION`` bytes of it at a time."""
+    at = 0
+    while at < len(text):
+        end = min(len(text), at + SECTION)
+        end += len(INSIDE.match(text, end)[0])
+        yield text[at:end].split()
+        at = end
+
+
 def fingerprint(text: bytes | None, words: int = 3) -> int:
-    """Unsigned fingerprint of a UTF-8 text."""
+    """Unsigned fingerprint of a UTF-8 text; of a long one some sections' shingles are held at once."""
     import xxhash
 
-    found = (text or b"").lower().split()
-    if not found:
-        return 0
-    joined, n = b" ".join(found), max(1, len(found) - words + 1)
-    ends = list(accumulate(map(len, found), lambda a, x: a + 1 + x))
-    starts = [0, *(e + 1 for e in ends[: n - 1])]
     digest = xxhash.xxh64_digest
-    hashes = b"".join([digest(joined[a:b], SEED) for a, b in zip(starts, ends[min(words, len(found)) - 1 :], strict=True)])
-    ones = np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(n, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
+    total, ones, last = 0, np.zeros(64, np.int64), []
+    for section in _sections((text or b"").lower()):
+        found = [*last, *section]
+        n = len(found) - words + 1
+        if n > 0:
+            joined = b" ".join(found)
+            ends = list(accumulate(map(len, found), lambda a, x: a + 1 + x))
+            starts = [0, *(e + 1 for e in ends[: n - 1])]
+            hashes = b"".join([digest(joined[a:b], SEED) for a, b in zip(starts, ends[words - 1 :], strict=True)])
+            ones += np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(n, 8), axis=1).sum(axis=0, dtype=np.int64)
+            total += n
+        last = found[max(0, n) :]
+    if not total:
+        if not last:
+            return 0
+        ones, total = np.unpackbits(np.frombuffer(digest(b" ".join(last), SEED), np.uint8)).astype(np.int64), 1
+    return int.from_bytes(np.packbits(2 * ones > total).tobytes(), "big")
 
 
 def fingerprints(docs: DataFrame, words: int = 3, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -94,10 +116,14 @@ def fingerprints(docs: DataFrame, words: int = 3, keep: tuple[str, ...] = ("doc_
 
 
 def _close(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Count filter and verification of pairs of unsigned fingerprints."""
-    differ = np.ascontiguousarray(x ^ y)
-    shared = (differ.view(np.uint8).reshape(*differ.shape, 8) == 0).sum(axis=-1)
-    return (shared >= SHARED) & (np.bitwise_count(differ) <= BITS)
+    """Indices of the pairs of unsigned fingerprints that are linked: shared positional bytes are tallied for all, and the
+    pairs that reach the guaranteed minimum are verified by their bits."""
+    tally = np.zeros(len(x), np.int8)
+    differ = x ^ y
+    for p in range(8):
+        tally += differ & np.uint64(0xFF << 8 * p) == 0
+    candidates = np.flatnonzero(tally >= SHARED)
+    return candidates[np.bitwise_count(differ[candidates]) <= BITS]
 
 
 def _roots(n: int, pairs) -> np.ndarray:
@@ -119,7 +145,9 @@ def _list_links(fps: np.ndarray) -> np.ndarray:
     """Index of each fingerprint's representative within one list of distinct fingerprints."""
     m = len(fps)
     if m <= 2048:
-        return _roots(m, [np.nonzero(np.triu(_close(fps[:, None], np.broadcast_to(fps, (m, m))), 1))])
+        i, j = np.triu_indices(m, 1)
+        near = _close(fps[i], fps[j])
+        return _roots(m, [(i[near], j[near])])
     order = np.argsort(fps)
     ranked = fps[order]
     varying = int(np.bitwise_or.reduce(ranked ^ ranked[0]))
