@@ -7,14 +7,18 @@ repositories looks live, one that several owners or many repositories hold is a
 span of kind ``owned`` for each live-looking token; base spans always stay.
 
 All of it is DataFrame work. Positions come from splitting a text by the very pattern that was extracted: piece and
-match lengths alternate. Offsets are code points, ends exclusive. Defined results: null texts count as empty and have no
-spans (the digest is that of the empty string); a null source is one owner of its own; null or repeated doc_ids are
-rows of their own; an empty table gives an empty result; other columns are ignored.
+match lengths alternate, and their running sums are taken over rows of matches, so that a text with very many matches
+costs no more a match than others. Overlaps are told from the latest end before a token and the next start after it.
+
+Offsets are code points, ends exclusive. Defined results: null texts count as empty and have no spans (the digest is that
+of the empty string); a null source is one owner of its own; null or repeated doc_ids are rows of their own, and a null
+doc_id is one repository of each owner; a value that occurs twice in one place counts there once; an empty table gives an
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import cut, let, table
@@ -26,28 +30,27 @@ ASSIGN_LENGTH = 12
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 KINDS = ("assign", "access", "hex", "owned")
+OWNED = 3
 #: The method's own candidates: tokens of at least this length with a letter and a digit; most repositories of a live value.
 TOKEN = r"[A-Za-z0-9+/_=-]{24,}"
 REPOS = 3
 
 
-def _spans(text: Column, pattern: str, kind: int, value_group: int = 0, value_length: int = 0) -> Column:
-    """array<struct<start, kind, end, value>> of the leftmost non-overlapping matches with a long enough value."""
-    empty = F.array().cast("array<struct<start:long,kind:int,end:long,value:string>>")
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+def _matches(text: Column, pattern: str, kind: int, value_group: int = 0, value_length: int = 0) -> Column:
+    """array<struct<kind, gap, len, good, hash>> of the leftmost non-overlapping matches in order, each with the length of
+    the piece before it; ``good`` if the value is long enough (and of tokens, if it has a letter and a digit)."""
 
     def placed(m: Column) -> Column:
         pieces = F.split(text, pattern, -1)
         values = F.regexp_extract_all(text, F.lit(pattern), F.lit(value_group)) if value_group else m
-        zipped = F.arrays_zip(F.transform(F.slice(pieces, 1, F.size(m)), lambda p: F.length(p).cast("long")).alias("gap"), F.transform(m, lambda x: F.length(x).cast("long")).alias("len"), values.alias("value"))
-        start = F.struct(F.lit(0).cast("long").alias("at"), empty.alias("found"))
-        step = lambda a, x: F.struct(
-            (a["at"] + x["gap"] + x["len"]).alias("at"),
-            F.when(F.length(x["value"]) >= value_length, F.concat(a["found"], F.array(F.struct(
-                (a["at"] + x["gap"]).alias("start"), F.lit(kind).alias("kind"), (a["at"] + x["gap"] + x["len"]).alias("end"), x["value"].alias("value"))))).otherwise(a["found"]).alias("found"))
-        return F.aggregate(zipped, start, step)["found"]
+        zipped = F.arrays_zip(F.slice(pieces, 1, F.size(m)).alias("piece"), m.alias("match"), values.alias("value"))
+        good = lambda v: v.rlike("[0-9]") & v.rlike("[A-Za-z]") if kind == OWNED else F.length(v) >= value_length
+        return F.transform(zipped, lambda x: F.struct(
+            F.lit(kind).alias("kind"), F.length(x["piece"]).cast("long").alias("gap"), F.length(x["match"]).cast("long").alias("len"),
+            good(x["value"]).alias("good"), F.md5(x["value"]).alias("hash")))
 
-    return let(matches, lambda m: F.when(F.size(m) == 0, empty).otherwise(placed(m)))
+    none = F.array().cast("array<struct<kind:int,gap:long,len:long,good:boolean,hash:string>>")
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.when(F.size(m) == 0, none).otherwise(placed(m)))
 
 
 def _joined(spans: Column) -> Column:
@@ -57,26 +60,32 @@ def _joined(spans: Column) -> Column:
 
 def scan(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, base (array of spans), owned (array of added spans), n_live, n_copied."""
-    found = docs.select("doc_id", "source", F.coalesce(F.col("text"), F.lit("")).alias("text")).select(
-        "doc_id", "source",
-        F.sort_array(F.concat(_spans(F.col("text"), ASSIGN, 0, 2, ASSIGN_LENGTH), _spans(F.col("text"), ACCESS, 1), _spans(F.col("text"), HEX, 2))).alias("base"),
-        F.filter(_spans(F.col("text"), TOKEN, 3), lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]")).alias("tokens"))
-    hashed = lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.md5(s["value"]).alias("hash"))
-    rows = cut(found.select(
+    text = F.col("text")
+    found = docs.select("doc_id", "source", F.coalesce(text, F.lit("")).alias("text")).select(
         F.monotonically_increasing_id().alias("row"), "doc_id", "source",
-        F.transform("base", hashed).alias("base"),
-        let(F.col("base"), lambda base: F.transform(F.filter(F.col("tokens"), lambda t: ~F.exists(base, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))), hashed)).alias("tokens")))
-    candidates = rows.select("row", "doc_id", "source", F.explode(F.concat("base", "tokens")).alias("s")).select(
-        "row", "doc_id", "source", "s.*")
+        F.concat(_matches(text, ASSIGN, 0, 2, ASSIGN_LENGTH), _matches(text, ACCESS, 1), _matches(text, HEX, 2), _matches(text, TOKEN, OWNED)).alias("m"))
+    rows = cut(found)
+    matches = rows.where(F.size("m") > 0).select("row", "doc_id", "source", F.posexplode("m").alias("at", "m")).select("row", "doc_id", "source", "at", "m.*")
+    upto = Window.partitionBy("row", "kind").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # one shuffle by row serves both windows: a group is one document's matches
+    spans = matches.repartition(n, "row").withColumn("end", F.sum(F.col("gap") + F.col("len")).over(upto)).withColumn("start", F.col("end") - F.col("len")).where("good")
+    inside = Window.partitionBy("row").orderBy("start", "kind")
+    base = F.col("kind") < OWNED
+    covered = (F.coalesce(F.max(F.when(base, F.col("end"))).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1)) > F.col("start")) | (
+        F.coalesce(F.min(F.when(base, F.col("start"))).over(inside.rowsBetween(1, Window.unboundedFollowing)), F.col("end")) < F.col("end"))
+    candidates = cut(spans.withColumn("covered", covered).where(base | ~F.col("covered")).select("row", "doc_id", "source", "start", "kind", "end", "hash"))
     owners = candidates.groupBy("hash", "source", "doc_id").agg(F.lit(1).alias("one")).groupBy("hash", "source").agg(F.count("*").alias("repos")).groupBy("hash").agg(
         F.count("*").alias("owners"), F.sum("repos").alias("repos"))
     judged = candidates.select("row", "start", "kind", "end", "hash").join(owners, "hash").withColumn("live", (F.col("owners") == 1) & (F.col("repos") <= REPOS))
+    span = F.struct("start", "kind", "end")
     added = judged.groupBy("row").agg(
-        F.sort_array(F.collect_list(F.when(F.col("live") & (F.col("kind") == 3), F.struct("start", "kind", "end")))).alias("owned"),
+        F.sort_array(F.collect_list(F.when(F.col("kind") < OWNED, span))).alias("base"),
+        F.sort_array(F.collect_list(F.when(F.col("live") & (F.col("kind") == OWNED), span))).alias("owned"),
         F.count_if("live").alias("n_live"), F.count_if(~F.col("live")).alias("n_copied"))
-    return rows.join(added, "row", "left").select(
-        "doc_id", F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))).alias("base"),
-        F.coalesce("owned", F.array().cast("array<struct<start:long,kind:int,end:long>>")).alias("owned"),
+    none = F.array().cast("array<struct<start:long,kind:int,end:long>>")
+    return rows.select("row", "doc_id").join(added, "row", "left").select(
+        "doc_id", F.coalesce("base", none).alias("base"), F.coalesce("owned", none).alias("owned"),
         F.coalesce("n_live", F.lit(0)).cast("long").alias("n_live"), F.coalesce("n_copied", F.lit(0)).cast("long").alias("n_copied"))
 
 
