@@ -76,17 +76,77 @@ def test_blocks_cover_every_five_positions():
     assert all(any(set(b) <= set(five) for b in simhash.BLOCKS) for five in combinations(range(8), 5))
 
 
+def plain_line_dedup(rows):
+    """The rule in plain code: chunks between least rolling hashes, later ones go, and lines next to them as at the first."""
+    def chunks(text):
+        lines = text.split("\n")
+        h = [int(hashlib.md5(x.encode()).hexdigest()[:15], 16) % line_dedup.PRIME for x in lines]
+        r = [((h[i - 1] if i else 0) * line_dedup.FACTOR + x) % line_dedup.PRIME for i, x in enumerate(h)]
+        out, at = [], 0
+        for i in range(len(lines)):
+            if i == len(lines) - 1 or (i and r[i] < r[i - 1] and r[i] <= r[i + 1]):
+                out.append(lines[at : i + 1])
+                at = i + 1
+        return out
+
+    cut = [(i, chunks(t)) for i, t in rows if t is not None]
+    first, anchors = {}, {}
+    for d, (_, cs) in sorted(enumerate(cut), key=lambda x: (x[1][0] is not None, x[1][0])):
+        for k, c in enumerate(cs):
+            if len(c) >= 2 and first.setdefault(tuple(c), (d, k)) != (d, k):
+                f, j = first[tuple(c)]
+                anchors[d, k] = (cut[f][1][j - 1] if j else [], cut[f][1][j + 1] if j + 1 < len(cut[f][1]) else [])
+    out = {}
+    for d, (i, cs) in enumerate(cut):
+        left = []
+        for k, c in enumerate(cs):
+            head = next((n for n, (x, y) in enumerate(zip(c, anchors.get((d, k - 1), ((), ()))[1])) if x != y), min(len(c), len(anchors.get((d, k - 1), ((), ()))[1])))
+            before = anchors.get((d, k + 1), ((), ()))[0]
+            tail = next((n for n, (x, y) in enumerate(zip(reversed(c), reversed(before))) if x != y), min(len(c), len(before)))
+            left += [] if (d, k) in anchors else c[head : max(head, len(c) - tail)]
+        out[i] = "\n".join(left), sum(map(len, cs)), sum(map(len, cs)) - len(left)
+    return out
+
+
 def test_line_dedup(spark):
     same(line_dedup.op2_lines(spark, SF), line_dedup.dedup_sql())
     lines = "a\nb\nc\nd\ne\nf\ng\nh"
     rows = [(0, None), (1, ""), (None, lines), (2, lines), (2, lines), (3, "x\n" + lines + "\nz"), (4, "\n\n\n\n\n"), (5, "q" * 100_000)]
     df = spark.createDataFrame([(i, t, 7, "k") for i, t in rows], "doc_id long, text string, n_lines int, _row string")
     got = {(r.doc_id, r._row): r for r in line_dedup.dedup(df).collect()}
-    assert got[None, "k"].n_removed == 0 and got[0, "k"].text is None and got[2, "k"].n_removed == 6 and got[3, "k"].text.startswith("x") and got[1, "k"].n_lines == 1
+    want = plain_line_dedup([r for n, r in enumerate(rows) if n != 4])
+    assert got[0, "k"].text is None and got[1, "k"].n_lines == 1 and line_dedup.dedup(df).count() == len(rows)
+    assert all((got[i, "k"].text, got[i, "k"].n_lines, got[i, "k"].n_removed) == w for i, w in want.items())
+    assert want[3][0].startswith("x\n") and want[3][0].endswith("z") and want[3][2] >= 6 and want[2][2] >= 6
     assert line_dedup.dedup(df, counts=False).columns == df.columns
     assert line_dedup.dedup(df.limit(0)).count() == 0
 
 
+def test_line_dedup_passages(spark):
+    """Passages in many places: all but the first go, with their ends, and what stands around them stays."""
+    rnd = random.Random(8)
+    line = lambda: "".join(rnd.choice("abcdefgh") for _ in range(12))
+    passages = [[line() for _ in range(n)] for n in (6, 8, 10, 12, 20, 40)]
+    rows, whole = [], 0
+    for i in range(60):
+        parts = [[line() for _ in range(rnd.randrange(0, 6))] for _ in range(3)]
+        rows.append((i, "\n".join([*parts[0], *passages[i % 6], *parts[1], *passages[(i * 7 + 3) % 6], *parts[2]])))
+    got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == plain_line_dedup(rows)
+    own = {x for p in passages for x in p}
+    for i, t in rows:
+        assert [x for x in t.split("\n") if x not in own] == [x for x in got[i][0].split("\n") if x not in own and x]
+    kept = collections.Counter(x for t, _, _ in got.values() for x in t.split("\n") if x in own)
+    assert set(kept) == own and sum(n == 1 for n in kept.values()) > 0.8 * len(own)
+
+
+def test_line_dedup_of_very_many_lines(spark):
+    text = "\n".join(f"line {i % 100_000}" for i in range(200_000))
+    got = line_dedup.dedup(spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string")).collect()
+    want = plain_line_dedup([(1, text), (2, text)])
+    assert {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in got} == want and want[2][2] > 199_990
+
+
 def test_line_dedup_compares_bytes(spark, monkeypatch):
     # with hashes that all collide, chunks that differ stay
     monkeypatch.setattr(line_dedup.F, "xxhash64", lambda *c: F.lit(1).cast("long") if len(c) == 1 else F.crc32(F.concat_ws("|", *c).cast("binary")))
