@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.functions import color, text
+from sparkloom.functions import color, style, text
 from sparkloom.functions.numbers import any_of
 from sparkloom.operators.aggs import global_number
 from sparkloom.operators.joins import asof_backward
@@ -29,6 +29,15 @@ class Tables:
     variants: DataFrame | None = None  # component, prop, legal array<string>
     kit_packages: DataFrame | None = None  # package, exports array<string>
     upstream: DataFrame | None = None  # package, wrapper
+    palette: DataFrame | None = None  # id, cssVariable, tier (primitive or semantic), hex, role
+    scales: DataFrame | None = None  # scale, px double, token
+    typography: DataFrame | None = None  # id, fontFamily, fontSize, fontWeight, lineHeight, letterSpacing
+    patterns: DataFrame | None = None  # component, roles array<string>, keysHandled array<string>
+    icons: DataFrame | None = None  # name, size, fingerprint
+    source_lines: DataFrame | None = None  # file, line, text
+    svg_files: DataFrame | None = None  # file, content string
+    signatures: DataFrame | None = None  # name, synonyms, propSignature, propWeights, ariaRoles, ariaAttributes, nativeTags, cssProperties, astSignature
+    slots: DataFrame | None = None  # component, slot, inner; without it no part counts as inner
 
 
 @dataclass
@@ -130,9 +139,12 @@ def lint(t: Tables) -> DataFrame:
 @rule("a11y.focus.suppressed", "a11y", "style_values")
 def focus_suppressed(t: Tables) -> DataFrame:
     """outline: none minus blocks that draw another indicator; blanket ones also minus files that style focus at all."""
-    v = t.style_values.withColumn("_focus", F.lower("selector").rlike(r":focus|\.focus"))
-    suppressing = v.where(F.col("property").isin("outline", "outline-style", "outline-width") & F.lower(F.trim("value")).isin(SUPPRESSING))
-    draws = v.where(F.col("property").isin(INDICATORS) & ~F.lower(F.trim("value")).isin(SUPPRESSING))
+    v = t.style_values.where("not dynamic").withColumn("_focus", F.coalesce(F.lower("selector").contains("focus"), F.lit(False)))
+    plain = F.lower(F.trim("value"))
+    none = F.col("property").isin("outline", "outline-style") & F.array_contains(F.split(plain, r"\s+"), "none")
+    v = v.withColumn("_off", none | (F.col("property").isin("outline", "outline-style", "outline-width") & plain.isin(SUPPRESSING)))
+    suppressing = v.where("_off")
+    draws = v.where(F.col("property").isin(INDICATORS) & ~F.col("_off") & (F.trim("value") != "0"))
     bare = suppressing.join(draws.select("file", "selector").distinct(), ["file", "selector"], "left_anti")
     on_focus = finding(bare.where("_focus"), "a11y.focus.suppressed", "a11y", "error", 0.95, F.concat_ws(": ", "property", "value"), None, F.lit("onFocus"))
     blanket = bare.where(~F.col("_focus") & ~F.col("source").isin(FLATTENED)).join(draws.where("_focus").select("file").distinct(), "file", "left_anti")
@@ -193,7 +205,7 @@ def pattern_focus(t: Tables) -> DataFrame:
 
 @rule("font.foreign", "font", "style_values")
 def font_foreign(t: Tables, stack: tuple[str, ...] = ("inter", "sans-serif", "inherit", "initial", "unset")) -> DataFrame:
-    families = F.filter(F.transform(F.split("value", ","), lambda x: F.lower(F.trim(F.regexp_replace(x, "[\"']", "")))), lambda x: (x != "") & ~x.isin(*stack))
+    families = F.filter(style.font_families(F.col("value")), lambda x: ~x.isin(*stack))
     rows = t.style_values.where("property = 'font-family' and not contains(value, 'var(')").withColumn("_f", families).where(F.size("_f") > 0)
     return finding(rows, "font.foreign", "font", "error", 1.0, F.col("value"), F.array_join("_f", ","))
 
@@ -265,14 +277,10 @@ def component_duplicate(t: Tables) -> DataFrame:
     return finding(best, "component.duplicate", "component", "candidate", 0.9, F.col("name"), F.col("name"), None, F.col("members").cast("string"))
 
 
-@rule("style.override.important", "override", "style_values")
-def override_important(t: Tables) -> DataFrame:
-    rows = t.style_values.where("appliedTo.kind = 'kit' and (important or value rlike '(?i)!\\\\s*important\\\\s*$')")
-    return finding(rows, "style.override.important", "override", "error", 1.0, F.concat_ws(": ", "property", "value"), F.col("appliedTo.name"))
-
-
 def applicable(tables: Tables, categories: list[str] | None = None) -> list[Rule]:
     """Rules of the wanted categories whose tables are there."""
+    import sparkloom.plans.rules_kit  # noqa: F401  registers the rules of a dictionary
+
     return [r for r in REGISTRY.values() if (categories is None or r.category in categories) and all(getattr(tables, n) is not None for n in r.needs)]
 
 

@@ -11,7 +11,7 @@ ELEMENTS = (
 IMPORTS = "file string, line int, column int, ord int, specifier string, names array<struct<imported:string,local:string,typeOnly:boolean>>, defaultImport string, typeOnly boolean"
 DECLARATIONS = (
     "file string, line int, column int, ord int, name string, kind string, props array<string>, ariaRoles array<string>, ariaAttributes array<string>, "
-    "nativeTags array<string>, astSignature array<string>, elementCount int, usages int")
+    "nativeTags array<string>, astSignature array<string>, elementCount int, usages int, kitComponentsUsed array<string>, cssProperties array<string>")
 LINT_MESSAGES = "file string, line int, column int, ord int, rule string, message string"
 LIMITATIONS = "file string, line int, reason string, detail string"
 FINDING = ("rule", "subkind", "category", "severity", "confidence", "file", "line", "column", "ord", "actual", "expected", "impactKey")

@@ -7,14 +7,20 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-COLUMNS = "file string, line int, column int, ord int, property string, value string, source string, selector string, important boolean"
+from sparkloom.functions.text import class_names
+from sparkloom.schemas import STYLE_VALUES
+
+#: Working columns of the scanner; style_values derives the rest of the fact table.
+COLUMNS = "file string, line int, column int, ord int, property string, authored string, source string, selector string"
 TOKEN = re.compile(r"""/\*.*?(?:\*/|$)|"(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*'|[{};]""", re.S)
 LINE_COMMENT = re.compile(r"(?<![:\w])//[^\n]*")
 
 
 def scan(text: str, source: str = "css") -> list[tuple]:
-    """(line, column, property, value, selector, important) of every declaration; nested selectors are joined by spaces.
+    """(line, column, property, value as written, selector) of every declaration; nested selectors are joined by spaces.
 
     Variables ($x, --x, @x) are no style values; at-rules only nest.
     """
@@ -35,9 +41,8 @@ def scan(text: str, source: str = "css") -> list[tuple]:
         at = start + len(name) - len(name.lstrip())
         line = next((i for i in range(len(starts) - 1, -1, -1) if starts[i] <= at), 0)
         value = value.strip()
-        important = bool(re.search(r"!\s*important\s*$", value, re.I))
         selector = " ".join(s for s in stack if not s.startswith("@"))
-        out.append((line + 1, at - starts[line] + 1, prop.lower(), re.sub(r"\s*!\s*important\s*$", "", value, flags=re.I), selector, important))
+        out.append((line + 1, at - starts[line] + 1, prop.lower(), value, selector))
 
     for m in TOKEN.finditer(text):
         c = m[0]
@@ -58,7 +63,10 @@ def scan(text: str, source: str = "css") -> list[tuple]:
 
 
 def style_values(files: DataFrame) -> DataFrame:
-    """style_values of (file, content) rows; a file that cannot be decoded gives none."""
+    """The style_values table of (file, content) rows; a file that cannot be decoded gives none (see :func:`unreadable`).
+
+    Values of stylesheets are static and linked to no element yet.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -69,7 +77,16 @@ def style_values(files: DataFrame) -> DataFrame:
                     text = bytes(content).decode("utf-8")
                 except UnicodeDecodeError:
                     continue
-                rows += [(file, line, column, i, p, v, kind, s, imp) for i, (line, column, p, v, s, imp) in enumerate(scan(text, kind))]
-            yield pd.DataFrame(rows, columns=["file", "line", "column", "ord", "property", "value", "source", "selector", "important"])
+                rows += [(file, line, column, i, p, v, kind, s) for i, (line, column, p, v, s) in enumerate(scan(text, kind))]
+            yield pd.DataFrame(rows, columns=["file", "line", "column", "ord", "property", "authored", "source", "selector"])
+
+    mark = r"(?i)\s*!\s*important\s*$"
+    return files.select("file", "content").mapInPandas(run, COLUMNS).select(
+        "file", "line", "column", "ord", "property", F.regexp_replace("authored", mark, "").alias("value"), "authored", "source", "selector", class_names(F.col("selector")).alias("classNames"),
+        F.col("authored").rlike(mark).alias("important"), F.lit(False).cast("boolean").alias("dynamic"), F.lit(None).cast("struct<kind:string,name:string,slot:string>").alias("appliedTo")).to(StructType.fromDDL(STYLE_VALUES))
+
 
-    return files.select("file", "content").mapInPandas(run, COLUMNS)
+def unreadable(files: DataFrame) -> DataFrame:
+    """Limitations for files whose content is no UTF-8."""
+    bad = F.try_validate_utf8(F.col("content").cast("string")).isNull()
+    return files.where(bad).select("file", F.lit(None).cast("int").alias("line"), F.lit("unreadable-file").alias("reason"), F.lit("not UTF-8").alias("detail"))
