@@ -45,13 +45,15 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def closure(seeds: DataFrame, edges: DataFrame, limit: int = 64) -> DataFrame:
+def closure(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, origin, depth): what each seed (node, origin) reaches over edges (a, b), at its least depth.
 
-    Semi-naive: each round joins only what the last round added.
+    Semi-naive: each round joins only what the last round added, until it adds nothing.
     """
     known = fresh = cut(seeds.select("node", "origin", F.lit(0).alias("depth")).distinct())
-    for depth in range(1, limit + 1):
+    depth = 0
+    while True:
+        depth += 1
         step = fresh.join(edges, fresh["node"] == edges["a"]).select(F.col("b").alias("node"), "origin").distinct()
         fresh = cut(step.join(known.select("node", "origin"), ["node", "origin"], "left_anti").withColumn("depth", F.lit(depth)))
         if fresh.isEmpty():

@@ -44,10 +44,9 @@ def longest_prefix_join(rows: DataFrame, key: str, rules: DataFrame, rule_key: s
     return rows.join(best, key, "left")
 
 
-def nearest(rows: DataFrame, candidates: DataFrame, distance: Column, key: list[str], tie: list[str], take: list[str], most: int = 10_000) -> DataFrame:
-    """Each key with its nearest candidate. The candidates are a dictionary of at most ``most`` rows, which is checked."""
-    if candidates.limit(most + 1).count() > most:
-        raise ValueError(f"nearest() compares with a dictionary of at most {most} rows")
-    pairs = rows.join(F.broadcast(candidates), how="inner").withColumn("_d", distance)
+def nearest(rows: DataFrame, candidates: DataFrame, distance: Column, key: list[str], tie: list[str], take: list[str]) -> DataFrame:
+    """Each key with its nearest candidate. Every row meets every candidate, which suits a dictionary: Spark broadcasts it
+    while it is under its size limit, and else joins without, whatever its size."""
+    pairs = rows.join(candidates, F.lit(True)).withColumn("_d", distance)
     best = pairs.groupBy(*key).agg(F.min(F.struct("_d", *tie, *[c for c in take if c not in tie])).alias("_b"))
     return best.select(*key, *(F.col(f"_b.{c}").alias(c) for c in take), F.col("_b._d").alias("distance"))

@@ -85,13 +85,13 @@ def typography_match(spark, sf):
 
 
 @query("component_score", """
-WITH d AS (SELECT s_suppkey AS id, s_nationkey AS k, s_acctbal AS bal, s_name FROM supplier WHERE s_suppkey < 20),
+WITH d AS (SELECT s_suppkey AS id, s_nationkey AS k, s_acctbal AS bal, s_name FROM supplier),
 x AS (SELECT c_custkey, id, floor((1 - (1 - 0.6::DOUBLE * CASE WHEN c_nationkey = k THEN 1 ELSE 0 END) * (1 - 0.3::DOUBLE * CASE WHEN abs(c_acctbal - bal) < 1000 THEN 1 ELSE 0 END)) * 1000 + 0.5) / 1000 AS score FROM customer, d),
 r AS (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY score DESC, id) AS r FROM x WHERE score > 0)
 SELECT c_custkey, id, score, r::INT AS rank, CASE WHEN score >= 0.6 THEN 'custom' WHEN score >= 0.3 THEN 'ambiguous' ELSE 'novel' END AS verdict FROM r WHERE r <= 3""")
 def component_score(spark, sf):
-    d = table(spark, sf, "supplier").where("s_suppkey < 20").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("k"), F.col("s_acctbal").alias("bal"))
-    pairs = table(spark, sf, "customer").join(F.broadcast(d), (F.col("c_nationkey") == F.col("k")) | (F.abs(F.col("c_acctbal") - F.col("bal")) < 1000))  # under 20 dictionary rows
+    d = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("k"), F.col("s_acctbal").alias("bal"))
+    pairs = table(spark, sf, "customer").join(d, (F.col("c_nationkey") == F.col("k")) | (F.abs(F.col("c_acctbal") - F.col("bal")) < 1000))
     parts = F.array(0.6 * (F.col("c_nationkey") == F.col("k")).cast("double"), 0.3 * (F.abs(F.col("c_acctbal") - F.col("bal")) < 1000).cast("double"))
     scored = pairs.select("c_custkey", "id", noisy_or(parts).alias("score")).where("score > 0")
     top = scored.withColumn("rank", F.row_number().over(Window.partitionBy("c_custkey").orderBy(F.desc("score"), "id"))).where("rank <= 3")

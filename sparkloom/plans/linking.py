@@ -198,13 +198,13 @@ def closure(spark, sf):
 
 
 @query("chain_resolve", """
-WITH RECURSIVE n AS (SELECT p_partkey AS node, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE (p_partkey * 7 + 3) % 50 END AS next FROM part WHERE p_partkey < 50),
+WITH RECURSIVE n AS (SELECT p_partkey AS node, CASE WHEN p_partkey % 5 = 0 THEN NULL WHEN p_partkey % 11 = 7 THEN p_partkey + 1 WHEN p_partkey % 11 = 8 THEN p_partkey - 1 ELSE p_partkey // 2 END AS next FROM part),
 w AS (SELECT node AS start, node AS here, [node] AS path, false AS loops FROM n UNION ALL
  SELECT w.start, n.next, list_append(w.path, n.next), list_contains(w.path, n.next) FROM w JOIN n ON w.here = n.node WHERE n.next IS NOT NULL AND NOT w.loops AND len(w.path) <= 9),
 l AS (SELECT start, arg_max({'a': here, 'l': loops, 'p': path}, len(path)) AS x FROM w GROUP BY start)
 SELECT start, CASE WHEN x.l OR len(x.p) > 9 THEN NULL ELSE x.a END AS "end" FROM l""")
 def chain_resolve(spark, sf):
-    nodes = table(spark, sf, "part").where("p_partkey < 50").select(F.col("p_partkey").alias("node"), F.when(F.col("p_partkey") % 3 != 0, (F.col("p_partkey") * 7 + 3) % 50).alias("next"))
+    nodes = table(spark, sf, "part").selectExpr("p_partkey AS node", "CASE WHEN p_partkey % 5 = 0 THEN NULL WHEN p_partkey % 11 = 7 THEN p_partkey + 1 WHEN p_partkey % 11 = 8 THEN p_partkey - 1 ELSE p_partkey div 2 END AS next")
     return graph.chain_end(nodes.select("node"), nodes.where("next is not null")).select("start", "end")
 
 

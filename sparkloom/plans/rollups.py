@@ -91,9 +91,11 @@ def matches_filters(spark, sf):
     return table(spark, sf, "orders").where(F.col("o_orderstatus").isin("O", "F") & F.col("o_totalprice").between(1000, 200000) & text.contains("high")).select("o_orderkey", "o_orderstatus")
 
 
-@query("clean_entities", "SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+@query("clean_entities", """
+SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_orderpriority = '1-URGENT' AND o_orderstatus = 'F')""")
 def clean_entities(spark, sf):
-    return table(spark, sf, "customer").join(table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey", "c_mktsegment")
+    urgent = table(spark, sf, "orders").where("o_orderpriority = '1-URGENT' AND o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"))
+    return table(spark, sf, "customer").join(urgent, "c_custkey", "left_anti").select("c_custkey", "c_mktsegment")
 
 
 @query("clean_files_count", "SELECT count(*) AS clean FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity > 49)")
@@ -133,10 +135,10 @@ def largest_remainder(spark, sf):
 
 
 @query("outlier_frequency", """
-WITH c AS (SELECT l_quantity, count(*) AS n FROM lineitem WHERE l_orderkey % 7 = 0 OR l_quantity < 30 GROUP BY 1), t AS (SELECT *, (sum(n) OVER ())::BIGINT AS total FROM c)
-SELECT l_quantity, n, total, total >= 12 AND n <= greatest(2, floor(total * 0.05::DOUBLE)) AS outlier FROM t""")
+WITH c AS (SELECT floor(l_extendedprice / 2500)::BIGINT AS bucket, count(*) AS n FROM lineitem GROUP BY 1), t AS (SELECT *, (sum(n) OVER ())::BIGINT AS total FROM c)
+SELECT bucket, n, total, total >= 12 AND n <= greatest(2, floor(total * 0.05::DOUBLE)) AS outlier FROM t""")
 def outlier_frequency(spark, sf):
-    c = table(spark, sf, "lineitem").where("l_orderkey % 7 = 0 OR l_quantity < 30").groupBy("l_quantity").agg(F.count("*").alias("n"))
+    c = table(spark, sf, "lineitem").groupBy(F.floor(F.col("l_extendedprice") / 2500).alias("bucket")).agg(F.count("*").alias("n"))
     t = c.withColumn("total", F.sum("n").over(Window.partitionBy()))  # one row a value
     return t.withColumn("outlier", (F.col("total") >= 12) & (F.col("n") <= F.greatest(F.lit(2), F.floor(F.col("total") * F.lit(0.05)))))
 
@@ -181,13 +183,13 @@ def component_usage(spark, sf):
 
 
 @query("token_usage", """
-SELECT token, count(*) AS n FROM (SELECT event_type AS token FROM events UNION ALL SELECT json_extract_string(props, '$.' || k) FROM events, (SELECT unnest(json_keys(props)) AS k FROM events LIMIT 1)) WHERE token IS NOT NULL GROUP BY token""")
+WITH k AS (SELECT props, unnest(json_keys(props)) AS k FROM events)
+SELECT token, count(*) AS n FROM (SELECT event_type AS token FROM events UNION ALL SELECT json_extract_string(props, '$."' || k || '"') FROM k) WHERE token IS NOT NULL GROUP BY token""")
 def token_usage(spark, sf):
+    """References over two channels: the type, and every value of every key of the properties."""
     e = table(spark, sf, "events")
-    keys = e.select(F.json_object_keys("props").alias("k")).limit(1).first()
-    first = keys["k"][0] if keys and keys["k"] else "none"
-    both = e.select(F.col("event_type").alias("token")).unionByName(e.select(F.get_json_object("props", f"$.{first}").alias("token")))
-    return both.where("token is not null").groupBy("token").agg(F.count("*").alias("n"))
+    values = e.select(F.explode(F.map_values(F.from_json("props", "map<string,string>"))).alias("token"))
+    return e.select(F.col("event_type").alias("token")).unionByName(values).where("token is not null").groupBy("token").agg(F.count("*").alias("n"))
 
 
 @query("custom_components", """

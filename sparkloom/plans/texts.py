@@ -31,11 +31,15 @@ def fnv1a(spark, sf):
     return table(spark, sf, "nation").select("n_nationkey", text.fnv1a(F.col("n_name")).alias("hash"))
 
 
+def _versions(spark, sf):
+    """Token sequences: the quantities of each supplier's lines in order, and three later versions that lack the beginning."""
+    li = table(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber", "l_quantity"))), lambda x: x["l_quantity"].cast("int").cast("string")).alias("all"))
+    versions = li.select("l_suppkey", "all", F.explode(F.array(*map(F.lit, range(4)))).alias("v"))
+    return versions.select(F.concat_ws("/", "l_suppkey", "v").alias("name"), F.slice("all", F.col("v") * 10 + 1, F.greatest(F.size("all") - F.col("v") * 10, F.lit(0))).alias("tokens"))
+
+
 def _sketches(spark, sf):
-    """Sketches of the suppliers' first line flags, repeated to a sketchable length."""
-    li = table(spark, sf, "lineitem").where("l_linenumber = 1")
-    flags = li.groupBy("l_suppkey").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("l_orderkey", "l_returnflag"))), lambda x: x["l_returnflag"]), 1, 4).alias("t"))
-    return flags.select(F.col("l_suppkey").cast("string").alias("name"), text.minhash(F.flatten(F.array_repeat("t", 12))).alias("sketch"))
+    return _versions(spark, sf).select("name", text.minhash(F.col("tokens")).alias("sketch"))
 
 
 @query("minhash_sketch")
@@ -45,12 +49,12 @@ def minhash_sketch(spark, sf):
 
 @query("near_duplicates")
 def near_duplicates(spark, sf):
-    return similarity.candidate_pairs(_sketches(spark, sf), "name", 0.5)
+    return similarity.candidate_pairs(_sketches(spark, sf), "name", 0.8)
 
 
 @query("duplicate_clusters")
 def duplicate_clusters(spark, sf):
-    return similarity.clusters(_sketches(spark, sf), "name", 0.5)
+    return similarity.clusters(_sketches(spark, sf), "name", 0.8)
 
 
 @query("idf", f"""
@@ -62,12 +66,11 @@ def idf(spark, sf):
 
 
 @query("inverted_index", f"""
-WITH w AS (SELECT DISTINCT doc_id, unnest({_WORDS}) AS word FROM documents WHERE lang = 'es')
-SELECT word, count(*) AS n, md5(array_to_string(list(doc_id ORDER BY doc_id), ',')) AS ids FROM w GROUP BY 1 HAVING count(*) BETWEEN 2 AND 50""")
+WITH w AS (SELECT DISTINCT doc_id, unnest({_WORDS}) AS word FROM documents)
+SELECT word, count(*) AS n, md5(array_to_string(list(doc_id ORDER BY doc_id), ',')) AS ids FROM w GROUP BY 1""")
 def inverted_index(spark, sf):
-    w = table(spark, sf, "documents").where("lang = 'es'").select("doc_id", F.explode(F.array_distinct(_words())).alias("word"))
-    keep = w.groupBy("word").agg(F.count("*").alias("n")).where("n BETWEEN 2 AND 50")
-    return w.join(keep, "word").groupBy("word", "n").agg(F.md5(F.array_join(F.array_sort(F.collect_list("doc_id")), ",")).alias("ids"))
+    w = table(spark, sf, "documents").select("doc_id", F.explode(F.array_distinct(_words())).alias("word"))
+    return w.groupBy("word").agg(F.count("*").alias("n"), F.md5(F.array_join(F.array_sort(F.collect_list("doc_id")), ",")).alias("ids"))
 
 
 @query("set_similarity", """
@@ -152,26 +155,38 @@ def _lab_sql():
 _LAB, _ROOTS = _lab_sql()
 
 
+_TOKEN_RGB = """k AS (SELECT n_nationkey, lpad(lower(to_hex((n_nationkey * 654321 + 123) % 16777216)), 6, '0') AS h FROM nation),
+trgb AS (SELECT n_nationkey AS p_partkey, ('0x' || substr(h, 1, 2))::INT::DOUBLE AS r, ('0x' || substr(h, 3, 2))::INT::DOUBLE AS g, ('0x' || substr(h, 5, 2))::INT::DOUBLE AS b FROM k)"""
+
+
 @query("nearest_color", f"""
-WITH {_RGB}, lms AS (SELECT p_partkey, {_ROOTS[0]} AS x, {_ROOTS[1]} AS y, {_ROOTS[2]} AS z FROM rgb),
-lab AS (SELECT p_partkey, {_LAB[0]} AS l, {_LAB[1]} AS a, {_LAB[2]} AS b FROM lms),
-d AS (SELECT x.p_partkey, k.p_partkey AS token, floor(sqrt((x.l - k.l) * (x.l - k.l) + (x.a - k.a) * (x.a - k.a) + (x.b - k.b) * (x.b - k.b)) * 100000 + 0.5) / 100000 AS dist FROM lab x, lab k WHERE k.p_partkey % 97 = 1),
+WITH {_RGB}, {_TOKEN_RGB}, lms AS (SELECT p_partkey, {_ROOTS[0]} AS x, {_ROOTS[1]} AS y, {_ROOTS[2]} AS z FROM rgb), tlms AS (SELECT p_partkey, {_ROOTS[0]} AS x, {_ROOTS[1]} AS y, {_ROOTS[2]} AS z FROM trgb),
+lab AS (SELECT p_partkey, {_LAB[0]} AS l, {_LAB[1]} AS a, {_LAB[2]} AS b FROM lms), tlab AS (SELECT p_partkey, {_LAB[0]} AS l, {_LAB[1]} AS a, {_LAB[2]} AS b FROM tlms),
+d AS (SELECT x.p_partkey, k.p_partkey AS token, floor(sqrt((x.l - k.l) * (x.l - k.l) + (x.a - k.a) * (x.a - k.a) + (x.b - k.b) * (x.b - k.b)) * 100000 + 0.5) / 100000 AS dist FROM lab x, tlab k),
 n AS (SELECT p_partkey, arg_min(token, (dist, token)) AS token, min(dist) AS dist FROM d GROUP BY 1)
 SELECT p_partkey, token, floor(dist * 1000 + 0.5) / 1000 AS distance, CASE WHEN dist = 0 THEN 'exact' WHEN dist < 0.02 THEN 'near' WHEN dist < 0.1 THEN 'shade' ELSE 'foreign' END AS class FROM n""")
 def nearest_color(spark, sf):
+    """Colours of the parts against a palette of a colour a nation."""
     from sparkloom.operators.joins import nearest
 
     lab = _colours(spark, sf).select("p_partkey", *(x.alias(n) for x, n in zip(color.oklab(F.col("r"), F.col("g"), F.col("b")), "LAB", strict=True)))
-    tokens = lab.where("p_partkey % 97 = 1").select(F.col("p_partkey").alias("token"), *(F.col(n).alias(f"k{n}") for n in "LAB"))
+    own = F.lpad(F.lower(F.hex((F.col("n_nationkey").cast("long") * 654321 + 123) % 16777216)), 6, "0")
+    palette = table(spark, sf, "nation").select(F.col("n_nationkey").alias("token"), color.canonical_hex(F.concat(F.lit("#"), own)).alias("hex"))
+    tokens = palette.select("token", *(x.alias(f"k{n}") for x, n in zip(color.oklab(*(color.channel(F.col("hex"), i) for i in range(3))), "LAB", strict=True)))
     found = nearest(lab, tokens, color.distance([F.col(n) for n in "LAB"], [F.col(f"k{n}") for n in "LAB"]), ["p_partkey"], ["token"], ["token"])
     kind = F.when(F.col("distance") == 0, "exact").when(F.col("distance") < color.NEAR, "near").when(F.col("distance") < color.SHADE, "shade").otherwise("foreign")
     return found.select("p_partkey", "token", round_half_up(F.col("distance"), 3).alias("distance"), kind.alias("class"))
 
 
-@query("oklch")
+@query("oklch", f"""
+WITH {_RGB}, lms AS (SELECT p_partkey, {_ROOTS[0]} AS x, {_ROOTS[1]} AS y, {_ROOTS[2]} AS z FROM rgb), lab AS (SELECT p_partkey, {_LAB[0]} AS l, {_LAB[1]} AS a, {_LAB[2]} AS b FROM lms),
+h AS (SELECT *, sqrt(a * a + b * b) AS c, degrees(atan2(b, a)) AS d FROM lab)
+SELECT p_partkey, floor(floor(l * 100000 + 0.5) / 100000 * 1000 + 0.5) / 1000 AS lightness, floor(floor(c * 100000 + 0.5) / 100000 * 1000 + 0.5) / 1000 AS chroma,
+       floor(floor((CASE WHEN d < 0 THEN d + 360 ELSE d END) * 1000 + 0.5) / 1000 * 10 + 0.5) / 10 AS hue FROM h""")
 def oklch(spark, sf):
     c = _colours(spark, sf)
-    return c.select("p_partkey", *(x.alias(n) for x, n in zip(color.oklch(F.col("r"), F.col("g"), F.col("b")), ("lightness", "chroma", "hue"), strict=True)))
+    found = c.select("p_partkey", *(x.alias(n) for x, n in zip(color.oklch(F.col("r"), F.col("g"), F.col("b")), ("lightness", "chroma", "hue"), strict=True)))
+    return found.select("p_partkey", round_half_up(F.col("lightness"), 3).alias("lightness"), round_half_up(F.col("chroma"), 3).alias("chroma"), round_half_up(F.col("hue"), 1).alias("hue"))
 
 
 @query("css_names", r"""
