@@ -16,15 +16,36 @@ NORMAL_TEXT, LARGE_TEXT = 4.5, 3.0
 NEAR, SHADE = 0.02, 0.1
 
 
+def _from_parts(text: Column) -> Column:
+    """Eight hex digits of rgb(...) or rgba(...), with commas or spaces and a slash, numbers or percentages; else null."""
+    inner = F.regexp_extract(text, r"^rgba?\(([^()]*)\)$", 1)
+    parts = F.filter(F.split(F.replace(inner, F.lit("/"), F.lit(" ")), r"[,\s]+"), lambda x: x != "")
+
+    def number(x: Column, scale: float) -> Column:
+        plain = F.regexp_extract(x, r"^([-+]?[0-9]*\.?[0-9]+)%?$", 1).try_cast("double")
+        return F.when(plain.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(scale), F.when(x.endswith("%"), plain / 100 * scale).otherwise(plain))))
+
+    two = lambda n: F.lpad(F.lower(F.hex(F.floor(n + 0.5).cast("long"))), 2, "0")
+    alpha = F.when(F.size(parts) == 4, number(F.get(parts, F.lit(3)), 1.0)).otherwise(1.0)
+    digits = F.concat(*(two(number(F.get(parts, F.lit(i)), 255.0)) for i in range(3)), two(alpha * 255))
+    return F.when((inner != "") & F.size(parts).isin(3, 4), digits)
+
+
 def canonical_hex(text: Column) -> Column:
-    """Eight lower-case hex digits of #rgb, #rgba, #rrggbb, #rrggbbaa, black, white or transparent; else null."""
+    """Eight lower-case hex digits of #rgb, #rgba, #rrggbb, #rrggbbaa, rgb(), rgba(), black, white or transparent; else null."""
     t = F.lower(F.trim(text))
     body = F.substring(t, 2, 8)
     doubled = F.regexp_replace(body, "(.)", "$1$1")
     return (
         F.when(t == "black", "000000ff").when(t == "white", "ffffffff").when(t == "transparent", "00000000")
         .when(t.rlike("^#[0-9a-f]{3}$"), F.concat(doubled, F.lit("ff"))).when(t.rlike("^#[0-9a-f]{4}$"), doubled)
-        .when(t.rlike("^#[0-9a-f]{6}$"), F.concat(body, F.lit("ff"))).when(t.rlike("^#[0-9a-f]{8}$"), body))
+        .when(t.rlike("^#[0-9a-f]{6}$"), F.concat(body, F.lit("ff"))).when(t.rlike("^#[0-9a-f]{8}$"), body).when(t.startswith("rgb"), _from_parts(t)))
+
+
+def composite(front: Column, back: Column, i: int) -> Column:
+    """Channel of a colour with alpha over an opaque one, as 0..255."""
+    alpha = round_half_up(channel(front, 3) / 255, 4)
+    return F.when(alpha >= 1, channel(front, i)).otherwise(F.floor(channel(front, i) * alpha + channel(back, i) * (1 - alpha) + 0.5).cast("double"))
 
 
 def channel(hex8: Column, i: int) -> Column:

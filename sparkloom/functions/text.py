@@ -115,8 +115,8 @@ def pixels(value: Column) -> Column:
 
 
 def normalise_name(name: Column) -> Column:
-    """Lower case without common prefixes and suffixes of component names."""
-    return F.lower(F.regexp_replace(F.regexp_replace(name, "^(My|Custom|App|Base|Ui|UI)(?=[A-Z])", ""), "(?<=[a-z0-9])(Component|Wrapper|Container|View)$", ""))
+    """Lower case without the noise of component names (fixed prefixes and suffixes)."""
+    return F.lower(F.regexp_replace(name, "^(?:My|App|Custom|Base|New|Ui|Common|Styled|Wrapped|Legacy|Old)+|(?:V[0-9]+|Component|Wrapper)$", ""))
 
 
 def glob_pattern(glob: str) -> str:
@@ -127,3 +127,7 @@ def glob_pattern(glob: str) -> str:
 def russian_plural(n: Column, one: str, few: str, many: str) -> Column:
     ten, hundred = n % 10, n % 100
     return F.when((ten == 1) & (hundred != 11), one).when(ten.between(2, 4) & ~hundred.between(12, 14), few).otherwise(many)
+
+
+def english_plural(n: Column, word: str) -> Column:
+    return F.when(n == 1, word).otherwise(word + "s")

@@ -13,30 +13,25 @@ WEIGHTS = {"name": 0.7, "aria": 0.8, "props": 1.0, "tags": 0.6, "css": 0.3, "clo
 GENERIC_ARIA = ["aria-label", "aria-labelledby", "aria-describedby", "aria-hidden", "aria-disabled", "aria-live"]
 GENERIC_TAGS = [
     "div", "span", "p", "svg", "path", "g", "defs", "desc", "clipPath", "circle", "rect", "line", "ellipse", "polygon", "polyline", "animateTransform", "foreignObject"]
-NAME_NOISE = "^(?:My|App|Custom|Base|New|Ui|Common|Styled|Wrapped|Legacy|Old)+|(?:V[0-9]+|Component|Wrapper)$"
 LEAST_NAME, MOST_EDITS, LEAST_PROPS, LEAST_CLONE = 4, 2, 2, 0.5
 #: Thresholds of the verdicts.
 CUSTOM, AMBIGUOUS, FORK, FORK_COVERAGE, FORK_PROPS = 0.6, 0.3, 0.6, 0.75, 3
 
 
-def plain_name(name: Column) -> Column:
-    return F.lower(F.regexp_replace(name, NAME_NOISE, ""))
-
-
 def name_score(local: Column, name: Column, synonyms: Column) -> Column:
     """Equal names, then contained ones, then nearly equal ones; the dictionary's own name counts more than a synonym."""
-    own = plain_name(local)
+    own = text.normalise_name(local)
     names = F.concat(F.array(name), synonyms)
     long = F.filter(names, lambda x: F.length(x) >= LEAST_NAME)
     contained = lambda x: own.contains(F.lower(x))
     close = F.exists(long, lambda x: F.levenshtein(own, F.lower(x)) <= MOST_EDITS) & (F.length(own) >= LEAST_NAME)
     return (
-        F.when(plain_name(name) == own, 1.0).when(F.exists(synonyms, lambda x: plain_name(x) == own), 0.9)
+        F.when(text.normalise_name(name) == own, 1.0).when(F.exists(synonyms, lambda x: text.normalise_name(x) == own), 0.9)
         .when((F.length(name) >= LEAST_NAME) & contained(name), 0.75).when(F.exists(long, contained), 0.65).when(close, 0.55))
 
 
 def same_name(local: Column, name: Column, synonyms: Column) -> Column:
-    return F.exists(F.concat(F.array(name), synonyms), lambda x: plain_name(x) == plain_name(local))
+    return F.exists(F.concat(F.array(name), synonyms), lambda x: text.normalise_name(x) == text.normalise_name(local))
 
 
 def scores(locals_: DataFrame, signatures: DataFrame) -> DataFrame:

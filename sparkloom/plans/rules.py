@@ -153,14 +153,15 @@ def focus_suppressed(t: Tables) -> DataFrame:
 
 @rule("a11y.contrast.text", "a11y", "style_values")
 def contrast_text(t: Tables) -> DataFrame:
-    """Colour and background of one selector (last wins); large text is 24px, or 18.66px and bold."""
+    """Colour, laid over the background where it has alpha, and background of one selector (last wins); large text is 24px,
+    or 18.66px and bold."""
     last = lambda p: F.max(F.when(F.col("property").isin(p), F.struct("ord", "value", "line", "column")))
     b = t.style_values.where("not dynamic").groupBy("file", "selector").agg(last(["color"]).alias("c"), last(["background-color", "background"]).alias("b"), last(["font-size"]).alias("s"), last(["font-weight"]).alias("w"))
     lum = lambda h: color.luminance(*(color.channel(h, i) for i in range(3)))
-    b = b.withColumn("_c", color.canonical_hex(F.col("c.value"))).withColumn("_b", color.canonical_hex(F.col("b.value"))).where("_c like '%ff' and _b like '%ff' and length(_c) = 8")
+    b = b.withColumn("_c", color.canonical_hex(F.col("c.value"))).withColumn("_b", color.canonical_hex(F.col("b.value"))).where("_c is not null and _b like '%ff' and length(_b) = 8")
     size, weight = text.pixels(F.col("s.value")), F.when(F.col("w.value") == "bold", 700).otherwise(F.col("w.value").try_cast("int"))
     large = F.coalesce((size >= 24) | ((size >= 18.66) & (weight >= 700)), F.lit(False))
-    b = b.withColumn("_r", color.contrast(lum(F.col("_c")), lum(F.col("_b")))).withColumn("_large", large)
+    b = b.withColumn("_r", color.contrast(color.luminance(*(color.composite(F.col("_c"), F.col("_b"), i) for i in range(3))), lum(F.col("_b")))).withColumn("_large", large)
     rows = b.where(F.col("_r") < F.when(F.col("_large"), color.LARGE_TEXT).otherwise(color.NORMAL_TEXT)).select(
         "file", F.col("c.line").alias("line"), F.col("c.column").alias("column"), F.col("c.ord").alias("ord"), "c", "b", "s", "_r", "_large")
     return finding(rows, "a11y.contrast.text", "a11y", F.when(F.col("_r") < 3, "error").otherwise("warning"), F.when(F.col("s").isNull(), 0.8).otherwise(0.95),

@@ -61,3 +61,15 @@ def test_similarities(spark):
     assert abs(one(spark, text.jaccard(a, b)) - 2 / 3) < 1e-12
     assert one(spark, text.overlap(a, b)) == 1.0
     assert one(spark, numbers.noisy_or(F.array(F.lit(0.5), F.lit(None).cast("double"), F.lit(0.5)))) == 0.75
+
+
+def test_rgb_and_composite(spark):
+    rows = ["rgb(1, 2,3)", "rgba(255 0 10 / 50%)", "RGB(100%, 0%, 300)", "rgba(0,0,0,.2)", "rgb(1,2)", "rgb(a,b,c)", "#FfF"]
+    got = [r[0] for r in spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, s string").orderBy("i").select(color.canonical_hex(F.col("s"))).collect()]
+    assert got == ["010203ff", "ff000a80", "ff00ffff", "00000033", None, None, "ffffffff"]
+    mixed = spark.createDataFrame([("00000033", "ffffffff"), ("102030ff", "ffffffff")], "f string, b string").select(*(color.composite(F.col("f"), F.col("b"), i) for i in range(3))).collect()
+    assert tuple(mixed[0]) == (204.0, 204.0, 204.0) and tuple(mixed[1]) == (16.0, 32.0, 48.0)
+
+
+def test_english_plural(spark):
+    assert [r[0] for r in spark.createDataFrame([(0,), (1,), (5,)], "n int").orderBy("n").select(text.english_plural(F.col("n"), "error")).collect()] == ["errors", "error", "errors"]

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkloom import schemas
-from sparkloom.functions import style
+from sparkloom.functions import style, text
 from sparkloom.operators import components
 from sparkloom.plans import rules, rules_kit
 from tests.test_rules import elements, styles
@@ -116,12 +116,12 @@ def test_components(spark):
 
 
 def plain(name):
-    return re.sub(components.NAME_NOISE, "", name).lower()
+    return re.sub("^(?:My|App|Custom|Base|New|Ui|Common|Styled|Wrapped|Legacy|Old)+|(?:V[0-9]+|Component|Wrapper)$", "", name).lower()
 
 
 @pytest.mark.parametrize("local,score", [("Card", 1.0), ("MyPanel", 0.9), ("BigCardList", 0.75), ("SidePanelX", 0.65), ("Carf", 0.55), ("Boxes", None), ("CardV2", 1.0)])
 def test_name_score(spark, local, score):
-    row = spark.createDataFrame([(local,)], "n string").select(components.name_score(F.col("n"), F.lit("Card"), F.array(F.lit("Panel"))), components.plain_name(F.col("n"))).first()
+    row = spark.createDataFrame([(local,)], "n string").select(components.name_score(F.col("n"), F.lit("Card"), F.array(F.lit("Panel"))), text.normalise_name(F.col("n"))).first()
     assert row[0] == score and row[1] == plain(local)
 
 
