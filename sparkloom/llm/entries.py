@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparkloom.llm import embedding_dedup, html_extraction, language, line_dedup, mixing, packing, quality, secrets, simhash, suffix_dedup
+from sparkloom.llm import alignment, embedding_dedup, html_extraction, importance, language, line_dedup, mixing, packing, phrase_dedup, quality, secrets, simhash, suffix_dedup
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_mixing": mixing.op8_mixing,
         "op9_embeddings": embedding_dedup.op9_embeddings,
         "op10_language": language.op10_language,
+        "op11_phrases": phrase_dedup.op11_phrases,
+        "op12_importance": importance.op12_importance,
+        "op13_alignment": alignment.op13_alignment,
     }
 
 
@@ -25,4 +28,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_lines": line_dedup.dedup_sql(),
         "op5_secrets": secrets.scan_sql(),
         "op8_mixing": mixing.mix_sql(),
+        "op12_importance": importance.resample_sql(),
     }
