@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from sparkloom.functions.numbers import round_half_up
 
@@ -28,12 +31,40 @@ def shingles(tokens: Column, size: int = SHINGLE, separator: str = " ") -> Colum
         F.transform(F.sequence(F.lit(1), F.size(t) - (size - 1)), lambda i: F.array_join(F.slice(t, i, size), separator))))
 
 
+def _fnv_lanes(texts: list[str], seeds: np.ndarray) -> np.ndarray:
+    """FNV-1a of each text under each seed: a character at a time, all texts and lanes side by side."""
+    lengths = np.array([len(t) for t in texts])
+    order = np.argsort(-lengths, kind="stable")  # longest first, so the texts still running are a prefix
+    points = np.zeros((len(texts), max(1, int(lengths.max(initial=0)))), np.uint32)
+    for row, i in enumerate(order.tolist()):
+        points[row, : lengths[i]] = np.frombuffer(texts[i].encode("utf-32-le", "surrogatepass"), "<u4")
+    running = np.searchsorted(-lengths[order], -np.arange(points.shape[1]), "left")
+    hashes = np.tile(np.uint32(FNV_OFFSET) ^ seeds, (len(texts), 1))
+    for k, n in enumerate(running.tolist()):
+        hashes[:n] ^= points[:n, k, None]
+        hashes[:n] *= np.uint32(FNV_PRIME)
+    out = np.empty_like(hashes)
+    out[order] = hashes
+    return out
+
+
+def _lane_minima(tokens: pd.Series) -> pd.Series:
+    """Lane minima over the shingles of each row, a slice of different shingles at a time."""
+    seeds = ((2 * np.arange(LANES, dtype=np.uint64) + 1) * np.uint64(GOLDEN) & np.uint64(MASK32)).astype(np.uint32)
+    out = []
+    for row in tokens:
+        if row is None or len(row) < LEAST_TOKENS:
+            out.append(None)
+            continue
+        found = list({" ".join(t for t in row[i : i + SHINGLE] if t is not None) for i in range(len(row) - SHINGLE + 1)})
+        parts = [_fnv_lanes(found[i : i + 4096], seeds).min(axis=0) for i in range(0, len(found), 4096)]
+        out.append(np.min(parts, axis=0).astype(np.int64))
+    return pd.Series(out)
+
+
 def minhash(tokens: Column) -> Column:
-    """64 lane minima of seeded FNV-1a over 3-shingles; null under 40 tokens."""
-    lanes = let(shingles(tokens), lambda found: F.transform(
-        F.sequence(F.lit(0), F.lit(LANES - 1)),
-        lambda i: F.array_min(F.transform(found, lambda s: fnv1a(s, ((2 * i + 1).cast("long") * GOLDEN).bitwiseAND(F.lit(MASK32).cast("long")))))))
-    return F.when(F.size(tokens) >= LEAST_TOKENS, lanes)
+    """64 lane minima of seeded FNV-1a over 3-shingles, by Arrow batches; null under 40 tokens."""
+    return F.pandas_udf(_lane_minima, ArrayType(LongType()))(tokens)
 
 
 def sketch_similarity(a: Column, b: Column) -> Column:

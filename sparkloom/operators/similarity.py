@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions.text import LANES, sketch_similarity
 from sparkloom.operators.graph import components
+from sparkloom.scratch import cut
 
 
 def candidate_pairs(sketches: DataFrame, name: str, least: float) -> DataFrame:
@@ -18,7 +19,7 @@ def candidate_pairs(sketches: DataFrame, name: str, least: float) -> DataFrame:
     differ = LANES - -(-int(round(least * LANES * 1e6)) // 1_000_000)
     bands = next(b for b in (1, 2, 4, 8, 16, 32, 64) if b > differ)
     width = LANES // bands
-    rows = sketches.where("sketch is not null").groupBy("sketch").agg(F.min(name).alias("name"))
+    rows = cut(sketches.where("sketch is not null").groupBy("sketch").agg(F.min(name).alias("name")))  # both sides read it
     keyed = rows.select("name", "sketch", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(F.slice("sketch", i * width + 1, width)))).alias("band", "key"))
     left = keyed.select(F.col("name").alias("a"), F.col("sketch").alias("sa"), "band", "key")
     right = keyed.select(F.col("name").alias("b"), F.col("sketch").alias("sb"), "band", "key")
@@ -30,10 +31,10 @@ def candidate_pairs(sketches: DataFrame, name: str, least: float) -> DataFrame:
 
 def clusters(sketches: DataFrame, name: str, least: float = 0.8) -> DataFrame:
     """(name, anchor, members) of all clusters with two or more members; the anchor is the smallest name."""
-    named = sketches.where("sketch is not null").select(F.col(name).alias("name"), "sketch")
+    named = cut(sketches.where("sketch is not null").select(F.col(name).alias("name"), "sketch"))  # sketches are made once
     representative = named.groupBy("sketch").agg(F.min("name").alias("representative"))
     members = named.join(representative, "sketch").select("name", "representative")
-    joined = components(candidate_pairs(sketches, name, least), "a", "b")
+    joined = components(candidate_pairs(named, "name", least), "a", "b")
     rooted = members.join(joined, F.col("representative") == F.col("node"), "left").select("name", F.coalesce("component", "representative").alias("anchor"))
     sizes = rooted.groupBy("anchor").agg(F.count("*").alias("members")).where("members > 1")
     return rooted.join(sizes, "anchor").select("name", "anchor", "members")
