@@ -9,10 +9,10 @@ A window is 35 consecutive words of a document; every word that a recurring wind
   third of all rows hold is counted map-side, and joins on anchors are plain equi-joins that adaptive execution splits.
 * **Compile.** Recurring windows that follow one another both in a document and in the first occurrence of its passage
   become one phrase, cut from the text of that first occurrence (in blocks of ``BLOCK`` windows, so phrases are bounded).
-  Phrases meet the documents that hold them; the phrases of the documents of a batch are one shard, compiled into
-  Aho-Corasick automata over word numbers, of at most ``NODES`` words each.
-* **Stream.** All documents of the batch run through the shard's automata, which find every occurrence word for word;
-  the words they cover go. So hashes only say where to look: what is removed was compared with another occurrence's words
+  Phrases meet the documents that hold them; the phrases of some documents of a batch, of about ``NODES`` words, are one
+  shard, compiled into an Aho-Corasick automaton over word numbers (a document with more has several).
+* **Stream.** All those documents run through the shard's automaton, which finds every occurrence word for word; the
+  words that it covers go. So hashes only say where to look: what is removed was compared with another occurrence's words
   (for the first occurrence itself, its recurrence rests on 64-bit hashes of contexts and windows of one anchor).
 
 Style: words and automata run as Arrow batches, all that moves as DataFrames; texts travel compressed. Defined results:
@@ -24,7 +24,7 @@ gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -178,29 +178,39 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (row, block, spans, text) to phrases: stretches of windows of a block that recur and follow one another."""
+    """Rows (row, block, spans, text) to phrases: stretches of windows of a block that recur and follow one another.
+
+    Rows come sorted by passage, so a text is split once, and documents that hold the same stretches share their phrases.
+    """
+    text, words, known = None, [], {}
     for batch in batches:
-        rows, phrases = [], []
+        spans = batch.column(2)
+        row_of = np.repeat(np.arange(batch.num_rows), np.diff(spans.offsets.to_numpy()))
+        flat, base = spans.flatten(), batch.column(1).to_numpy() * BLOCK
+        p, mask = flat.field("p").to_numpy() - base[row_of], flat.field("mask").to_numpy()
+        recurs = np.zeros((batch.num_rows, BLOCK + 1), bool)
+        for j in range(WORDS - GRAM + 1):
+            at = p + j
+            some = np.flatnonzero((mask >> j & 1 == 1) & (at >= 0) & (at < BLOCK))
+            recurs[row_of[some], at[some]] = True
+        bits, rows, phrases = np.packbits(recurs, axis=1), [], []
         for i, row in enumerate(batch.column(0).to_pylist()):
-            base, spans = batch.column(1)[i].as_py() * BLOCK, batch.column(2)[i].values
-            recurs = np.zeros(BLOCK + 1, bool)
-            p, mask = spans.field("p").to_numpy(), spans.field("mask").to_numpy()
-            for j in range(32):
-                at = p[mask >> j & 1 == 1] + j - base
-                recurs[at[(at >= 0) & (at < BLOCK)]] = True
-            edges = np.flatnonzero(np.diff(np.concatenate([[False], recurs]).astype(np.int8))).tolist()
-            words = batch.column(3)[i].as_py().split(b" ")
-            for a, z in zip(edges[::2], edges[1::2], strict=True):
-                if z + WORDS - 1 <= len(words):
-                    rows.append(row)
-                    phrases.append(b" ".join(words[a : z + WORDS - 1]))
+            own = batch.column(3)[i].as_py()
+            if own != text:
+                text, words, known = own, own.split(b" "), {}
+            key = bits[i].tobytes()
+            if key not in known:
+                edges = np.flatnonzero(np.diff(np.concatenate([[False], recurs[i]]).astype(np.int8))).tolist()
+                known[key] = [b" ".join(words[a : z + WORDS - 1]) for a, z in zip(edges[::2], edges[1::2], strict=True) if z + WORDS - 1 <= len(words)]
+            phrases += known[key]
+            rows += [row] * len(known[key])
         yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(phrases, pa.binary())], names=["row", "phrase"])
 
 
 class Shard:
     """Aho-Corasick automata over the word numbers of a set of phrases."""
 
-    def __init__(self, phrases: list[bytes]):
+    def __init__(self, phrases: Iterable[bytes]):
         import ahocorasick
 
         self.number: dict[bytes, int] = {}
@@ -231,24 +241,38 @@ class Shard:
         return np.cumsum(marks)[:-1] > 0
 
 
+def _shards(phrases: pa.ListArray) -> Iterator[tuple[int, int, Shard]]:
+    """Documents from, to, and the automata of their phrases: one automaton, or several for a single document."""
+    first, size, held = 0, 0, {}
+    for i, own in enumerate(phrases):
+        new = [x for x in own.as_py() if x not in held]
+        more = sum(x.count(b" ") + 1 for x in new)
+        if size and size + more > NODES:
+            yield first, i, Shard(held)
+            first, size, held = i, 0, {}
+            new, more = own.as_py(), sum(x.count(b" ") + 1 for x in own.as_py())
+        held |= dict.fromkeys(new)
+        size += more
+    yield first, len(phrases), Shard(held)
+
+
 def _stream(keep_text: bool):
-    """Batches (doc_id, bytes, z, phrases) through the automata of the batch's phrases."""
+    """Batches (doc_id, bytes, z, phrases) through the automata of the phrases of some of their documents at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = pa.Codec("zstd")
         for batch in batches:
-            phrases = batch.column("phrases")
-            shard = Shard(sorted(set(phrases.flatten().to_pylist())))
             out: list[list] = [[], [], [], []]
-            for i in range(batch.num_rows):
-                words = codec.decompress(batch.column("z")[i].as_py(), batch.column("bytes")[i].as_py(), asbytes=True).split()
-                kept = words
-                if shard.automata and len(words) >= WORDS:
-                    covered = shard.covered(words)
-                    kept = [words[k] for k in np.flatnonzero(~covered).tolist()] if covered.any() else words
-                text = b" ".join(kept)
-                for column, value in zip(out, (len(words), len(words) - len(kept), hashlib.sha256(text).hexdigest(), text.decode() if keep_text else None), strict=True):
-                    column.append(value)
+            for first, last, shard in _shards(batch.column("phrases")):
+                for i in range(first, last):
+                    words = codec.decompress(batch.column("z")[i].as_py(), batch.column("bytes")[i].as_py(), asbytes=True).split()
+                    kept = words
+                    if shard.automata and len(words) >= WORDS:
+                        covered = shard.covered(words)
+                        kept = [words[k] for k in np.flatnonzero(~covered).tolist()] if covered.any() else words
+                    text = b" ".join(kept)
+                    for column, value in zip(out, (len(words), len(words) - len(kept), hashlib.sha256(text).hexdigest(), text.decode() if keep_text else None), strict=True):
+                        column.append(value)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in out[:2]), *(pa.array(x, pa.string()) for x in out[2:])], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
     return run
@@ -258,19 +282,20 @@ def dedup(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and kept (the remaining words, null unless asked for)."""
     keyed = docs.select(F.xxhash64("doc_id", "text").alias("row"), "text")
     found = cut(keyed.where(F.octet_length("text") >= 2 * WORDS - 1).mapInArrow(_survey, "h long, c long, row long, at long"))
-    shared = found.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h")
+    shared = cut(found.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h"))  # written, as joins with an aggregate's own output are not split
     held = cut(found.join(shared, "h"))
     contexts = held.groupBy("h", "c").agg((F.count("*") > 1).alias("gives"), F.min(F.struct("row", "at")).alias("first"))
-    several = contexts.groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select("h", F.lit(True).alias("several"))
-    contexts = cut(contexts.join(several, "h", "left").select("h", "c", "gives", F.coalesce("several", F.lit(False)).alias("several"), "first.row", "first.at"))
+    contexts = cut(contexts)
+    several = cut(contexts.groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select("h", F.lit(True).alias("several")))
+    contexts = contexts.join(several, "h", "left").select("h", "c", "gives", F.coalesce("several", F.lit(False)).alias("several"), "first.row", "first.at")
     asked = contexts.groupBy("row").agg(F.collect_list(F.struct("h", "c", "at", "gives", "several")).alias("asked"))
     packed = _packed(docs)
     fetched = cut(packed.join(asked, "row").select("row", "bytes", "z", "asked").mapInArrow(_fetch, FETCHED))
     windows = fetched.where("w is not null")
-    twice = windows.groupBy("w").agg(F.count("*").alias("k"), F.max("gives").alias("given")).where("k > 1 or given").select("w")
+    twice = cut(windows.groupBy("w").agg(F.count("*").alias("k"), F.max("gives").alias("given")).where("k > 1 or given").select("w"))
     masks = windows.where("not gives").join(twice, "w").groupBy("h", "c").agg(F.bit_or(F.expr("shiftleft(1, j)")).alias("mask"))
     first = contexts.select("h", "c", F.col("row").alias("from"), F.shiftright("at", 10).alias("p"), F.when(F.col("gives"), F.expr("shiftleft(2, cast(shiftright(at, 5) & 31 as int)) - 1")).alias("all"))
-    recurring = first.join(masks, ["h", "c"], "left").select("h", "c", "from", "p", F.coalesce("all", "mask").alias("mask")).where("mask is not null")
+    recurring = cut(first.join(masks, ["h", "c"], "left").select("h", "c", "from", "p", F.coalesce("all", "mask").alias("mask")).where("mask is not null"))
     spans = held.select("h", "c", "row", F.shiftright("at", 10).alias("own")).join(recurring, ["h", "c"]).select(
         "row", "from", (F.col("own") - F.col("p")).alias("shift"), F.struct("p", "mask").alias("span"),
         F.explode(F.expr(f"array_distinct(array(p div {BLOCK}, (p + 25) div {BLOCK}))")).alias("block"))
