@@ -1,3 +1,3 @@
 """Query plans over the driver tables; importing the package registers them."""
 
-from sparkloom.plans import further, inventory, linking, project, rollups, texts  # noqa: F401
+from sparkloom.plans import further, inventory, linking, project, rollups, styles, texts  # noqa: F401

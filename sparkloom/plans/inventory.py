@@ -140,14 +140,6 @@ def token_verdict(spark, sf):
         "verdict", F.when(F.col("tokens") == 0, "none").when(F.col("tokens") >= F.col("raw"), "mostly").otherwise("partly"))
 
 
-@query("value_literals", r"""
-SELECT page_id, 'number' AS kind, unnest(regexp_extract_all(url, '[0-9]+')) AS raw FROM pages UNION ALL SELECT page_id, 'word', unnest(regexp_extract_all(url, '[a-z_]+=')) FROM pages""")
-def value_literals(spark, sf):
-    p = table(spark, sf, "pages")
-    found = lambda kind, pattern: p.select("page_id", F.lit(kind).alias("kind"), F.explode(F.regexp_extract_all("url", F.lit(pattern), F.lit(0))).alias("raw"))
-    return found("number", "[0-9]+").unionByName(found("word", "[a-z_]+="))
-
-
 @query("style_object_guess", """
 WITH k AS (SELECT o_custkey, list(DISTINCT o_orderpriority) AS keys FROM orders GROUP BY 1)
 SELECT o_custkey, len(keys) >= 2 AND len(list_filter(keys, lambda x: x IN ('1-URGENT', '2-HIGH', '3-MEDIUM')))::DOUBLE / len(keys) >= 0.6 AS style FROM k""")

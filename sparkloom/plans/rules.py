@@ -9,8 +9,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.functions import color, style, text
-from sparkloom.functions.numbers import any_of
+from sparkloom.functions import color, edits, style, text, values
+from sparkloom.functions.numbers import any_of, round_half_up
 from sparkloom.operators.aggs import global_number
 from sparkloom.operators.joins import asof_backward
 from sparkloom.operators.similarity import clusters
@@ -24,7 +24,7 @@ class Tables:
     imports: DataFrame | None = None
     declarations: DataFrame | None = None
     lint_messages: DataFrame | None = None
-    tokens: DataFrame | None = None  # id, hex, tier
+    tokens: DataFrame | None = None  # id, hex, and perhaps tier and role
     symbols: DataFrame | None = None  # name, note (deprecated ones)
     variants: DataFrame | None = None  # component, prop, legal array<string>
     kit_packages: DataFrame | None = None  # package, exports array<string>
@@ -38,6 +38,8 @@ class Tables:
     svg_files: DataFrame | None = None  # file, content string
     signatures: DataFrame | None = None  # name, synonyms, propSignature, propWeights, ariaRoles, ariaAttributes, nativeTags, cssProperties, astSignature
     slots: DataFrame | None = None  # component, slot, inner; without it no part counts as inner
+    kit_classes: DataFrame | None = None  # layer, component: classes are class_prefix-layer or class_prefix-layer-slot
+    class_prefix: str | None = None
 
 
 @dataclass
@@ -211,22 +213,39 @@ def font_foreign(t: Tables, stack: tuple[str, ...] = ("inter", "sans-serif", "in
     return finding(rows, "font.foreign", "font", "error", 1.0, F.col("value"), F.array_join("_f", ","))
 
 
+#: Fixed value: alphas closer than this count as one.
+ALPHA_TOLERANCE = 0.02
+
+
+def value_literals(style_values: DataFrame, kind: str) -> DataFrame:
+    """Literals of one kind in style values: raw, and column where it starts; colour words are none in script texts."""
+    found = values.value_literals(style_values, "value", F.coalesce(F.col("source") != "ts-literal", F.lit(True))).where(F.col("kind") == kind)
+    return found.withColumn("column", edits.literal_column(F.col("column"), F.col("source"), F.col("property"), F.col("offset")).cast("int"))
+
+
 @rule("token.literal.color", "token", "style_values", "tokens")
 def literal_color(t: Tables) -> DataFrame:
-    """Each colour literal with its nearest token (a dictionary); distinct literals are compared, not rows."""
-    from sparkloom.operators.joins import nearest
+    """Each colour literal with its nearest token of like alpha (a dictionary); distinct literals are compared, not rows.
 
-    raw = F.regexp_extract_all("value", F.lit("(#[0-9A-Fa-f]{3,8})(?![0-9A-Za-z_-])"), F.lit(1))
-    literals = t.style_values.select("file", "line", "column", "ord", F.explode(raw).alias("_l")).withColumn("_l", F.lower("_l")).withColumn("_h", color.canonical_hex(F.col("_l"))).where("_h is not null")
+    Tokens may have a role and a tier: among equals a token of the property's role comes first, then the smaller id. A
+    colour without a role that a semantic token has too is ambiguous, which lowers the confidence.
+    """
+    role = F.when(F.col("source") != "ts-literal", style.color_role(F.col("property")))
+    literals = value_literals(t.style_values, "color").select("file", "line", "column", "ord", F.col("raw").alias("_l"), F.coalesce(role, F.lit("")).alias("_role"), color.canonical_hex(F.col("raw")).alias("_h")).where("_h is not null")
     lab = lambda h, p: [x.alias(p + n) for x, n in zip(color.oklab(*(color.channel(h, i) for i in range(3))), "lab", strict=True)]
-    distinct = literals.select("_h").distinct().select("_h", *lab(F.col("_h"), "x"))
-    tokens = t.tokens.select(F.col("id").alias("_t"), color.canonical_hex(F.col("hex")).alias("_k")).select("_t", "_k", *lab(F.col("_k"), "y"))
-    best = nearest(distinct, tokens, color.distance([F.col("x" + n) for n in "lab"], [F.col("y" + n) for n in "lab"]), ["_h"], ["_t"], ["_t"])
-    rows = literals.join(best, "_h")
-    d = F.col("distance")
-    kind = F.when(d == 0, "exact").when(d < color.NEAR, "near").when(d < color.SHADE, "shade").otherwise("foreign")
+    alpha = lambda h: round_half_up(color.channel(F.col(h), 3) / 255, 4)
+    distinct = literals.select("_h", "_role").distinct().select("_h", "_role", *lab(F.col("_h"), "x"))
+    own = lambda c: F.col(c) if c in t.tokens.columns else F.lit(None).cast("string")
+    tokens = t.tokens.select(F.col("id").alias("_t"), color.canonical_hex(F.col("hex")).alias("_k"), own("role").alias("_r"), own("tier").alias("_tier")).where("_k is not null").select("*", *lab(F.col("_k"), "y"))
+    pairs = distinct.join(tokens, F.abs(alpha("_h") - alpha("_k")) < ALPHA_TOLERANCE)
+    order = F.struct((F.col("_h") != F.col("_k")).alias("other"), color.distance([F.col("x" + n) for n in "lab"], [F.col("y" + n) for n in "lab"]).alias("d"), (~F.col("_r").eqNullSafe(F.col("_role"))).alias("apart"), F.col("_t").alias("t"))
+    best = pairs.groupBy("_h", "_role").agg(F.min(order).alias("_b"))
+    twins = tokens.where("_tier = 'semantic'").groupBy(F.col("_k").alias("_h")).agg(F.collect_set("_t").alias("_twins"))
+    rows = literals.join(best, ["_h", "_role"], "left").join(twins, "_h", "left")
+    kind = F.when(~F.col("_b.other"), "exact").when(F.col("_b.d") < color.NEAR, "near").when(F.col("_b.d") < color.SHADE, "shade").otherwise("foreign")
+    ambiguous = (F.col("_role") == "") & (kind == "exact") & F.coalesce(F.size(F.array_except("_twins", F.array("_b.t"))) > 0, F.lit(False))
     return finding(rows, "token.literal.color", "token", F.when(kind == "exact", "error").when(kind == "shade", "info").otherwise("warning"),
-                   F.when(kind == "exact", 1.0).when(kind == "near", 0.85).otherwise(0.9), F.col("_l"), F.col("_l"), kind, F.when(kind != "foreign", F.col("_t")))
+                   F.when(ambiguous, 0.7).when(kind == "exact", 1.0).when(kind == "foreign", 0.9).otherwise(0.85), F.col("_l"), F.lower("_l"), kind, F.when(kind != "foreign", F.col("_b.t")))
 
 
 @rule("api.dnu", "api", "imports")

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import color, style, text
 from sparkloom.operators import components
+from sparkloom.operators.classes import selector_targets
 from sparkloom.operators.similarity import clusters
-from sparkloom.plans.rules import Tables, finding, rule
+from sparkloom.plans.rules import Tables, finding, rule, value_literals
 
 # Fixed values of the rules.
 FEWEST_LENGTHS, RARE, RARE_SHARE = 12, 2, 0.05
@@ -29,7 +30,7 @@ def neighbours(scale: Column, value: Column) -> Column:
 def literal_dimension(t: Tables) -> DataFrame:
     """Lengths written as numbers: on the property's scale, off it, or without a scale and then rare in the project or not."""
     judged = t.style_values.withColumn("_scale", F.when(F.col("source") == "ts-literal", "none").otherwise(style.dimension_scale(F.col("property")))).where("_scale is not null")
-    literals = judged.select("*", F.explode(style.lengths(F.col("value"))).alias("_l")).withColumn("_px", text.pixels(F.col("_l"))).where("_px <> 0")
+    literals = value_literals(judged, "dimension").withColumn("_l", F.col("raw")).withColumn("_px", text.pixels(F.col("_l"))).where("_px <> 0")
     ramps = t.scales.groupBy(F.col("scale").alias("_scale")).agg(F.sort_array(F.collect_set("px")).alias("_ramp"))
     named = t.scales.groupBy(F.col("scale").alias("_scale"), F.col("px").alias("_px")).agg(F.min("token").alias("_token"))
     on = literals.where("_scale <> 'none'").join(ramps, "_scale", "left").join(named, ["_scale", "_px"], "left").withColumn("_on", F.array_contains(F.coalesce("_ramp", F.array().cast("array<double>")), F.col("_px")))
@@ -47,7 +48,7 @@ def literal_dimension(t: Tables) -> DataFrame:
 @rule("token.tier.violation", "token", "style_values", "palette")
 def tier_violation(t: Tables) -> DataFrame:
     """Variables of the primitive tier where a semantic one has the same colour (and the property's role, if it has one)."""
-    used = t.style_values.select("file", "line", "column", "ord", F.explode(style.variables(F.col("value"))).alias("_v"), style.color_role(F.col("property")).alias("_role"))
+    used = value_literals(t.style_values, "var").select("file", "line", "column", "ord", F.col("raw").alias("_v"), style.color_role(F.col("property")).alias("_role"))
     primitive = t.palette.where("tier = 'primitive'").select(F.col("cssVariable").alias("_v"), color.canonical_hex(F.col("hex")).alias("_hex")).where("_hex is not null")
     semantic = t.palette.where("tier = 'semantic'").select("id", F.col("cssVariable").alias("_to"), "role", color.canonical_hex(F.col("hex")).alias("_hex"))
     best = F.min(F.struct("id", "_to"))
@@ -165,19 +166,36 @@ def component_novel(t: Tables) -> DataFrame:
     return finding(rows, "component.novel", "component", "candidate", 0.8, F.col("name"), F.col("name"), None, rank)
 
 
+#: Box sizes, which count as size where the selector names the component.
+BOX_SIZES = ["width", "min-width", "max-width", "inline-size", "min-inline-size", "max-inline-size", "block-size"]
+
+
 def overrides(t: Tables) -> DataFrame:
-    """Declarations on a component, one row for each file, selector and verdict: important, inner, repaint or size."""
-    rows = t.style_values.where("appliedTo.kind = 'kit' and appliedTo.name is not null")
+    """Declarations on a component, one row for each file, selector and verdict: important, inner, repaint or size.
+
+    The component is the one that the declaration's class was linked to; else, with classes of the dictionary, the first
+    that the selector names, and then a declaration can have several verdicts.
+    """
+    rows = t.style_values.withColumn("_linked", F.coalesce((F.col("appliedTo.kind") == "kit") & F.col("appliedTo.name").isNotNull(), F.lit(False)))
     if t.slots is not None:
         parts = t.slots.where("inner").select(F.col("component").alias("_c"), F.col("slot").alias("_s"), F.lit(True).alias("_inner")).distinct()
         rows = rows.join(parts, (F.col("appliedTo.name") == F.col("_c")) & (F.col("appliedTo.slot") == F.col("_s")), "left")
     else:
         rows = rows.withColumn("_inner", F.lit(None).cast("boolean"))
-    kind = F.when(style.is_important(F.col("important"), F.col("value")), "important").otherwise(style.style_category(F.col("property")))
-    verdict = F.when(F.coalesce("_inner", F.lit(False)), "inner").when(kind != "layout", kind)
-    graded = rows.withColumn("_verdict", verdict).where("_verdict is not null")
-    first = F.min(F.struct("ord", "line", "column", "property", "value", "appliedTo"))
-    found = graded.groupBy("file", F.coalesce("selector", "property").alias("_selector"), "_verdict").agg(first.alias("f"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "property"))), lambda x: x["property"]), ", ").alias("_properties"))
+    if t.kit_classes is not None and t.class_prefix:
+        named = selector_targets(t.style_values, t.kit_classes, t.class_prefix).select("selector", F.struct("component", "slot", "inner").alias("_named"))
+        rows = rows.join(named, "selector", "left")
+    else:
+        rows = rows.withColumn("_named", F.lit(None).cast("struct<component:string,slot:string,inner:boolean>"))
+    important, category = style.is_important(F.col("important"), F.col("value")), style.style_category(F.col("property"))
+    one = F.when(F.coalesce("_inner", F.lit(False)), "inner").when(important, "important").when(category != "layout", category)
+    graded = F.when((category == "layout") & F.lower("property").isin(BOX_SIZES), "size").when(category != "layout", category)
+    several = F.array(F.when(important, "important"), F.when(F.col("_named.inner"), "inner"), graded)
+    verdicts = F.when(F.col("_linked"), F.array(one)).when(F.col("_named").isNotNull(), several)
+    target = F.when(F.col("_linked"), F.col("appliedTo")).otherwise(F.struct(F.lit("kit").alias("kind"), F.col("_named.component").alias("name"), F.col("_named.slot").alias("slot")))
+    judged = rows.withColumn("_to", target).withColumn("_verdict", F.explode(verdicts)).where("_verdict is not null")
+    first = F.min(F.struct("ord", "line", "column", "property", "value", F.col("_to").alias("appliedTo")))
+    found = judged.groupBy("file", F.coalesce("selector", "property").alias("_selector"), "_verdict").agg(first.alias("f"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "property"))), lambda x: x["property"]), ", ").alias("_properties"))
     return found.select("file", "_verdict", "_properties", "f.*")
 
 
