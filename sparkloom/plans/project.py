@@ -16,7 +16,7 @@ from sparkloom.plans.rollups import table
 
 #: Columns of style_values from part, of elements from customer and of imports from events.
 STYLE = {
-    "file": "'f' || CAST(p_partkey % 40 AS STRING) || '.css'", "line": "CAST(p_partkey AS INT)", "column": "1", "ord": "CAST(p_partkey AS INT)",
+    "file": "'f' || CAST(p_partkey % 397 AS STRING) || '.css'", "line": "CAST(p_partkey AS INT)", "column": "1", "ord": "CAST(p_partkey AS INT)",
     "property": "CASE p_partkey % 8 WHEN 0 THEN 'padding' WHEN 1 THEN 'font-size' WHEN 2 THEN 'border-radius' WHEN 3 THEN 'color' WHEN 4 THEN 'gap' WHEN 5 THEN 'width' WHEN 6 THEN 'outline' ELSE 'font-family' END",
     "value": (
         "CASE p_partkey % 8 WHEN 0 THEN CAST(p_size AS STRING) || 'px ' || CAST(p_size % 7 AS STRING) || 'px' WHEN 1 THEN CAST(p_size AS STRING) || 'px' WHEN 2 THEN CAST(p_size % 3 AS STRING) || 'rem' "

@@ -13,7 +13,6 @@ from sparkloom.functions import color, edits, style, text, values
 from sparkloom.functions.numbers import any_of, round_half_up
 from sparkloom.operators.aggs import global_number
 from sparkloom.operators.joins import asof_backward
-from sparkloom.operators.similarity import clusters
 from sparkloom.schemas import FINDING
 
 
@@ -79,21 +78,33 @@ IMPLICIT_ROLES = {
 REQUIRED_ATTRIBUTES = {
     "checkbox": ["aria-checked"], "combobox": ["aria-controls", "aria-expanded"], "heading": ["aria-level"], "meter": ["aria-valuenow"], "menuitemcheckbox": ["aria-checked"], "menuitemradio": ["aria-checked"],
     "option": ["aria-selected"], "radio": ["aria-checked"], "scrollbar": ["aria-controls", "aria-valuenow"], "slider": ["aria-valuenow"], "switch": ["aria-checked"]}
-ABSTRACT_ROLES = "command composite input landmark range roletype section sectionhead select structure widget window".split()
-ROLES = (
-    "alert alertdialog application article banner blockquote button caption cell checkbox code columnheader combobox complementary contentinfo definition deletion dialog directory document emphasis "
-    "feed figure form generic grid gridcell group heading img insertion link list listbox listitem log main mark marquee math menu menubar menuitem menuitemcheckbox menuitemradio meter navigation none "
-    "note option paragraph presentation progressbar radio radiogroup region row rowgroup rowheader scrollbar search searchbox separator slider spinbutton status strong subscript superscript switch tab "
-    "table tablist tabpanel term textbox time timer toolbar tooltip tree treegrid treeitem").split()
-INDICATORS = "outline outline-color outline-style outline-width outline-offset box-shadow border border-color border-width border-bottom border-bottom-color background background-color".split()
+ABSTRACT_ROLES = [
+    "command", "composite", "input", "landmark", "range", "roletype", "section", "sectionhead", "select", "structure", "widget", "window",
+]
+ROLES = [
+    "alert", "alertdialog", "application", "article", "banner", "blockquote", "button", "caption", "cell", "checkbox", "code", "columnheader", "combobox", "complementary", "contentinfo",
+    "definition", "deletion", "dialog", "directory", "document", "emphasis", "feed", "figure", "form", "generic", "grid", "gridcell", "group", "heading", "img", "insertion", "link", "list",
+    "listbox", "listitem", "log", "main", "mark", "marquee", "math", "menu", "menubar", "menuitem", "menuitemcheckbox", "menuitemradio", "meter", "navigation", "none", "note", "option",
+    "paragraph", "presentation", "progressbar", "radio", "radiogroup", "region", "row", "rowgroup", "rowheader", "scrollbar", "search", "searchbox", "separator", "slider", "spinbutton",
+    "status", "strong", "subscript", "superscript", "switch", "tab", "table", "tablist", "tabpanel", "term", "textbox", "time", "timer", "toolbar", "tooltip", "tree", "treegrid", "treeitem",
+]
+INDICATORS = [
+    "outline", "outline-color", "outline-style", "outline-width", "outline-offset", "box-shadow", "border", "border-color", "border-width", "border-bottom", "border-bottom-color",
+    "background", "background-color",
+]
 SUPPRESSING = ["none", "0", "0px"]
 FLATTENED = ["inline-style", "jss", "ts-literal"]
 DIALOGS = ["dialog", "alertdialog"]
 LINT_SEVERITY = {
-    "error": "alt-text anchor-has-content anchor-is-valid aria-activedescendant-has-tabindex aria-proptypes heading-has-content html-has-lang iframe-has-title interactive-supports-focus "
-             "label-has-associated-control no-aria-hidden-on-focusable no-distracting-elements no-interactive-element-to-noninteractive-role scope".split(),
-    "warning": "autocomplete-valid click-events-have-key-events lang media-has-caption mouse-events-have-key-events no-autofocus no-noninteractive-element-interactions "
-               "no-noninteractive-element-to-interactive-role no-noninteractive-tabindex no-static-element-interactions tabindex-no-positive".split()}
+    "error": [
+        "alt-text", "anchor-has-content", "anchor-is-valid", "aria-activedescendant-has-tabindex", "aria-proptypes", "heading-has-content", "html-has-lang", "iframe-has-title",
+        "interactive-supports-focus", "label-has-associated-control", "no-aria-hidden-on-focusable", "no-distracting-elements", "no-interactive-element-to-noninteractive-role", "scope",
+    ],
+    "warning": [
+        "autocomplete-valid", "click-events-have-key-events", "lang", "media-has-caption", "mouse-events-have-key-events", "no-autofocus", "no-noninteractive-element-interactions",
+        "no-noninteractive-element-to-interactive-role", "no-noninteractive-tabindex", "no-static-element-interactions", "tabindex-no-positive",
+    ],
+}
 
 
 @rule("icon.foreign-pack", "icon", "imports")
@@ -288,15 +299,6 @@ def prop_invalid(t: Tables) -> DataFrame:
     return finding(bad, "prop.invalid", "api", "error", 1.0, F.col("_v"), F.concat(F.col("component"), F.lit("."), F.col("prop"), F.lit("="), F.col("_v")), None, near["x"])
 
 
-@rule("component.duplicate", "component", "declarations")
-def component_duplicate(t: Tables) -> DataFrame:
-    """Clusters of alike signatures; anchored on the most used declaration, ties by name."""
-    named = t.declarations.groupBy("name").agg(F.min(F.struct("ord", "file", "line", "column", "astSignature", "usages")).alias("d")).select("name", "d.*")
-    found = clusters(named.select("name", text.minhash(F.col("astSignature")).alias("sketch")), "name", 0.8)
-    best = found.join(named, "name").groupBy("anchor", "members").agg(F.min(F.struct((-F.col("usages")).alias("u"), "name", "file", "line", "column", "ord")).alias("b")).select("members", "b.*")
-    return finding(best, "component.duplicate", "component", "candidate", 0.9, F.col("name"), F.col("name"), None, F.col("members").cast("string"))
-
-
 def applicable(tables: Tables, categories: list[str] | None = None) -> list[Rule]:
     """Rules of the wanted categories whose tables are there."""
     import sparkloom.plans.rules_kit  # noqa: F401  registers the rules of a dictionary

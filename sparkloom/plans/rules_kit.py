@@ -138,6 +138,16 @@ def local_components(t: Tables) -> DataFrame:
     return first.join(used, "name", "left").withColumn("usages", F.coalesce("usages", F.lit(0))).withColumn("files", F.coalesce("files", F.lit(0))).withColumn("sketch", text.minhash(F.col("astSignature")))
 
 
+@rule("component.duplicate", "component", "declarations", "elements")
+def component_duplicate(t: Tables) -> DataFrame:
+    """Clusters of components with alike signatures; the anchor is the most used, then in the most files, then by name."""
+    own = local_components(t)
+    found = clusters(own.select("name", "sketch"), "name", COPIED)
+    order = F.struct(-F.col("usages"), -F.col("files"), F.col("name"))
+    best = found.join(own, "name").groupBy("anchor", "members").agg(F.min_by(F.struct("name", "file", "line", "column", "ord"), order).alias("b")).select("members", "b.*")
+    return finding(best, "component.duplicate", "component", "candidate", 0.9, F.col("name"), F.col("name"), None, F.col("members").cast("string"))
+
+
 def _component_rule(verdict: str, severity: str):
     id_ = f"component.{verdict}"
 

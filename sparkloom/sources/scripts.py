@@ -37,6 +37,9 @@ BRACKETS, EQUALS, SPACE, FIRST_TEXT = re.compile(r"[{}()\[\]]"), re.compile(r"\s
 AFTER_WORD = re.compile(r"\b(?:return|default|case|yield)$")
 
 
+KEY = re.compile(r"""\s*,?\s*(?:(["'])(?P<q>[^"'\n]*)["']|(?P<n>[A-Za-z_$][\w$-]*)|\[[^\]]*\])\s*:\s*""")
+
+
 def blank(text: str) -> str:
     """The text with comments and the inside of strings as spaces; line ends stay."""
     def empty(m: re.Match) -> str:
@@ -233,27 +236,33 @@ class Script:
         return "".join(out) + body[at:]
 
     def _object(self, brace: int, selector: str | None, source: str) -> list[dict]:
-        """Declarations of an object literal: nested objects are selectors, a conditional gives both branches."""
+        """Declarations of an object literal: nested objects, of any depth, are selectors; a conditional gives both branches."""
         end = closing(self.code, brace)
         if end < 0:
             self.problems.append((brace, "object"))
             return []
-        out, at = [], brace + 1
-        while at < end:
-            key = re.compile(r"""\s*,?\s*(?:(["'])(?P<q>[^"'\n]*)["']|(?P<n>[A-Za-z_$][\w$-]*)|\[[^\]]*\])\s*:\s*""").match(self.text, at)
+        out, open_ = [], [(end, selector)]
+        at = brace + 1
+        while open_:
+            end, selector = open_[-1]
+            if at >= end:
+                open_.pop()
+                at = self._comma(end + 1, open_[-1][0]) + 1 if open_ else at
+                continue
+            key = KEY.match(self.text, at)
             if not key:
-                comma = self._comma(at, end)
-                at = comma + 1
+                at = self._comma(at, end) + 1
                 continue
             name = key["q"] if key["q"] is not None else key["n"]
             start = key.end()
+            if name is not None and self.code[start] == "{" and (inner := closing(self.code, start)) > 0:
+                open_.append((inner, name if selector is None else f"{selector} {name}"))
+                at = start + 1
+                continue
             stop = self._comma(start, end)
-            value = self.text[start:stop].strip()
-            if value.startswith("{") and name is not None:
-                out += self._object(start, name if selector is None else f"{selector} {name}", source)
-            elif name is not None:
+            if name is not None:
                 prop = self._property(name)
-                for branch in self._branches(value):
+                for branch in self._branches(self.text[start:stop].strip()):
                     text, dynamic = self._value(branch, prop)
                     out.append({"at": key.start() + len(key[0]) - len(key[0].lstrip(" ,\n\t\r")), "property": prop, "value": text, "selector": selector, "source": source, "dynamic": dynamic})
             at = stop + 1

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,7 +16,7 @@ from sparkloom.schemas import STYLE_VALUES
 
 #: Working columns of the scanner; style_values derives the rest of the fact table.
 COLUMNS = "file string, line int, column int, ord int, property string, authored string, source string, selector string"
-TOKEN = re.compile(r"""/\*.*?(?:\*/|$)|"(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*'|[{};]""", re.S)
+TOKEN = re.compile(r"""/\*.*?(?:\*/|$)|"(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*'|[{};()]""", re.S)
 LINE_COMMENT = re.compile(r"(?<![:\w])//[^\n]*")
 
 
@@ -39,7 +40,7 @@ def scan(text: str, source: str = "css") -> list[tuple]:
         if not colon or not stack or not re.fullmatch(r"-?[A-Za-z][A-Za-z-]*", prop):
             return
         at = start + len(name) - len(name.lstrip())
-        line = next((i for i in range(len(starts) - 1, -1, -1) if starts[i] <= at), 0)
+        line = bisect_right(starts, at) - 1
         value = value.strip()
         selector = " ".join(s for s in stack if not s.startswith("@"))
         out.append((line + 1, at - starts[line] + 1, prop.lower(), value, selector))
@@ -53,12 +54,15 @@ def scan(text: str, source: str = "css") -> list[tuple]:
             if stack:
                 stack.pop()
         elif c == ";":
-            if text.count("(", start, m.start()) > text.count(")", start, m.start()):
+            if paren > 0:
                 continue  # inside url(data:...;...)
             declare(m.start())
+        elif c in "()":
+            paren += 1 if c == "(" else -1
+            continue
         else:
             continue
-        start = m.end()
+        start, paren = m.end(), 0
     return out
 
 

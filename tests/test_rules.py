@@ -1,5 +1,5 @@
 from sparkloom import schemas
-from sparkloom.plans import rules
+from sparkloom.plans import rules, rules_kit
 from sparkloom.sources import configs, files, sinks, stylesheet
 
 
@@ -62,7 +62,9 @@ def test_imports_props_tokens_run(spark):
 def test_duplicates(spark):
     sig = [f"t{i % 9}" for i in range(60)]
     d = spark.createDataFrame([("a", 1, 1, 0, "Card", "component", [], [], [], [], sig, 1, 2, [], []), ("b", 1, 1, 1, "Box", "component", [], [], [], [], sig, 1, 5, [], []), ("c", 1, 1, 2, "Other", "component", [], [], [], [], [f"u{i}" for i in range(60)], 1, 1, [], [])], schemas.DECLARATIONS)
-    assert [(r.actual, r.expected) for r in rules.component_duplicate(rules.Tables(declarations=d)).collect()] == [("Box", "2")]
+    used = [(f, n, x, None, {}, {}, [], None) for f, n, x in [("p", 1, "Card"), ("p", 2, "Card"), ("p", 3, "Box"), ("q", 4, "Box"), ("q", 5, "Other"), ("q", 6, "Other"), ("q", 7, "Other")]]
+    e = elements(spark, *used)  # as many uses of both, in more files of one
+    assert [(r.actual, r.expected) for r in rules_kit.component_duplicate(rules.Tables(declarations=d, elements=e)).collect()] == [("Box", "2")]
 
 
 def test_files_and_stylesheets(spark, tmp_path):

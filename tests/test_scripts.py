@@ -1,3 +1,5 @@
+import time
+
 from sparkloom import schemas
 from sparkloom.plans import rules
 from sparkloom.sources import scripts
@@ -105,3 +107,19 @@ def test_what_cannot_be_read_is_a_limitation(spark):
 def test_long_files_take_linear_time(spark):
     f = files(spark, "export const L = () => (<ul>" + "<li className={x} title='y'>z</li>\n" * 20_000 + "</ul>);")
     assert scripts.elements(f).count() == 20_001
+
+
+def test_objects_of_any_depth(spark):
+    deep = "const useStyles = makeStyles({ root: " + "{ a: " * 3000 + "{ color: 'red' }" + " }" * 3000 + ", last: { margin: 1 } });"
+    got = {(r.property, r.value): len(r.selector.split()) for r in scripts.style_values(files(spark, deep)).collect()}
+    assert got == {("color", "red"): 3001, ("margin", "1px"): 1}
+
+
+def test_long_stylesheets_take_linear_time():
+    from sparkloom.sources import stylesheet
+
+    text = "".join(f".c{i} {{ color: red;\n padding: 1px }}\n" for i in range(60_000)) + ".u { background: url(data:x;y;(z)); color: blue }"
+    began = time.perf_counter()
+    rows = stylesheet.scan(text)
+    assert time.perf_counter() - began < 10
+    assert len(rows) == 120_002 and rows[-1][:4] == (120_001, 37, "color", "blue") and rows[-2][3] == "url(data:x;y;(z))" and rows[119_999][:2] == (120_000, 2)
