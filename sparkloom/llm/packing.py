@@ -43,8 +43,9 @@ ROWS, TOKENS = 65_536, 1 << 23
 class Encoder:
     """Little-endian unsigned 32-bit ids of whole texts as bytes.
 
-    The ids are those of the vocabulary's ``tokenizers`` file with its default settings: the string of an added token in
-    a text is that token.
+    The ids are those of the vocabulary's ``tokenizers`` file (beside the ranks, of the same name) with its default
+    settings: the string of an added token in a text is that token. ``tiktoken`` computes them; a text that its pattern
+    engine gives up on, such as one with a million spaces in a row, goes to ``tokenizers``.
     """
 
     def __init__(self, vocabulary: str):
@@ -56,11 +57,23 @@ class Encoder:
         with open(vocabulary, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.coding = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={ADDED: len(ranks)})
+        self.path, self.whole = vocabulary.removesuffix(".tiktoken") + ".json", None
 
     def __call__(self, text: str) -> bytes:
-        ids = self.coding.encode(text, allowed_special="all") if ADDED in text else self.coding.encode_ordinary(text)
+        try:
+            ids = self.coding.encode(text, allowed_special="all") if ADDED in text else self.coding.encode_ordinary(text)
+        except BaseException as error:
+            if not isinstance(error, ValueError) and type(error).__name__ != "PanicException":
+                raise  # the pattern engine's depth limit ends in either, and a panic is no Exception
+            ids = self.slow(text)
         return np.array(ids, "<u4").tobytes()
 
+    def slow(self, text: str) -> list[int]:
+        from tokenizers import Tokenizer
+
+        self.whole = self.whole or Tokenizer.from_file(self.path)
+        return self.whole.encode(text, add_special_tokens=False).ids
+
 
 def default_vocabulary() -> str:
     import public_tokenizers

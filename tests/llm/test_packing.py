@@ -95,3 +95,13 @@ def test_window_is_filled_as_full_as_can_be():
         assert sum(k * n for k, n in got.items()) == best and all(counts[k] >= n for k, n in got.items())
     windows = list(packing.minimum_bin_slack([(0, 1500), (1, 300), (2, 300), (3, 240), (4, 8)]))
     assert sorted(windows[0]) == [(0, 0, 1500), (1, 0, 300), (3, 0, 240), (4, 0, 8)] or sorted(windows[0]) == [(0, 0, 1500), (2, 0, 300), (3, 0, 240), (4, 0, 8)]
+
+
+def test_long_runs_of_one_character(spark, tokenizer):
+    docs = [(i, f"x{c * 2_000_000}y") for i, c in enumerate(" \na中")]
+    encode = packing.Encoder(packing.default_vocabulary())
+    for _, text in docs:
+        assert encode(text) == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert encode(docs[0][1] + packing.ADDED) == np.array(tokenizer.encode(docs[0][1] + packing.ADDED, add_special_tokens=False).ids, "<u4").tobytes()
+    rows = packing.pack(spark.createDataFrame([docs[0], (9, "a")], "doc_id long, text string")).toPandas()
+    assert rows["length"].sum() == len(encode(docs[0][1])) // 4 + 1 + 2
