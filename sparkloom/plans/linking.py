@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text
-from sparkloom.operators import graph, joins
+from sparkloom.operators import graph, joins, nearest
 from sparkloom.plans.catalog import query
 from sparkloom.plans.rollups import table
 
@@ -82,11 +82,9 @@ b AS (SELECT word, min(dist) AS dist FROM x WHERE dist <= most GROUP BY word)
 SELECT x.word, min(entry) AS suggestion FROM x JOIN b ON x.word = b.word AND x.dist = b.dist GROUP BY x.word HAVING count(*) = 1""")
 def nearest_string(spark, sf):
     words = table(spark, sf, "part").select(F.explode(F.split(F.concat_ws(" ", "p_name", "p_type"), " ")).alias("word")).distinct()
-    most = F.greatest(F.lit(1), F.least(F.lit(2), F.floor(F.length("word") / 3)))
-    pairs = words.join(F.broadcast(spark.createDataFrame([(w,) for w in WORDS], "entry string")), F.levenshtein(F.upper("word"), F.col("entry"), 2) >= 0)  # a fixed dictionary
-    x = pairs.withColumn("dist", F.levenshtein(F.upper("word"), F.col("entry"))).where(F.col("dist") <= most)
-    best = x.groupBy("word", "dist").agg(F.min("entry").alias("suggestion"), F.count("*").alias("n")).groupBy("word").agg(F.min(F.struct("dist", "suggestion", "n")).alias("b"))
-    return best.where("b.n = 1").select("word", F.col("b.suggestion").alias("suggestion"))
+    upper = words.select("word", F.upper("word").alias("_up"))
+    found = nearest.suggestions(upper, "_up", spark.createDataFrame([(w,) for w in WORDS], "entry string"), "entry")
+    return upper.join(found.withColumnRenamed("word", "_up"), "_up").select("word", "suggestion")
 
 
 @query("nearest_vector", """

@@ -13,6 +13,7 @@ from sparkloom.functions import color, edits, style, text, values
 from sparkloom.functions.numbers import any_of, round_half_up
 from sparkloom.operators.aggs import global_number
 from sparkloom.operators.joins import asof_backward
+from sparkloom.operators.nearest import pairs_within
 from sparkloom.schemas import FINDING
 
 
@@ -236,7 +237,7 @@ def value_literals(style_values: DataFrame, kind: str) -> DataFrame:
 
 @rule("token.literal.color", "token", "style_values", "tokens")
 def literal_color(t: Tables) -> DataFrame:
-    """Each colour literal with its nearest token of like alpha (a dictionary); distinct literals are compared, not rows.
+    """Each colour literal with its nearest token of like alpha; distinct literals meet the tokens of the cells around them.
 
     Tokens may have a role and a tier: among equals a token of the property's role comes first, then the smaller id. A
     colour without a role that a semantic token has too is ambiguous, which lowers the confidence.
@@ -248,8 +249,9 @@ def literal_color(t: Tables) -> DataFrame:
     distinct = literals.select("_h", "_role").distinct().select("_h", "_role", *lab(F.col("_h"), "x"))
     own = lambda c: F.col(c) if c in t.tokens.columns else F.lit(None).cast("string")
     tokens = t.tokens.select(F.col("id").alias("_t"), color.canonical_hex(F.col("hex")).alias("_k"), own("role").alias("_r"), own("tier").alias("_tier")).where("_k is not null").select("*", *lab(F.col("_k"), "y"))
-    pairs = distinct.join(tokens, F.abs(alpha("_h") - alpha("_k")) < ALPHA_TOLERANCE)
-    order = F.struct((F.col("_h") != F.col("_k")).alias("other"), color.distance([F.col("x" + n) for n in "lab"], [F.col("y" + n) for n in "lab"]).alias("d"), (~F.col("_r").eqNullSafe(F.col("_role"))).alias("apart"), F.col("_t").alias("t"))
+    own_point, token_point = [F.col("x" + n) for n in "lab"], [F.col("y" + n) for n in "lab"]
+    pairs = pairs_within(distinct, tokens, own_point, token_point, color.SHADE).where(F.abs(alpha("_h") - alpha("_k")) < ALPHA_TOLERANCE)
+    order = F.struct((F.col("_h") != F.col("_k")).alias("other"), color.distance(own_point, token_point).alias("d"), (~F.col("_r").eqNullSafe(F.col("_role"))).alias("apart"), F.col("_t").alias("t"))
     best = pairs.groupBy("_h", "_role").agg(F.min(order).alias("_b"))
     twins = tokens.where("_tier = 'semantic'").groupBy(F.col("_k").alias("_h")).agg(F.collect_set("_t").alias("_twins"))
     rows = literals.join(best, ["_h", "_role"], "left").join(twins, "_h", "left")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import color, text
 from sparkloom.functions.numbers import noisy_or, round_half_up
-from sparkloom.operators import aggs, similarity
+from sparkloom.operators import aggs, nearest, similarity
 from sparkloom.plans.catalog import query
 from sparkloom.plans.rollups import table
 
@@ -178,6 +178,26 @@ def nearest_color(spark, sf):
     return found.select("p_partkey", "token", round_half_up(F.col("distance"), 3).alias("distance"), kind.alias("class"))
 
 
+_SUPPLIED = """trgb AS (SELECT s_suppkey AS p_partkey, ('0x' || substr(h, 1, 2))::INT::DOUBLE AS r, ('0x' || substr(h, 3, 2))::INT::DOUBLE AS g, ('0x' || substr(h, 5, 2))::INT::DOUBLE AS b
+FROM (SELECT s_suppkey, lpad(lower(to_hex((s_suppkey * 654321 + 123) % 16777216)), 6, '0') AS h FROM supplier))"""
+
+
+@query("nearest_color_grid", f"""
+WITH {_RGB}, {_SUPPLIED}, lms AS (SELECT p_partkey, {_ROOTS[0]} AS x, {_ROOTS[1]} AS y, {_ROOTS[2]} AS z FROM rgb), tlms AS (SELECT p_partkey, {_ROOTS[0]} AS x, {_ROOTS[1]} AS y, {_ROOTS[2]} AS z FROM trgb),
+lab AS (SELECT p_partkey, {_LAB[0]} AS l, {_LAB[1]} AS a, {_LAB[2]} AS b FROM lms), tlab AS (SELECT p_partkey, {_LAB[0]} AS l, {_LAB[1]} AS a, {_LAB[2]} AS b FROM tlms),
+d AS (SELECT x.p_partkey, k.p_partkey AS token, floor(sqrt((x.l - k.l) * (x.l - k.l) + (x.a - k.a) * (x.a - k.a) + (x.b - k.b) * (x.b - k.b)) * 100000 + 0.5) / 100000 AS dist FROM lab x, tlab k)
+SELECT p_partkey, arg_min(token, (dist, token)) AS token, floor(min(dist) * 1000 + 0.5) / 1000 AS distance FROM d GROUP BY 1""")
+def nearest_color_grid(spark, sf):
+    """Colours of the parts against a palette that grows with the tables: a colour a supplier, by a grid with rings."""
+    lab = _colours(spark, sf).select("p_partkey", *(x.alias(n) for x, n in zip(color.oklab(F.col("r"), F.col("g"), F.col("b")), "LAB", strict=True)))
+    own = F.lpad(F.lower(F.hex((F.col("s_suppkey").cast("long") * 654321 + 123) % 16777216)), 6, "0")
+    palette = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("token"), color.canonical_hex(F.concat(F.lit("#"), own)).alias("hex"))
+    tokens = palette.select("token", *(x.alias(f"k{n}") for x, n in zip(color.oklab(*(color.channel(F.col("hex"), i) for i in range(3))), "LAB", strict=True)))
+    point, other = [F.col(n) for n in "LAB"], [F.col(f"k{n}") for n in "LAB"]
+    found = nearest.nearest_point(lab, tokens, point, other, color.distance(point, other), ["p_partkey"], ["token"], ["token"], color.SHADE)
+    return found.select("p_partkey", "token", round_half_up(F.col("distance"), 3).alias("distance"))
+
+
 @query("oklch", f"""
 WITH {_RGB}, lms AS (SELECT p_partkey, {_ROOTS[0]} AS x, {_ROOTS[1]} AS y, {_ROOTS[2]} AS z FROM rgb), lab AS (SELECT p_partkey, {_LAB[0]} AS l, {_LAB[1]} AS a, {_LAB[2]} AS b FROM lms),
 h AS (SELECT *, sqrt(a * a + b * b) AS c, degrees(atan2(b, a)) AS d FROM lab)
