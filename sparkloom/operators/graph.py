@@ -75,3 +75,30 @@ def chain_end(starts: DataFrame, next_of: DataFrame, hops: int = 8) -> DataFrame
             "start", F.when(F.col("done") | F.col("next").isNull(), F.col("at")).when(F.array_contains("path", F.col("next")), None).otherwise(F.col("next")).alias("at"),
             F.when(stuck, F.col("path")).otherwise(F.array_append("path", F.col("next"))).alias("path"), (stuck | F.array_contains("path", F.col("next"))).alias("done"))
     return now.select("start", F.when(F.col("done"), F.col("at")).alias("end"), (F.size("path") - 1).alias("hops"))
+
+
+def resolve_paths(next_of: DataFrame) -> DataFrame:
+    """(start, end, path): where each node of ``next_of`` (node, next) leads in the end, and over which nodes, both included.
+
+    Pointer jumping: each round a node takes over all that the node it points at has found, so shared tails are followed
+    once and a chain of n nodes takes log2(n) rounds. Distances along a chain have no gaps: a round in which no node
+    reaches its end shows that those still on the way never will. They run in circles, and have neither end nor path.
+    ``next_of`` has one row a node; a null next, or one without a row, is an end.
+    """
+    steps = next_of.select("node", "next").distinct()
+    known = steps.select("node")
+    ahead = steps.join(known.withColumnRenamed("node", "next").withColumn("_on", F.lit(True)), "next", "left")
+    done = F.coalesce(~F.col("_on"), F.lit(True))
+    last = F.when(done, F.coalesce("next", "node")).otherwise(F.col("next"))
+    now = cut(ahead.select("node", last.alias("at"), F.when(F.col("next").isNull(), F.array("node")).otherwise(F.array("node", "next")).alias("path"), done.alias("done")))
+    left = now.where("not done").count()
+    while left:
+        tail = now.select(F.col("node").alias("at"), F.col("at").alias("_at"), F.slice("path", 2, 1 << 30).alias("_tail"), F.col("done").alias("_done"))
+        far = now.where("not done").join(tail, "at").select("node", F.col("_at").alias("at"), F.concat("path", "_tail").alias("path"), F.col("_done").alias("done"))
+        before, now = now, cut(now.where("done").unionByName(far))
+        drop_cut(before)
+        more = now.where("not done").count()
+        if more == left:
+            break
+        left = more
+    return now.select(F.col("node").alias("start"), F.when(F.col("done"), F.col("at")).alias("end"), F.when(F.col("done"), F.col("path")).alias("path"))

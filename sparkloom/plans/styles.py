@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.functions import values
-from sparkloom.operators import classes, kit
+from sparkloom.operators import classes, graph, kit
 from sparkloom.plans import rules
 from sparkloom.plans.catalog import query
 from sparkloom.plans.rollups import table
@@ -117,3 +117,17 @@ def scss_variables(spark: SparkSession, sf: str) -> DataFrame:
     files = sheets.select(F.concat(F.lit("s/f"), F.col("k").cast("string"), F.lit(".scss")).alias("file"), F.concat(F.lit(uses + "\n"), F.col("text")).cast("binary").alias("content"))
     declared, _ = scss.variables(files)
     return declared.select("file", "name", "resolved", F.col("root.file").alias("root_file"), F.col("root.name").alias("root"))
+
+
+NEXT = "CASE c_custkey % 100 WHEN 99 THEN c_custkey + 1 WHEN 0 THEN c_custkey - 1 ELSE CASE WHEN c_custkey < 2 THEN NULL ELSE CAST(floor(c_custkey / 2) AS BIGINT) END END"
+
+
+@query("render_resolve", f"""
+WITH RECURSIVE n AS (SELECT c_custkey::BIGINT AS node, {NEXT} AS next FROM customer),
+w(start, here, path) AS (SELECT node, node, [node] FROM n UNION ALL SELECT start, next, list_append(path, next) FROM w JOIN n ON node = here WHERE next IS NOT NULL AND NOT list_contains(path, next)),
+e AS (SELECT start, here, path FROM w WHERE NOT EXISTS (SELECT 1 FROM n WHERE node = here AND next IS NOT NULL))
+SELECT node AS start, here AS "end", array_to_string(path, '>') AS path FROM n LEFT JOIN e ON start = node""")
+def render_resolve(spark: SparkSession, sf: str) -> DataFrame:
+    """What each node renders in the end, and by way of which; circles render nothing that is known."""
+    steps = table(spark, sf, "customer").selectExpr("cast(c_custkey as bigint) AS node", f"cast({NEXT} as bigint) AS next")
+    return graph.resolve_paths(steps).select("start", "end", F.array_join("path", ">").alias("path"))

@@ -32,3 +32,13 @@ def test_global_number_is_gapless_under_any_partitioning(spark):
 def test_largest_remainder_adds_up(spark):
     c = spark.createDataFrame([("a", 1), ("b", 1), ("c", 1)], "k string, n int")
     assert sorted((r.k, r.percent) for r in aggs.largest_remainder(c, "k", "n").collect()) == [("a", 34), ("b", 33), ("c", 33)]
+
+
+def test_paths_share_tails_and_circles_have_none(spark):
+    from sparkloom.operators import graph
+
+    steps = [(i, i + 1) for i in range(37)] + [(100, 3), (101, 100), (50, 51), (51, 52), (52, 50), (53, 51), (60, None), (61, 60), (70, 70)]
+    got = {r.start: (r.end, r.path) for r in graph.resolve_paths(spark.createDataFrame(steps, "node int, next int")).collect()}
+    assert {k: got[k] for k in (50, 51, 52, 53, 70)} == dict.fromkeys((50, 51, 52, 53, 70), (None, None))
+    assert got[0] == (37, list(range(38))) and got[36] == (37, [36, 37]) and got[101] == (37, [101, 100, *range(3, 38)]) and got[60] == (60, [60]) and got[61] == (60, [61, 60])
+    assert graph.resolve_paths(spark.createDataFrame([], "node int, next int")).count() == 0
