@@ -72,13 +72,15 @@ def nearest_point(rows: DataFrame, candidates: DataFrame, point: Sequence[Column
     A key is settled in the first ring that holds a candidate; the next ring is twice as wide, and what is still open
     after the last ring has none. A ring meets only the keys that are open.
     """
-    open_, found = rows, None
+    open_, candidates, found = cut(rows), cut(candidates), None  # coordinates are worked out once, not in every use
     for k in range(rings):
         wide = radius * 2**k
         pairs = pairs_within(open_, candidates, point, other, wide).withColumn("_d", distance).where(F.col("_d") < wide)
         best = cut(pairs.groupBy(*key).agg(F.min(F.struct("_d", *tie, *[c for c in take if c not in tie])).alias("_b")).select(*key, *(F.col(f"_b.{c}").alias(c) for c in take), F.col("_b._d").alias("distance")))
         found = best if found is None else found.unionByName(best)
         open_ = open_.join(best.select(*key), key, "left_anti")
-        if k + 1 < rings and open_.isEmpty():
-            break
+        if k + 1 < rings:
+            open_ = cut(open_)
+            if open_.isEmpty():
+                break
     return found

@@ -15,6 +15,7 @@ from sparkloom.operators.aggs import global_number
 from sparkloom.operators.joins import asof_backward
 from sparkloom.operators.nearest import pairs_within
 from sparkloom.schemas import FINDING
+from sparkloom.scratch import cut
 
 
 @dataclass
@@ -243,13 +244,15 @@ def literal_color(t: Tables) -> DataFrame:
     colour without a role that a semantic token has too is ambiguous, which lowers the confidence.
     """
     role = F.when(F.col("source") != "ts-literal", style.color_role(F.col("property")))
-    literals = value_literals(t.style_values, "color").select("file", "line", "column", "ord", F.col("raw").alias("_l"), F.coalesce(role, F.lit("")).alias("_role"), color.canonical_hex(F.col("raw")).alias("_h")).where("_h is not null")
+    literals = value_literals(t.style_values, "color").select("file", "line", "column", "ord", F.col("raw").alias("_l"), F.coalesce(role, F.lit("")).alias("_role"), color.canonical_hex(F.col("raw")).alias("_h"))
+    literals = cut(literals).where("_h is not null")
     lab = lambda h, p: [x.alias(p + n) for x, n in zip(color.oklab(*(color.channel(h, i) for i in range(3))), "lab", strict=True)]
     alpha = lambda h: round_half_up(color.channel(F.col(h), 3) / 255, 4)
     distinct = literals.select("_h", "_role").distinct().select("_h", "_role", *lab(F.col("_h"), "x"))
     own = lambda c: F.col(c) if c in t.tokens.columns else F.lit(None).cast("string")
     tokens = t.tokens.select(F.col("id").alias("_t"), color.canonical_hex(F.col("hex")).alias("_k"), own("role").alias("_r"), own("tier").alias("_tier")).where("_k is not null").select("*", *lab(F.col("_k"), "y"))
     own_point, token_point = [F.col("x" + n) for n in "lab"], [F.col("y" + n) for n in "lab"]
+    distinct, tokens = cut(distinct), cut(tokens)  # coordinates are worked out once
     pairs = pairs_within(distinct, tokens, own_point, token_point, color.SHADE).where(F.abs(alpha("_h") - alpha("_k")) < ALPHA_TOLERANCE)
     order = F.struct((F.col("_h") != F.col("_k")).alias("other"), color.distance(own_point, token_point).alias("d"), (~F.col("_r").eqNullSafe(F.col("_role"))).alias("apart"), F.col("_t").alias("t"))
     best = pairs.groupBy("_h", "_role").agg(F.min(order).alias("_b"))
