@@ -35,8 +35,8 @@ from sparkloom.llm.common import cut, table
 from sparkloom.llm.suffix_dedup import Hashed, _mix, _packed, _sliding_argmin
 
 WORDS, GRAM = 35, 10
-#: Windows of a text hashed at once, bytes hashed at once, windows of a block of a passage, words of an automaton.
-PART, SEGMENT, BLOCK, NODES = 1 << 19, 1 << 21, 256, 500_000
+#: Texts surveyed at once, windows and bytes hashed at once, windows of a block of a passage, words of an automaton.
+ROWS, PART, SEGMENT, BLOCK, NODES = 1024, 1 << 18, 1 << 19, 256, 250_000
 
 _FIB = np.uint64(0x9E3779B97F4A7C15)
 
@@ -118,7 +118,7 @@ def _place(p: np.ndarray, n: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Batches (row, text) to runs: anchor hash, context hash, row, place."""
-    for batch in batches:
+    for batch in (whole.slice(k, ROWS) for whole in batches for k in range(0, whole.num_rows, ROWS)):
         keys = batch.column(0).to_numpy()
         found = word_hashes([t.as_py() or b"" for t in batch.column(1).cast(pa.binary())])
         held, owner, base, size = [], [], [], 0
