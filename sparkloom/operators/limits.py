@@ -17,6 +17,11 @@ def limitation(rows: DataFrame, reason: str, detail: str) -> DataFrame:
     return rows.select("file", F.col("line").cast("int").alias("line"), F.lit(reason).alias("reason"), F.lit(detail).alias("detail"))
 
 
+def project_limitation(once: DataFrame, reason: str, detail: str) -> DataFrame:
+    """One limitation of the whole project for each row of ``once``: at ``.``, without a line."""
+    return once.select(F.lit(".").alias("file"), F.lit(None).cast("int").alias("line"), F.lit(reason).alias("reason"), F.lit(detail).alias("detail"))
+
+
 def focus_limitations(style_values: DataFrame, flattened: list[str]) -> DataFrame:
     """Focus rings taken away in object styles, where states cannot be told apart."""
     value = F.lower(F.trim("value"))

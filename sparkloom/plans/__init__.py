@@ -1,3 +1,3 @@
 """Query plans over the driver tables; importing the package registers them."""
 
-from sparkloom.plans import further, inventory, linking, project, rollups, rule_queries, styles, texts, tokens, typed  # noqa: F401
+from sparkloom.plans import further, inventory, linking, project, published, rollups, rule_queries, styles, texts, tokens, typed  # noqa: F401

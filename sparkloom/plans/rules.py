@@ -8,13 +8,15 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from sparkloom.functions import color, edits, style, text, values
 from sparkloom.functions.numbers import any_of, round_half_up
+from sparkloom.operators import limits
 from sparkloom.operators.aggs import global_number
 from sparkloom.operators.joins import asof_backward
 from sparkloom.operators.nearest import pairs_within
-from sparkloom.schemas import FINDING
+from sparkloom.schemas import FINDING, FINDING_ROW
 from sparkloom.scratch import cut
 
 
@@ -51,7 +53,16 @@ class Rule:
     run: Callable[[Tables], DataFrame]
 
 
+@dataclass
+class Limits:
+    """What a rule could not check: the tables that are needed to say so, and (Tables) -> limitations."""
+
+    needs: tuple[str, ...]
+    run: Callable[[Tables], DataFrame]
+
+
 REGISTRY: dict[str, Rule] = {}
+LIMITS: dict[str, Limits] = {}
 
 
 def rule(id_: str, category: str, *needs: str):
@@ -62,6 +73,15 @@ def rule(id_: str, category: str, *needs: str):
     return register
 
 
+def limits_of(id_: str, *needs: str):
+    """Registers the second output of a rule: rows that it met and could not check."""
+    def register(f):
+        LIMITS[id_] = Limits(needs, f)
+        return f
+
+    return register
+
+
 def finding(rows: DataFrame, id_: str, category: str, severity: Column | str, confidence: Column | float, actual: Column, impact: Column | None = None, subkind: Column | None = None, expected: Column | None = None) -> DataFrame:
     """Rows with file, line, column and ord in the shape of findings; impactKey is the rule, then the impact."""
     lit = lambda x: x if isinstance(x, Column) else F.lit(x)
@@ -166,6 +186,11 @@ def focus_suppressed(t: Tables) -> DataFrame:
     return on_focus.unionByName(finding(blanket, "a11y.focus.suppressed", "a11y", "error", 0.85, F.concat_ws(": ", "property", "value"), None, F.lit("blanket")))
 
 
+@limits_of("a11y.focus.suppressed", "style_values")
+def focus_unclear(t: Tables) -> DataFrame:
+    return limits.focus_limitations(t.style_values, FLATTENED)
+
+
 @rule("a11y.contrast.text", "a11y", "style_values")
 def contrast_text(t: Tables) -> DataFrame:
     """Colour, laid over the background where it has alpha, and background of one selector (last wins); large text is 24px,
@@ -286,6 +311,13 @@ def import_bypass(t: Tables) -> DataFrame:
     return finding(rows, "import.bypass", "api", "error", 1.0, F.col("specifier"), F.col("specifier"), None, F.col("_w"))
 
 
+@limits_of("import.bypass", "imports")
+def nothing_wrapped(t: Tables) -> DataFrame:
+    """Said once for the project: the dictionary wraps no package, so there is nothing to bypass."""
+    once = t.imports.sparkSession.range(1) if t.upstream is None else t.upstream.agg(F.count("*").alias("n")).where("n = 0")
+    return limits.project_limitation(once, "no-upstream", "import.bypass: no wrapped packages to check against")
+
+
 @rule("api.deprecated", "api", "elements", "imports", "symbols")
 def api_deprecated(t: Tables) -> DataFrame:
     used = t.elements.where("kitComponent is not null").select("file", "line", "column", "ord", F.col("kitComponent").alias("_s")).unionByName(
@@ -311,9 +343,40 @@ def applicable(tables: Tables, categories: list[str] | None = None) -> list[Rule
     return [r for r in REGISTRY.values() if (categories is None or r.category in categories) and all(getattr(tables, n) is not None for n in r.needs)]
 
 
+def numbered(found: DataFrame) -> DataFrame:
+    """Findings in total order, with occurrences and distinct files of their impactKey, and f_0001 ids."""
+    rows = global_number(found, ["file", "line", "column", "rule", "actual", "subkind", "ord"])
+    impact = rows.groupBy("impactKey").agg(F.count("*").alias("occurrences"), F.countDistinct("file").alias("files"))
+    return rows.join(impact, "impactKey").select(F.format_string("f_%04d", "number").alias("id"), *FINDING, "occurrences", "files")
+
+
 def run_rules(tables: Tables, categories: list[str] | None = None) -> DataFrame:
-    """Findings of all rules in total order, with occurrences and distinct files of their impactKey, and f_0001 ids."""
-    found = reduce(DataFrame.unionByName, [r.run(tables) for r in applicable(tables, categories)])
-    numbered = global_number(found, ["file", "line", "column", "rule", "actual", "subkind", "ord"])
-    impact = numbered.groupBy("impactKey").agg(F.count("*").alias("occurrences"), F.countDistinct("file").alias("files"))
-    return numbered.join(impact, "impactKey").select(F.format_string("f_%04d", "number").alias("id"), *FINDING, "occurrences", "files")
+    """Findings of all rules that apply, numbered."""
+    return numbered(reduce(DataFrame.unionByName, [r.run(tables) for r in applicable(tables, categories)]))
+
+
+def rule_limitations(tables: Tables, categories: list[str] | None = None) -> list[DataFrame]:
+    """What the rules of the wanted categories could not check, with the rule in front; a rule that does not apply for
+    want of its dictionary says so here."""
+    import sparkloom.plans.rules_kit  # noqa: F401  registers the rules of a dictionary
+
+    wanted = [(i, x) for i, x in LIMITS.items() if categories is None or REGISTRY[i].category in categories]
+    return [x.run(tables).withColumn("rule", F.lit(i)) for i, x in wanted if all(getattr(tables, n) is not None for n in x.needs)]
+
+
+def check(tables: Tables, categories: list[str] | None = None, scanned: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Findings and limitations of all rules from one job over the facts: a union of tagged rows, written once, then split.
+
+    Limitations have the rule, null for those of the scan (``scanned``), and each row once, in order of file, line (none
+    first), reason and detail. Without any rule or limitation the frames are empty.
+    """
+    spark = next(v for v in vars(tables).values() if isinstance(v, DataFrame)).sparkSession
+    types = StructType.fromDDL(FINDING_ROW)
+    shape = f"finding struct<{', '.join(f'{f.name}:{f.dataType.simpleString()}' for f in types)}>, limitation struct<rule:string,file:string,line:int,reason:string,detail:string>"
+    none = spark.createDataFrame([], shape)
+    found = [r.run(tables).select(F.struct(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in types)).alias("finding")) for r in applicable(tables, categories)]
+    limited = rule_limitations(tables, categories) + ([scanned.withColumn("rule", F.lit(None).cast("string"))] if scanned is not None else [])
+    tagged = [x.select(F.struct("rule", "file", "line", "reason", "detail").alias("limitation")) for x in limited]
+    both = cut(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [none, *found, *tagged]))
+    said = both.where("limitation is not null").select("limitation.*").distinct()
+    return numbered(both.where("finding is not null").select("finding.*")), said.orderBy("file", F.coalesce("line", F.lit(0)), "reason", "detail", "rule")

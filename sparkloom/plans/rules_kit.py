@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import color, style, text
-from sparkloom.operators import components
+from sparkloom.operators import components, limits
 from sparkloom.operators.classes import selector_targets
 from sparkloom.operators.similarity import clusters
-from sparkloom.plans.rules import Tables, finding, rule, value_literals
+from sparkloom.plans.rules import Tables, finding, limits_of, rule, value_literals
 
 # Fixed values of the rules.
 FEWEST_LENGTHS, RARE, RARE_SHARE = 12, 2, 0.05
@@ -93,6 +93,11 @@ def pattern_keyboard(t: Tables) -> DataFrame:
                    F.col("_role"), F.when(F.col("_has"), "handlerUnreadable").otherwise("noHandler"), F.col("_best.component"))
 
 
+@limits_of("a11y.pattern.keyboard", "elements")
+def keyboard_unchecked(t: Tables) -> DataFrame:
+    return limits.keyboard_limitations(t.elements, KEYBOARD_ROLES, t.patterns)
+
+
 def icon_names(icons: DataFrame) -> DataFrame:
     """One icon a fingerprint: the first name, then the smallest size; the others are alternatives."""
     return icons.where("fingerprint is not null").groupBy("fingerprint").agg(F.min(F.struct("name", "size")).alias("_icon"), F.sort_array(F.collect_set("name")).alias("_names"))

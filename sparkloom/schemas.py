@@ -14,6 +14,8 @@ DECLARATIONS = (
     "nativeTags array<string>, astSignature array<string>, elementCount int, usages int, kitComponentsUsed array<string>, cssProperties array<string>")
 LINT_MESSAGES = "file string, line int, column int, ord int, rule string, message string"
 LIMITATIONS = "file string, line int, reason string, detail string"
+FINDING_ROW = (
+    "rule string, subkind string, category string, severity string, confidence double, file string, line int, column int, ord int, actual string, expected string, impactKey string")
 FINDING = ("rule", "subkind", "category", "severity", "confidence", "file", "line", "column", "ord", "actual", "expected", "impactKey")
 
 #: Severities with their rank and weight; categories in report order.
