@@ -11,7 +11,7 @@ from sparkloom.plans.catalog import query
 from sparkloom.plans.project import report
 from sparkloom.plans.rollups import table
 from sparkloom.plans.rule_queries import filled
-from sparkloom.sources import typed
+from sparkloom.sources import token_paths, typed
 
 #: One script a part; {k} is its key, {size} its size, {old} a mark on every third, {word} its type.
 SCRIPT = """/**
@@ -104,3 +104,45 @@ def rule_prop_invalid_typed(spark, sf):
     rows = table(spark, sf, "part").selectExpr("'e' || CAST(p_partkey % 30 AS STRING) AS file", "CAST(p_partkey AS INT) AS line", "'Box' || CAST(p_partkey AS STRING) AS kitComponent", f"map('tone', {value}, 'free', 'any') AS props")
     legal = typed.legal_values(typed.props_types(files), typed.variant_sets(files))
     return report(rules.prop_invalid(rules.Tables(elements=filled(rows, schemas.ELEMENTS), variants=legal)))
+
+
+#: One style file a part: members, a namespace, templates and spreads, of which every fourth hangs on a local name.
+STYLE_FILE = """import { style as s, recipe } from '@vanilla-extract/css'
+import { tokens as t } from '@kit/theme'
+import * as all from '@kit/{word}'
+export const box{k} = style({
+  color: t.sys.c{k},
+  padding: `${t.space.s} ${t.space.m}`,
+  ':hover': { fill: all.colors['{word}'], ...{root}.type.b{size} },
+  stroke: t.list[{size}],
+})
+"""
+SPREAD_ROOT = "CASE WHEN p_partkey % 4 = 0 THEN 'local' ELSE 't' END"
+
+
+def style_files(spark: SparkSession, sf: str) -> DataFrame:
+    text = F.lit(STYLE_FILE)
+    for name, value in {"k": "CAST(p_partkey AS STRING)", "size": "CAST(p_size AS STRING)", "word": "p_type", "root": SPREAD_ROOT}.items():
+        text = F.replace(text, F.lit("{" + name + "}"), F.expr(value))
+    return table(spark, sf, "part").select(F.format_string("s%d.ts", "p_partkey").alias("file"), text.cast("binary").alias("content"))
+
+
+@query("token_references", """
+WITH p AS (SELECT p_partkey AS k, p_type AS t, p_size AS s FROM part)
+SELECT 's' || k || '.ts' AS file, 5::INT AS line, 'box' || k AS owner, NULL::VARCHAR AS selector, 'color' AS property, false AS spread, '@kit/theme' AS module, 'tokens' AS exported, 'sys.c' || k AS path FROM p
+UNION ALL SELECT 's' || k || '.ts', 6, 'box' || k, NULL, 'padding', false, '@kit/theme', 'tokens', 'space.s' FROM p UNION ALL SELECT 's' || k || '.ts', 7, 'box' || k, ':hover', 'fill', false, '@kit/' || t, 'colors', t FROM p
+UNION ALL SELECT 's' || k || '.ts', 7, 'box' || k, ':hover', '...', true, '@kit/theme', 'tokens', 'type.b' || s FROM p WHERE k % 4 <> 0""")
+def token_references(spark, sf):
+    references, _ = token_paths.token_references(style_files(spark, sf))
+    return references.select("file", "line", "owner", "selector", "property", "spread", "module", F.col("exportName").alias("exported"), F.array_join("path", ".").alias("path"))
+
+
+@query("unexpandable_spreads", """
+WITH p AS (SELECT p_partkey AS k, p_size AS s FROM part)
+SELECT 's' || k || '.ts' AS file, 7::INT AS line, '...t.type.b' || s || ' - spread that the dictionary cannot expand' AS detail FROM p WHERE k % 4 <> 0 AND s > 20
+UNION ALL SELECT 's' || k || '.ts', 7, '...local.type.b' || s || ' - spread is no path of an import' FROM p WHERE k % 4 = 0 UNION ALL SELECT 's' || k || '.ts', 8, 'stroke: t.list[' || s || '] - computed member in a token reference' FROM p""")
+def unexpandable_spreads(spark, sf):
+    """What the style files leave unread, and spreads that a dictionary of the smaller sizes cannot expand."""
+    references, unread = token_paths.token_references(style_files(spark, sf))
+    known = table(spark, sf, "part").where("p_size <= 20").select(F.lit("@kit/theme").alias("module"), F.lit("tokens").alias("exportName"), F.array(F.lit("type"), F.format_string("b%d", "p_size")).alias("path"))
+    return token_paths.unexpandable_spreads(references, known).unionByName(unread).select("file", "line", "detail")
