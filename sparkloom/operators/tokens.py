@@ -112,8 +112,10 @@ def resolved(values: DataFrame) -> DataFrame:
     there = rows.select("kit", "mode", F.col("tier").alias("to_tier"), F.col("at").alias("to_at"))
     # keys that hold a dot can give two paths one text, which no reference can tell apart: the smaller value counts
     live = edges.join(there.distinct(), [edges[c].eqNullSafe(there[c]) for c in target], "left_semi")
-    open_ = cut(live)
-    waiting = open_.groupBy(*key).agg(F.count("*").alias("_n"))
+    live = cut(live)
+    waiting = live.groupBy(*key).agg(F.count("*").alias("need"))
+    # every edge knows how many its token has, so that a round needs no count of its own
+    open_ = cut(live.join(waiting, [live[c].eqNullSafe(waiting[c]) for c in key]).select(live["*"], "need"))
     state = rows.select(*key, "path", F.col("value").alias("now"))
     done = cut(state.join(waiting, [state[c].eqNullSafe(waiting[c]) for c in key], "left_anti"))
     pending = cut(state.join(waiting, [state[c].eqNullSafe(waiting[c]) for c in key], "left_semi"))
@@ -121,10 +123,8 @@ def resolved(values: DataFrame) -> DataFrame:
     known = done
     while True:
         texts = known.groupBy("kit", "mode", "tier", "at").agg(F.min("now").alias("text")).select("kit", "mode", F.col("tier").alias("to_tier"), F.col("at").alias("to_at"), "text")
-        met = open_.join(texts, [open_[c].eqNullSafe(texts[c]) for c in target]).select(*(open_[c] for c in [*key, "raw"]), F.coalesce("text", F.lit("null")).alias("text"))
-        have = met.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("raw", "text"))).alias("swaps"))
-        need = open_.groupBy(*key).agg(F.count("*").alias("need"))
-        ready = have.join(need, [have[c].eqNullSafe(need[c]) for c in key]).where(F.size("swaps") == F.col("need")).select(*(have[c] for c in key), "swaps")
+        met = open_.join(texts, [open_[c].eqNullSafe(texts[c]) for c in target]).select(*(open_[c] for c in [*key, "raw", "need"]), F.coalesce("text", F.lit("null")).alias("text"))
+        ready = met.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("raw", "text"))).alias("swaps"), F.max("need").alias("need")).where(F.size("swaps") == F.col("need"))
         swapped = F.aggregate(F.map_entries("swaps"), F.col("now"), lambda s, e: F.replace(s, e["key"], e["value"]))
         step = cut(pending.join(ready, [pending[c].eqNullSafe(ready[c]) for c in key]).select(*(pending[c] for c in [*key, "path"]), swapped.alias("now")))
         if step.isEmpty():
