@@ -10,6 +10,7 @@ from sparkloom.operators import components, limits
 from sparkloom.operators.classes import selector_targets
 from sparkloom.operators.similarity import clusters
 from sparkloom.plans.rules import Tables, finding, limits_of, rule, value_literals
+from sparkloom.scratch import sorted_join, spread
 
 # Fixed values of the rules.
 FEWEST_LENGTHS, RARE, RARE_SHARE = 12, 2, 0.05
@@ -140,7 +141,7 @@ def local_components(t: Tables) -> DataFrame:
     own = t.declarations.where((F.col("kind") == "component") & F.col("name").rlike("^[A-Z]") & (F.col("elementCount") > 0)).drop("usages", "files")
     rest = [c for c in own.columns if c != "name"]
     first = own.groupBy("name").agg(F.min_by(F.struct(*rest), F.struct("ord", "file", "line")).alias("d")).select("name", "d.*")
-    return first.join(used, "name", "left").withColumn("usages", F.coalesce("usages", F.lit(0))).withColumn("files", F.coalesce("files", F.lit(0))).withColumn("sketch", text.minhash(F.col("astSignature")))
+    return spread(first, "name").join(sorted_join(used), "name", "left").withColumn("usages", F.coalesce("usages", F.lit(0))).withColumn("files", F.coalesce("files", F.lit(0))).withColumn("sketch", text.minhash(F.col("astSignature")))
 
 
 @rule("component.duplicate", "component", "declarations", "elements")
@@ -149,7 +150,7 @@ def component_duplicate(t: Tables) -> DataFrame:
     own = local_components(t)
     found = clusters(own.select("name", "sketch"), "name", COPIED)
     order = F.struct(-F.col("usages"), -F.col("files"), F.col("name"))
-    best = found.join(own, "name").groupBy("anchor", "members").agg(F.min_by(F.struct("name", "file", "line", "column", "ord"), order).alias("b")).select("members", "b.*")
+    best = found.join(sorted_join(own.drop("sketch")), "name").groupBy("anchor", "members").agg(F.min_by(F.struct("name", "file", "line", "column", "ord"), order).alias("b")).select("members", "b.*")
     return finding(best, "component.duplicate", "component", "candidate", 0.9, F.col("name"), F.col("name"), None, F.col("members").cast("string"))
 
 
