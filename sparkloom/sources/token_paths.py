@@ -12,6 +12,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.scratch import cut, sorted_join
 from sparkloom.sources.scripts import Script, _each, _names, closing
 from sparkloom.sources.typed import LITERAL
 
@@ -144,21 +145,21 @@ def token_references(files: DataFrame, factories: DataFrame | None = None) -> tu
     name). Of a template's references the first that can be read counts. What hangs on an import but has a computed
     member, and a spread that is no path of an import, is a limitation; other expressions are the file's own business.
     """
-    known = bindings(files)
+    known = cut(bindings(files))  # read by the choice of files and by the look-up
     by_package = known.where(F.col("module").startswith(SCOPE)).select("file")
     if factories is not None:
         by_package = by_package.unionByName(known.join(factories.select("module", F.col("name").alias("exportName")), ["module", "exportName"]).select("file"))
     taking = files.where(F.col("file").rlike(FILES)).select("file").unionByName(by_package).distinct()
     first = known.groupBy("file", F.col("local").alias("root")).agg(F.min(F.struct("ord", "module", "exportName")).alias("b"))
-    rows = _each(files.join(taking, "file", "left_semi"), EXPRESSIONS, expressions)
-    parts = rows.select("file", "ord", F.posexplode("parts").alias("nth", "p")).select("file", "ord", "nth", "p.*").join(first, ["file", "root"])
+    rows = cut(_each(files.join(sorted_join(taking), "file", "left_semi"), EXPRESSIONS, expressions))  # read by four joins
+    parts = rows.select("file", "ord", F.posexplode("parts").alias("nth", "p")).select("file", "ord", "nth", "p.*").join(sorted_join(first), ["file", "root"])
     star = F.col("b.exportName") == "*"
     parts = parts.where(~star | (F.size("path") > 0) | F.col("computed"))
     target = F.struct(
         "nth", F.col("b.module").alias("module"), F.when(star, F.get("path", F.lit(0))).otherwise(F.col("b.exportName")).alias("exportName"),
         F.when(star, F.slice("path", F.lit(2), F.greatest(F.size("path") - 1, F.lit(0)))).otherwise(F.col("path")).alias("path"))
     met = parts.groupBy("file", "ord").agg(F.min(F.when(~F.col("computed"), target)).alias("t"), F.bool_or("computed").alias("computed"))
-    both = rows.join(met, ["file", "ord"], "left")
+    both = rows.join(sorted_join(met), ["file", "ord"], "left")
     place = ["file", "line", "column", "ord", "factory", "owner", "selector", "property", "text", "spread"]
     references = both.where("t is not null").select(*place, "t.module", "t.exportName", "t.path")
     detail = F.when(F.col("computed"), "computed member in a token reference").when(F.col("spread") & F.col("t").isNull(), "spread is no path of an import")
@@ -170,5 +171,5 @@ def token_references(files: DataFrame, factories: DataFrame | None = None) -> tu
 def unexpandable_spreads(references: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Limitations for spread references (module, exportName, path) that the dictionary's paths do not hold."""
     known = dictionary.select("module", "exportName", F.array_join("path", ".").alias("_path")).distinct()
-    rows = references.where("spread").withColumn("_path", F.array_join("path", ".")).join(known, ["module", "exportName", "_path"], "left_anti")
+    rows = references.where("spread").withColumn("_path", F.array_join("path", ".")).join(sorted_join(known), ["module", "exportName", "_path"], "left_anti")
     return rows.select("file", "line", F.lit("unsupported-syntax").alias("reason"), F.concat(F.lit(SPREAD), "text", F.lit(" - spread that the dictionary cannot expand")).alias("detail"))

@@ -11,10 +11,10 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["rule_duplicate"])
+@pytest.mark.parametrize("name", ["rule_duplicate", "unexpandable_spreads"])
 def test_growing_sides_are_not_broadcast(spark, name):
     assert "Broadcast" not in plan(catalog.queries()[name](spark, SF))
 
 
 def test_scripts_are_dealt_over_tasks(spark):
-    from sparkloom.plans import typed
+    from sparkloo
