@@ -17,7 +17,7 @@ from sparkloom.operators.aggs import global_number
 from sparkloom.operators.joins import asof_backward
 from sparkloom.operators.nearest import pairs_within
 from sparkloom.schemas import FINDING, FINDING_ROW
-from sparkloom.scratch import cut
+from sparkloom.scratch import cut, sorted_join
 
 
 @dataclass
@@ -330,7 +330,7 @@ def api_deprecated(t: Tables) -> DataFrame:
 def prop_invalid(t: Tables) -> DataFrame:
     """Literal values outside a prop's legal set, with the nearest legal value."""
     used = t.elements.where("kitComponent is not null").select("file", "line", "column", "ord", F.col("kitComponent").alias("component"), F.explode("props").alias("prop", "_v")).where("_v is not null")
-    bad = used.join(t.variants, ["component", "prop"]).where(~F.array_contains("legal", F.col("_v")))
+    bad = used.join(sorted_join(t.variants), ["component", "prop"]).where(~F.array_contains("legal", F.col("_v")))
     most = F.greatest(F.lit(1), F.floor(F.length("_v") / 2))
     near = F.array_min(F.filter(F.transform("legal", lambda x: F.struct(F.levenshtein(F.col("_v"), x).alias("d"), x.alias("x"))), lambda s: s["d"] <= most))
     return finding(bad, "prop.invalid", "api", "error", 1.0, F.col("_v"), F.concat(F.col("component"), F.lit("."), F.col("prop"), F.lit("="), F.col("_v")), None, near["x"])

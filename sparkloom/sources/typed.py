@@ -12,6 +12,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.scratch import cut, sorted_join
 from sparkloom.sources.scripts import CLOSING, Script, _each, closing
 
 AT = "file string, line int, column int, ord int, "
@@ -222,9 +223,9 @@ def legal_values(props: DataFrame, sets: DataFrame) -> DataFrame:
     parts = rows.select("file", "ord", "component", F.col("m.name").alias("prop"), F.explode(F.split("m.type", r"\|")).alias("part"))
     parts = parts.select("file", "ord", "component", "prop", kind.alias("kind"), name.alias("set"), F.when(kind == "literal", F.substring(part, 2, F.length(part) - 2)).alias("text"))
     known = sets.select("file", F.col("name").alias("set"), F.struct("kind", "keys", F.map_values("values").alias("values")).alias("found"))
-    own = known.groupBy("file", "set").agg(F.first("found").alias("own"))
-    any_ = known.groupBy("set").agg(F.min_by("found", "file").alias("any"))
-    met = parts.join(own, ["file", "set"], "left").join(any_, "set", "left").withColumn("s", F.coalesce("own", "any"))
+    own = cut(known.groupBy("file", "set").agg(F.first("found").alias("own")))  # scripts are scanned once for both look-ups
+    any_ = own.groupBy("set").agg(F.min_by("own", "file").alias("any"))
+    met = parts.join(sorted_join(own), ["file", "set"], "left").join(sorted_join(any_), "set", "left").withColumn("s", F.coalesce("own", "any"))
     values = (
         F.when(F.col("kind") == "literal", F.array("text")).when(F.col("kind") == "none", F.array().cast("array<string>"))
         .when((F.col("kind") == "union") & (F.col("s.kind") == "literalUnion"), F.col("s.keys")).when((F.col("kind") == "keys") & (F.col("s.kind") == "constObject"), F.col("s.keys"))

@@ -11,10 +11,9 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["rule_duplicate", "unexpandable_spreads"])
+@pytest.mark.parametrize("name", ["rule_duplicate", "unexpandable_spreads", "rule_prop_invalid_typed", "legal_values"])
 def test_growing_sides_are_not_broadcast(spark, name):
     assert "Broadcast" not in plan(catalog.queries()[name](spark, SF))
 
 
-def test_scripts_are_dealt_over_tasks(spark):
-    from sparkloo
+def test_scripts_are
