@@ -11,6 +11,7 @@ from sparkloom.plans.catalog import query
 from sparkloom.plans.project import report
 from sparkloom.plans.rollups import table
 from sparkloom.plans.rule_queries import filled
+from sparkloom.scratch import spread
 from sparkloom.sources import token_paths, typed
 
 #: One script a part; {k} is its key, {size} its size, {old} a mark on every third, {word} its type.
@@ -48,7 +49,7 @@ def scripts(spark: SparkSession, sf: str) -> DataFrame:
     text = F.lit(SCRIPT)
     for name, value in {"k": "CAST(p_partkey AS STRING)", "next": "CAST(p_partkey + 1 AS STRING)", "size": "CAST(p_size AS STRING)", "old": MARK, "word": "p_type"}.items():
         text = F.replace(text, F.lit("{" + name + "}"), F.expr(value))
-    return table(spark, sf, "part").select(F.format_string("c%d.ts", "p_partkey").alias("file"), text.cast("binary").alias("content"))
+    return spread(table(spark, sf, "part"), "p_partkey").select(F.format_string("c%d.ts", "p_partkey").alias("file"), text.cast("binary").alias("content"))
 
 
 @query("variant_sets", """
@@ -124,7 +125,7 @@ def style_files(spark: SparkSession, sf: str) -> DataFrame:
     text = F.lit(STYLE_FILE)
     for name, value in {"k": "CAST(p_partkey AS STRING)", "size": "CAST(p_size AS STRING)", "word": "p_type", "root": SPREAD_ROOT}.items():
         text = F.replace(text, F.lit("{" + name + "}"), F.expr(value))
-    return table(spark, sf, "part").select(F.format_string("s%d.ts", "p_partkey").alias("file"), text.cast("binary").alias("content"))
+    return spread(table(spark, sf, "part"), "p_partkey").select(F.format_string("s%d.ts", "p_partkey").alias("file"), text.cast("binary").alias("content"))
 
 
 @query("token_references", """

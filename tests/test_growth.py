@@ -11,9 +11,12 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["rule_duplicate", "unexpandable_spreads", "rule_prop_invalid_typed", "legal_values"])
+@pytest.mark.parametrize("name", ["rule_duplicate", "unexpandable_spreads", "rule_prop_invalid_typed", "token_references", "legal_values"])
 def test_growing_sides_are_not_broadcast(spark, name):
     assert "Broadcast" not in plan(catalog.queries()[name](spark, SF))
 
 
-def test_scripts_are
+def test_scripts_are_dealt_over_tasks(spark):
+    from sparkloom.plans import typed
+
+    assert typed.scripts(spark, SF).rdd.getNumPartitions() == typed.style_files(spark, SF).rdd.getNumPartitions() == 8
