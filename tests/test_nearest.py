@@ -38,3 +38,14 @@ def test_points_against_all_pairs(spark):
         if all_.min() < 0.05 * 2**6:
             want[i] = (int(all_.argmin()), float(all_.min()))
     assert {k: v[1] for k, v in found.items()} == {k: v[1] for k, v in want.items()} and found == want and set(found) == set(range(62))
+
+
+def test_pairs_of_a_dense_palette(spark):
+    """A row meets the candidates near it, however many the widest ring holds."""
+    rng = np.random.default_rng(3)
+    t = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(rng.random((20_000, 3)))], "t int, a double, b double, c double")
+    other = [F.col(c) for c in "abc"]
+    halvings = nearest._halvings(t, other, 0.1)
+    r = t.select(F.col("t").alias("k"), *(F.col(c).alias(d) for c, d in zip("abc", "xyz", strict=True)))
+    pairs = nearest.pairs_within(r, t, [F.col(c) for c in "xyz"], other, 0.1 / 2**halvings)
+    assert halvings > 0 and pairs.count() < 150 * 20_000
