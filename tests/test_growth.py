@@ -20,3 +20,21 @@ def test_scripts_are_dealt_over_tasks(spark):
     from sparkloom.plans import typed
 
     assert typed.scripts(spark, SF).rdd.getNumPartitions() == typed.style_files(spark, SF).rdd.getNumPartitions() == 8
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_scores_of_components(spark, tmp_path, seed):
+    """Few and many near entries, ids that fall and rise with the balance, equal balances, nulls; no pair of all rows."""
+    import random
+
+    from tests.compare import same
+
+    rng = random.Random(seed)
+    own = [(k, rng.choice([None, 0, 1, 2, 3]), rng.choice([None, 1000.0, 2000.0, 999.99, -0.01, 50_000.0, *(round(rng.uniform(-1000, 4000), 2) for _ in range(20))])) for k in range(400)]
+    kits = [(k, rng.choice([None, 0, 1, 1, 1, 2]), rng.choice([None, 2000.0, 0.0, float(k * 17), 4000.0 - k * 11, round(rng.uniform(-1000, 4000), 2)]), "s") for k in range(rng.choice([9, 300]))]
+    kits += [(1000, 3, 49_500.0, "s"), (1001, 4, 51_000.0, "s")]
+    spark.createDataFrame(own, "c_custkey long, c_nationkey int, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame(kits, "s_suppkey long, s_nationkey int, s_acctbal double, s_name string").write.parquet(f"{tmp_path}/supplier.parquet")
+    found = catalog.queries()["component_score"](spark, str(tmp_path))
+    assert "NestedLoop" not in plan(found)
+    same(found, catalog.oracle_sql()["component_score"], str(tmp_path))
