@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import line_dedup, mixing, packing, quality, similar
+from sparkloom.llm import line_dedup, mixing, packing, quality, simhash, similar
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +29,9 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: five-word shingles with a Jaccard similarity of 0.8 or more."""
-    return similar.drop_near_duplicates(docs)
+    """One document of each group of near-duplicates stays: SimHash fingerprints of five-word shingles that differ in at most
+    three bits; then, as fingerprints see no more than near equality, a Jaccard similarity of 0.8 or more."""
+    return similar.drop_near_duplicates(simhash.drop_near_duplicates(docs))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -42,3 +42,13 @@ def test_empty_table(spark):
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
         docs = stage(spark, docs, "")
     assert docs.count() == 0
+
+
+def test_near_dedup_links_by_fingerprints(spark):
+    """A passage repeated over and over outweighs the rest: fingerprints agree, sets of shingles do not."""
+    rnd = random.Random(5)
+    again = "one passage that is said over again " * 60
+    rows = [(i, again + prose(rnd, 1)) for i in range(4)] + [(10 + i, prose(rnd, 8)) for i in range(4)]
+    docs = spark.createDataFrame([(i, x, "en", "s", len(x), "r", 1) for i, x in rows], SCHEMA)
+    out = corpus_pipeline.simhash_near_dedup(spark, docs, "")
+    assert out.columns == docs.columns and sorted(r.doc_id for r in out.collect()) == [0, 10, 11, 12, 13]
