@@ -22,6 +22,10 @@ def test_scripts_are_dealt_over_tasks(spark):
     assert typed.scripts(spark, SF).rdd.getNumPartitions() == typed.style_files(spark, SF).rdd.getNumPartitions() == 8
 
 
+def test_colours_are_dealt_over_tasks(spark):
+    assert "REPARTITION_BY_NUM" in plan(catalog.queries()["nearest_color"](spark, SF))
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_scores_of_components(spark, tmp_path, seed):
     """Few and many near entries, ids that fall and rise with the balance, equal balances, nulls; no pair of all rows."""
