@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.scratch import cut, drop_cut
+from sparkloom.scratch import cut, drop_cut, sorted_join
 
 
 def _downhill(edges: DataFrame) -> DataFrame:
@@ -48,14 +48,15 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
 def closure(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, origin, depth): what each seed (node, origin) reaches over edges (a, b), at its least depth.
 
-    Semi-naive: each round joins only what the last round added, until it adds nothing.
+    Semi-naive: each round joins only what the last round added, until it adds nothing; nothing is broadcast. ``edges`` are
+    read each round: a frame that is work to make is cut before.
     """
     known = fresh = cut(seeds.select("node", "origin", F.lit(0).alias("depth")).distinct())
     depth = 0
     while True:
         depth += 1
-        step = fresh.join(edges, fresh["node"] == edges["a"]).select(F.col("b").alias("node"), "origin").distinct()
-        fresh = cut(step.join(known.select("node", "origin"), ["node", "origin"], "left_anti").withColumn("depth", F.lit(depth)))
+        step = sorted_join(fresh).join(edges, fresh["node"] == edges["a"]).select(F.col("b").alias("node"), "origin").distinct()
+        fresh = cut(step.join(sorted_join(known.select("node", "origin")), ["node", "origin"], "left_anti").withColumn("depth", F.lit(depth)))
         if fresh.isEmpty():
             break
         known = cut(known.unionByName(fresh))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions.text import package_name
 from sparkloom.operators.graph import closure
+from sparkloom.scratch import cut, sorted_join
 from sparkloom.sources.configs import resolve_modules
 
 
@@ -27,10 +28,10 @@ def kit_closure(imports: DataFrame, re_exports: DataFrame, files: DataFrame, kit
     if upstream_scope is not None:
         wrapped = packages.where(F.col("source").startswith(upstream_scope + "/")).join(known, "source", "left_anti")
         seeds = seeds.unionByName(wrapped.select("source", F.lit("wrapped-upstream").alias("kind")))
-    links = re_exports.join(targets, ["file", "specifier"])
-    edges = links.select(F.col("target").alias("a"), F.col("file").alias("b")).distinct()
+    links = cut(re_exports.join(sorted_join(targets), ["file", "specifier"]))
+    edges = cut(links.select(F.col("target").alias("a"), F.col("file").alias("b")).distinct())
     reached = closure(seeds.where("kind = 'package'").select(F.col("source").alias("node"), F.lit("kit").alias("origin")), edges).select(F.col("node").alias("target")).distinct()
-    given = links.join(reached, "target").select("file", "target", "star", F.transform(F.filter("names", lambda n: ~n["typeOnly"]), lambda n: n["exported"]).alias("exported"))
+    given = links.join(sorted_join(reached), "target").select("file", "target", "star", F.transform(F.filter("names", lambda n: ~n["typeOnly"]), lambda n: n["exported"]).alias("exported"))
     barrels = given.groupBy("file").agg(
         F.bool_or("star").alias("star"), F.sort_array(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("star"), F.array().cast("array<string>")).otherwise(F.col("exported")))))).alias("names"),
         F.sort_array(F.collect_set("target")).alias("via"))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text
+from sparkloom.scratch import sorted_join
 
 #: What a specifier may lack, in the order it is tried, and what marks a project's root.
 CANDIDATES = ["", ".ts", ".tsx", ".js", ".jsx", ".mts", ".cts", ".mjs", ".cjs", "/index.ts", "/index.tsx", "/index.js", "/index.jsx"]
@@ -77,8 +78,10 @@ def resolve_modules(used: DataFrame, files: DataFrame, patterns: dict[str, str])
         hit = s.startswith(head) if star else s == pattern
         path = path.when(hit, F.concat(F.lit(target.partition("*")[0]), F.expr(f"substring(specifier, {len(head) + 1})")) if star else F.lit(target))
     rows = used.select("file", "specifier", path.alias("_path")).distinct()
-    tried = rows.where("_path is not null").select("file", "specifier", F.posexplode(F.transform(F.array(*map(F.lit, CANDIDATES)), lambda c: F.concat("_path", c))).alias("_at", "_to"))
-    found = tried.join(files.select(F.col("file").alias("_to")).distinct(), "_to").groupBy("file", "specifier").agg(F.min(F.struct("_at", "_to"))["_to"].alias("_target"))
-    joined = rows.join(found, ["file", "specifier"], "left")
+    # a file stands under the two or three stems that some candidate leads to it from, instead of every path under all candidates
+    stems = F.array_compact(F.array(*(
+        F.when(F.col("file").endswith(c), F.struct(F.expr(f"substring(file, 1, length(file) - {len(c)})").alias("stem"), F.lit(at).alias("at"))) for at, c in enumerate(CANDIDATES))))
+    known = files.select("file", F.explode(stems).alias("e")).groupBy(F.col("e.stem").alias("_path")).agg(F.min(F.struct("e.at", "file"))["file"].alias("_target"))
+    joined = rows.join(sorted_join(known), "_path", "left")
     package = ~s.startswith(".") & F.col("_path").isNull()
     return joined.select("file", "specifier", F.when(F.col("_target").isNotNull(), "file").when(package, "package").otherwise("unresolved").alias("kind"), F.coalesce("_target", F.when(package, text.package_name(s))).alias("target"))

@@ -54,3 +54,25 @@ def test_more_findings_than_four_digits(spark, tmp_path):
     found = catalog.queries()["rule_findings"](spark, str(tmp_path))
     assert found.count() > 9999
     same(found, catalog.oracle_sql()["rule_findings"], str(tmp_path))
+
+
+def test_links_are_resolved_once_for_all_rounds(spark, monkeypatch):
+    from sparkloom.operators import kit
+
+    seen, closure = [], kit.closure
+    monkeypatch.setattr(kit, "closure", lambda seeds, edges: seen.append(plan(edges)) or closure(seeds, edges))
+    catalog.queries()["kit_closure"](spark, SF)
+    assert "Scan parquet" in seen[0] and "Join" not in seen[0] and "Generate" not in seen[0]
+
+
+def test_modules_meet_their_files_under_every_candidate(spark):
+    from sparkloom.sources import configs
+
+    names = ["a", "a.ts", "a/index.ts", "a.ts/index.js", "index.ts", "b.tsx", "b.js", "b/index.jsx", "c.ts.ts", "c/index.ts.ts", "d/index.cjs", ".ts", "e.mjs", None]
+    asked = [f"./{x}" for x in ("a", "a.ts", "a/index", "b", "b.js", "b/index", "c", "c.ts", "c/index.ts", "d", "d/index", "e", "e.m", "index", ".")]
+    files, used = spark.createDataFrame([(n,) for n in [*names, "b.js"]], "file string"), spark.createDataFrame([("x.ts", s) for s in asked], "file string, specifier string")
+    got = configs.resolve_modules(used, files, {})
+    assert "posexplode" not in plan(got)
+    want = {s: next((s[2:] + c for c in configs.CANDIDATES if s != "./." and s[2:] + c in names), None) for s in asked}
+    want["./."] = next((c for c in configs.CANDIDATES if c in names), None)
+    assert {r.specifier: r.target for r in got.collect()} == want and len(set(want.values())) > 9
