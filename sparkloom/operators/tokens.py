@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import color, text
 from sparkloom.operators.aggs import top_k_per_key
-from sparkloom.scratch import cut
+from sparkloom.scratch import cut, sorted_join
 
 MODES = ["light", "dark"]
+#: Levels of trees that are opened before what is left is written down.
+LEVELS = 4
 #: The names by which values refer to a tier, and the tiers that are published as variables of stylesheets.
 TIERS = {"edsRef": "ref", "edsSys": "sys"}
 PUBLISHED = ["ref", "sys"]
@@ -47,7 +49,7 @@ SAMPLES = 10
 
 
 def leaves(trees: DataFrame) -> DataFrame:
-    """(kit, tier, mode, file, path, value, type) of every leaf of the JSON trees, level by level, to any depth.
+    """(kit, tier, mode, file, path, value, type) of every leaf of the JSON trees, to any depth, ``LEVELS`` levels a pass.
 
     Items of lists have their place as a path segment; an empty object or list has no leaf; a null is a leaf of type
     ``null``. A tree that is null or no JSON gives no rows, and so does a bare value without a path. Of equal keys in
@@ -56,15 +58,18 @@ def leaves(trees: DataFrame) -> DataFrame:
     open_ = trees.select("kit", "tier", "mode", "file", F.array().cast("array<string>").alias("path"), F.try_parse_json("tree").alias("v")).where("v is not null")
     levels = []
     while True:
-        inner = trees.sparkSession.sql(
-            "SELECT n.kit, n.tier, n.mode, n.file, array_append(n.path, coalesce(e.key, CAST(e.pos AS STRING))) AS path, e.value AS v, schema_of_variant(e.value) AS shape "
-            "FROM {nodes} n, LATERAL variant_explode(n.v) e", nodes=open_)
-        level = cut(inner.withColumn("v", F.to_json("v")))
+        for _ in range(LEVELS):
+            # what is a leaf already, or empty, stays as it is
+            open_ = trees.sparkSession.sql(
+                "SELECT n.kit, n.tier, n.mode, n.file, IF(e.pos IS NULL, n.path, array_append(n.path, coalesce(e.key, CAST(e.pos AS STRING)))) AS path, IF(e.pos IS NULL, n.v, e.value) AS v "
+                "FROM {nodes} n, LATERAL variant_explode_outer(n.v) e", nodes=open_)
+        text_ = F.to_json("v")
+        level = cut(open_.select("kit", "tier", "mode", "file", "path", text_.alias("v"), F.schema_of_variant("v").alias("shape")).where("size(path) > 0 AND v NOT IN ('{}', '[]')"))
         nested = F.col("shape").startswith("OBJECT") | F.col("shape").startswith("ARRAY")
         levels.append(level.where(~nested))
-        open_ = level.where(nested).select("kit", "tier", "mode", "file", "path", F.parse_json("v").alias("v"))
         if level.where(nested).isEmpty():
             break
+        open_ = level.where(nested).select("kit", "tier", "mode", "file", "path", F.parse_json("v").alias("v"))
     rows = reduce(DataFrame.unionByName, levels)
     kind = F.when(F.col("shape") == "STRING", "string").when(F.col("shape") == "BOOLEAN", "boolean").when(F.col("shape") == "VOID", "null").otherwise("number")
     value = F.when(kind == "string", F.get_json_object(F.concat(F.lit("["), F.col("v"), F.lit("]")), "$[0]")).when(kind != "null", F.col("v"))
@@ -72,13 +77,12 @@ def leaves(trees: DataFrame) -> DataFrame:
 
 
 def authored(rows: DataFrame) -> DataFrame:
-    """(kit, tier, path, mode, value, type), one row a path and mode: a leaf without a mode is both, the later file (null
-    first) wins, then the greater value; a path that one mode lacks has the other's value there."""
-    each = rows.withColumn("mode", F.explode(F.when(F.col("mode").isNull(), F.array(*map(F.lit, MODES))).otherwise(F.array("mode"))))
-    pick = lambda m: F.max(F.when(F.col("mode") == m, F.struct("file", "value", "type")))
-    both = each.groupBy("kit", "tier", "path").agg(pick("light").alias("l"), pick("dark").alias("d"))
-    found = F.create_map(F.lit("light"), F.coalesce("l", "d"), F.lit("dark"), F.coalesce("d", "l"))
-    return both.select("kit", "tier", "path", F.explode(found).alias("mode", "b")).where("b is not null").select("kit", "tier", "path", "mode", "b.value", "b.type")
+    """(kit, tier, path, value, type), one row a path, value and type by mode: a leaf without a mode is both, the later file
+    (null first) wins, then the greater value; a path that one mode lacks has the other's value there."""
+    pick = lambda m: F.max(F.when(F.col("mode").isNull() | (F.col("mode") == m), F.struct("file", "value", "type")))
+    both = rows.groupBy("kit", "tier", "path").agg(pick("light").alias("l"), pick("dark").alias("d")).where("l is not null or d is not null")
+    of = {"light": F.coalesce("l", "d"), "dark": F.coalesce("d", "l")}
+    return both.select("kit", "tier", "path", *(F.struct(*(of[m][c].alias(m) for m in MODES)).alias(c) for c in ("value", "type")))
 
 
 def references(value: Column) -> Column:
@@ -99,42 +103,57 @@ def references(value: Column) -> Column:
 
 
 def resolved(values: DataFrame) -> DataFrame:
-    """The rows of :func:`authored` with ``refs`` and ``resolved``: references replaced by what they resolve to.
+    """The rows of :func:`authored` with ``refs`` and ``resolved`` by mode: references replaced by what they resolve to.
 
     A reference is replaced once its target holds none that could still be replaced, so every round replaces one more
     tier of a chain and the rounds are as many as the longest chain. References to paths that do not exist, and those
     that come back to themselves, stay as written, and so does what refers to the latter.
+
+    Values without references are met once, by the references to them; rounds move those with references alone, and
+    those that wait for one another meet only what the last round settled.
     """
-    rows = cut(values.withColumn("at", F.array_join("path", ".")).withColumn("refs", references(F.col("value"))))
-    named = F.explode(F.array_distinct(F.transform("refs", lambda r: F.struct(r["raw"].alias("raw"), r["tier"].alias("tier"), r["path"].alias("path"))))).alias("r")
-    edges = rows.where(F.size("refs") > 0).select("kit", "mode", "tier", "at", named).select("kit", "mode", "tier", "at", "r.raw", F.col("r.tier").alias("to_tier"), F.col("r.path").alias("to_at"))
-    key, target = ["kit", "mode", "tier", "at"], ["kit", "mode", "to_tier", "to_at"]
-    there = rows.select("kit", "mode", F.col("tier").alias("to_tier"), F.col("at").alias("to_at"))
+    per = lambda make: F.struct(*(make(m).alias(m) for m in MODES))
+    rows = cut(values.withColumn("at", F.array_join("path", ".")).withColumn("refs", per(lambda m: references(F.col(f"value.{m}")))))
+    many = lambda m: F.size(f"refs.{m}") > 0
+    some = reduce(Column.__or__, map(many, MODES))
+    key = ["kit", "mode", "tier", "at"]
+    own = rows.where(some).select("kit", "tier", "path", "at", F.explode(F.array(*(F.struct(F.lit(m).alias("mode"), F.col(f"value.{m}").alias("value"), F.col(f"refs.{m}").alias("refs")) for m in MODES))).alias("x"))
+    own = own.where("size(x.refs) > 0").select(*(F.col("x.mode") if c == "mode" else c for c in key), "path", "x.value", "x.refs")
+    named = F.explode(F.array_distinct(F.transform("refs", lambda r: F.struct(r["raw"].alias("raw"), r["tier"].alias("to_tier"), r["path"].alias("to_at"))))).alias("r")
+    edges = own.select(*key, named).select(*key, "r.*")
     # keys that hold a dot can give two paths one text, which no reference can tell apart: the smaller value counts
-    live = edges.join(there.distinct(), [edges[c].eqNullSafe(there[c]) for c in target], "left_semi")
-    live = cut(live)
-    waiting = live.groupBy(*key).agg(F.count("*").alias("need"))
-    # every edge knows how many its token has, so that a round needs no count of its own
-    open_ = cut(live.join(waiting, [live[c].eqNullSafe(waiting[c]) for c in key]).select(live["*"], "need"))
-    state = rows.select(*key, "path", F.col("value").alias("now"))
-    done = cut(state.join(waiting, [state[c].eqNullSafe(waiting[c]) for c in key], "left_anti"))
-    pending = cut(state.join(waiting, [state[c].eqNullSafe(waiting[c]) for c in key], "left_semi"))
-    finished = [done]
-    known = done
-    while True:
-        texts = known.groupBy("kit", "mode", "tier", "at").agg(F.min("now").alias("text")).select("kit", "mode", F.col("tier").alias("to_tier"), F.col("at").alias("to_at"), "text")
-        met = open_.join(texts, [open_[c].eqNullSafe(texts[c]) for c in target]).select(*(open_[c] for c in [*key, "raw", "need"]), F.coalesce("text", F.lit("null")).alias("text"))
-        ready = met.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("raw", "text"))).alias("swaps"), F.max("need").alias("need")).where(F.size("swaps") == F.col("need"))
-        swapped = F.aggregate(F.map_entries("swaps"), F.col("now"), lambda s, e: F.replace(s, e["key"], e["value"]))
-        step = cut(pending.join(ready, [pending[c].eqNullSafe(ready[c]) for c in key]).select(*(pending[c] for c in [*key, "path"]), swapped.alias("now")))
-        if step.isEmpty():
+    there = rows.where(F.col("tier").isin(*TIERS.values())).groupBy(F.col("kit").alias("_kit"), F.col("tier").alias("_tier"), F.col("at").alias("_at")).agg(
+        *(F.min(F.when(~many(m), F.col(f"value.{m}"))).alias(f"_{m}") for m in MODES), *(F.bool_or(many(m)).alias(f"_open_{m}") for m in MODES))
+    by_mode = lambda stem: F.when(F.col("mode") == "light", F.col(f"{stem}light")).otherwise(F.col(f"{stem}dark"))
+    live = edges.join(sorted_join(there), F.col("kit").eqNullSafe(F.col("_kit")) & (F.col("to_tier") == F.col("_tier")) & (F.col("to_at") == F.col("_at"))).select(
+        *key, F.struct("raw", "to_tier", "to_at", by_mode("_").alias("text"), by_mode("_open_").alias("open")).alias("link"))
+    links = live.groupBy(*(F.col(c).alias(f"_{c}") for c in key)).agg(F.array_sort(F.collect_set("link")).alias("links"))
+    same = lambda: reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key))
+    state = cut(own.drop("refs").join(sorted_join(links), same(), "left").select(*key, "path", "value", "links"))
+    waits = F.exists("links", lambda l: l["open"])
+    swapped = F.aggregate(F.coalesce("links", F.array()), F.col("value"), lambda v, l: F.replace(v, l["raw"], F.coalesce(l["text"], F.lit("null"))))
+    settled = lambda rows_: rows_.where(F.coalesce(~waits, F.lit(True))).select(*key, "path", swapped.alias("now"))
+    finished, pending = [settled(state)], state.where(waits)
+    while not pending.isEmpty():
+        # one text a key; plain values of the same key are in the links
+        fresh = finished[-1].where(F.col("tier").isin(*TIERS.values())).groupBy(*(F.col(c).alias(f"_{c}") for c in key)).agg(F.min("now").alias("_text"))
+        asked = pending.select(*key, F.explode(F.filter("links", lambda l: l["open"])).alias("l"))
+        met = asked.join(sorted_join(fresh), F.col("kit").eqNullSafe(F.col("_kit")) & (F.col("mode") == F.col("_mode")) & (F.col("l.to_tier") == F.col("_tier")) & (F.col("l.to_at") == F.col("_at"))).select(
+            *key, "l.raw", F.least("l.text", "_text").alias("text"))
+        given = met.groupBy(*(F.col(c).alias(f"_{c}") for c in key)).agg(F.map_from_entries(F.collect_set(F.struct("raw", "text"))).alias("_given"))
+        filled = F.transform("links", lambda l: F.when(l["open"] & F.coalesce(F.map_contains_key("_given", l["raw"]), F.lit(False)), F.struct(
+            l["raw"].alias("raw"), l["to_tier"].alias("to_tier"), l["to_at"].alias("to_at"), F.col("_given")[l["raw"]].alias("text"), F.lit(False).alias("open"))).otherwise(l))
+        state = cut(pending.join(sorted_join(given), same(), "left").select(*key, "path", "value", filled.alias("links")))
+        done = settled(state)
+        if done.isEmpty():
             break
-        finished.append(step)
-        known = known.unionByName(step)
-        pending = cut(pending.join(step, [pending[c].eqNullSafe(step[c]) for c in key], "left_anti"))
-    every = reduce(DataFrame.unionByName, [*finished, pending]).withColumnRenamed("now", "resolved")
-    on = [rows[c].eqNullSafe(every[c]) for c in ("kit", "mode", "tier", "path")]
-    return rows.join(every, on).select(*(rows[c] for c in values.columns), rows["refs"], every["resolved"])
+        finished.append(done)
+        pending = state.where(waits)
+    every = reduce(DataFrame.unionByName, finished).groupBy(F.col("kit").alias("_kit"), F.col("tier").alias("_tier"), F.col("path").alias("_path")).agg(
+        *(F.max(F.when(F.col("mode") == m, F.col("now"))).alias(f"_{m}") for m in MODES))
+    on = F.col("kit").eqNullSafe(F.col("_kit")) & F.col("tier").eqNullSafe(F.col("_tier")) & (F.col("path") == F.col("_path"))
+    changed = rows.where(some).join(sorted_join(every), on, "left").select(*values.columns, "refs", per(lambda m: F.coalesce(f"_{m}", f"value.{m}")).alias("resolved"))
+    return rows.where(~some).select(*values.columns, "refs", F.col("value").alias("resolved")).unionByName(changed)
 
 
 def words(name: Column) -> Column:
@@ -145,13 +164,12 @@ def words(name: Column) -> Column:
     return F.filter(F.split(F.lower(spaced), " "), lambda w: w != "")
 
 
-def value_kind(path: Column, authored_: Column, resolved_: Column, type_: Column) -> Column:
-    """Kind of a token by the words of its path, then by the shape of what it resolves to."""
-    parts = F.flatten(F.transform(path, words))
-    by_path = [F.when(F.size(F.array_except(F.array(*map(F.lit, need)), parts)) == 0, kind) for kind, need in PATH_KINDS]
+def value_kind(parts: Column, authored_: Column, resolved_: Column, type_: Column) -> Column:
+    """Kind of a token by the words of its path (``parts``), then by the shape of what it resolves to."""
+    by_path = [F.when(reduce(Column.__and__, (F.array_contains(parts, word) for word in need)), kind) for kind, need in PATH_KINDS]
     v = F.trim(F.coalesce(resolved_, authored_))
     by_value = (
-        F.when((type_ == "null") | (type_ == "boolean") | v.isNull(), "unknown").when(F.size(references(v)) > 0, "unknown").when(type_ == "number", "dimension")
+        F.when((type_ == "null") | (type_ == "boolean") | v.isNull(), "unknown").when(v.rlike(r"\{(" + "|".join(TIERS) + r")\.[^{}]+\}"), "unknown").when(type_ == "number", "dimension")
         .when(F.lower(v).isin(KEYWORDS), "keyword").when(v.rlike(r"^(-?[0-9.]+px\s+){2,}"), "shadow").when(color.canonical_hex(v).isNotNull(), "color")
         .when(F.lower(v).rlike(r"^-?([0-9]+\.?[0-9]*|\.[0-9]+)(px|rem|em|%|vh|vw|ch)?$"), "dimension").when(v.contains(","), "fontFamily").otherwise("unknown"))
     return F.coalesce(*by_path, by_value)
@@ -161,6 +179,11 @@ def category(kind: Column) -> Column:
     return F.when(kind.isin(TYPOGRAPHY), "typography").when(kind.isin("color", "shadow", "dimension"), kind).otherwise("other")
 
 
+def let(value: Column, body) -> Column:
+    """``body(x)`` with x bound to ``value``, which is evaluated once a row even where it is used many times."""
+    return F.transform(F.array(value), body)[0]
+
+
 def camel(items: Column) -> Column:
     """One camel-case name of a list of words; null if there are none."""
     name = F.array_join(F.transform(items, lambda w, i: F.when(i == 0, w).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), w.substr(F.lit(2), F.length(w))))), "")
@@ -170,16 +193,19 @@ def camel(items: Column) -> Column:
 def facets(key: Column) -> Column:
     """(slot, category, modifiers, state, size, view) of a component's key: words before the first category word, that
     word, the words after it, and the run of states at the end."""
-    all_ = words(key)
-    at = F.array_position(F.transform(all_, lambda w: w.isin(CATEGORY_WORDS)), True).cast("int")
-    tail = F.when(at > 0, F.slice(all_, at + 1, F.greatest(F.size(all_) - at, F.lit(0)))).otherwise(all_)
-    last = F.coalesce(F.array_max(F.transform(tail, lambda w, i: F.when(~w.isin(STATE_WORDS), i + 1).otherwise(0))), F.lit(0)).cast("int")
-    modifiers = F.slice(tail, F.lit(1), last)
-    states = F.slice(tail, last + 1, F.greatest(F.size(tail) - last, F.lit(0)))
-    first = lambda known: F.get(F.filter(modifiers, lambda w: w.isin(known)), F.lit(0))
-    return F.struct(
-        F.when(at > 1, camel(F.slice(all_, F.lit(1), at - 1))).alias("slot"), F.when(at > 0, F.get(all_, at - 1)).alias("category"), modifiers.alias("modifiers"),
-        camel(states).alias("state"), first(SIZE_WORDS).alias("size"), first(VIEW_WORDS).alias("view"))
+    first = lambda items, known: F.get(F.filter(items, lambda w: w.isin(known)), F.lit(0))
+
+    def parts(all_: Column, at: Column, tail: Column, last: Column, modifiers: Column) -> Column:
+        states = F.slice(tail, last + 1, F.greatest(F.size(tail) - last, F.lit(0)))
+        return F.struct(
+            F.when(at > 1, camel(F.slice(all_, F.lit(1), at - 1))).alias("slot"), F.when(at > 0, F.get(all_, at - 1)).alias("category"), modifiers.alias("modifiers"),
+            camel(states).alias("state"), first(modifiers, SIZE_WORDS).alias("size"), first(modifiers, VIEW_WORDS).alias("view"))
+
+    place = lambda all_: F.array_position(F.transform(all_, lambda w: w.isin(CATEGORY_WORDS)), True).cast("int")
+    after = lambda all_, at: F.when(at > 0, F.slice(all_, at + 1, F.greatest(F.size(all_) - at, F.lit(0)))).otherwise(all_)
+    end = lambda tail: F.coalesce(F.array_max(F.transform(tail, lambda w, i: F.when(~w.isin(STATE_WORDS), i + 1).otherwise(0))), F.lit(0)).cast("int")
+    return let(words(key), lambda all_: let(place(all_), lambda at: let(after(all_, at), lambda tail: let(end(tail), lambda last: let(
+        F.slice(tail, F.lit(1), last), lambda modifiers: parts(all_, at, tail, last, modifiers))))))
 
 
 def shade_of(value: Column) -> Column:
@@ -202,11 +228,9 @@ def extract_tokens(trees: DataFrame, prefix: str) -> DataFrame:
     The kind is that of the light mode. A value that reads NaN or Infinity once resolved is an anomaly. Trees of the
     same tier in several files are one tree; an empty table gives no tokens.
     """
-    per_mode = resolved(authored(leaves(trees)))
-    pick = lambda m, c: F.max(F.when(F.col("mode") == m, F.struct(F.col(c).alias("x"))))["x"]
-    both = lambda c: F.struct(*(pick(m, c).alias(m) for m in MODES)).alias(c)
-    rows = cut(per_mode.groupBy("kit", "tier", "path").agg(both("value"), both("resolved"), both("refs"), both("type")))
-    kind = value_kind(F.col("path"), F.col("value.light"), F.col("resolved.light"), F.col("type.light"))
+    # words, kinds and shades are columns of their own, each made once a row
+    rows = cut(resolved(authored(leaves(trees)))).withColumn("_words", F.flatten(F.transform("path", words)))
+    kind = value_kind(F.col("_words"), F.col("value.light"), F.col("resolved.light"), F.col("type.light"))
     rows = rows.withColumn("kind", kind).withColumn("category", category(F.col("kind")))
     per = lambda make: F.struct(*(make(m).alias(m) for m in MODES))
     odd = F.exists(F.array(*(F.col(f"resolved.{m}") for m in MODES)), lambda v: F.coalesce(v.rlike("^-?(NaN|Infinity)$"), F.lit(False)))

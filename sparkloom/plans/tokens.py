@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sparkloom.operators import tokens
 from sparkloom.plans.catalog import query
 from sparkloom.plans.rollups import table
+from sparkloom.scratch import spread
 
 KIT, COLOUR = "concat('k', p_partkey % 20)", "lpad(lower(hex(p_partkey * 7919 % 16777216)), 6, '0')"
 #: One tree a part, tier and mode: (tier, mode, condition, value under its path).
@@ -33,12 +34,9 @@ tok AS (
 
 
 def trees(spark: SparkSession, sf: str) -> DataFrame:
-    parts = table(spark, sf, "part")
-    rows = None
-    for tier, mode, test, tree in TREES:
-        one = parts.where(test).selectExpr(f"{KIT} AS kit", f"'{tier}' AS tier", f"{mode} AS mode", "CAST(p_partkey AS STRING) AS file", f"{tree} AS tree")
-        rows = one if rows is None else rows.unionByName(one)
-    return rows
+    parts = spread(table(spark, sf, "part").select("p_partkey", "p_type", "p_size"), "p_partkey")
+    made = F.array_compact(F.array(*(F.expr(f"CASE WHEN {test} THEN named_struct('tier', '{tier}', 'mode', {mode}, 'tree', {tree}) END") for tier, mode, test, tree in TREES)))
+    return parts.select(F.expr(KIT).alias("kit"), F.col("p_partkey").cast("string").alias("file"), F.explode(made).alias("t")).select("kit", "t.tier", "t.mode", "file", "t.tree")
 
 
 def extracted(spark: SparkSession, sf: str) -> DataFrame:

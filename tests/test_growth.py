@@ -76,3 +76,14 @@ def test_modules_meet_their_files_under_every_candidate(spark):
     want = {s: next((s[2:] + c for c in configs.CANDIDATES if s != "./." and s[2:] + c in names), None) for s in asked}
     want["./."] = next((c for c in configs.CANDIDATES if c in names), None)
     assert {r.specifier: r.target for r in got.collect()} == want and len(set(want.values())) > 9
+
+
+@pytest.mark.parametrize("name", ["tokens_extracted", "token_counts", "token_scales", "token_lookup", "token_diagnostics"])
+def test_trees_are_opened_in_one_pass_and_dealt(spark, monkeypatch, name):
+    """One table a step instead of one a level, tier and mode; values without references are never moved again."""
+    from sparkloom.operators import tokens
+
+    made, cut = [], tokens.cut
+    monkeypatch.setattr(tokens, "cut", lambda df: made.append(plan(df)) or cut(df))
+    catalog.queries()[name](spark, SF)
+    assert len(made) <= 7 and made[0].count("Scan parquet") == 1 and "REPARTITION_BY_NUM" in made[0] and not any("Broadcast" in p for p in made[:6])

@@ -70,3 +70,21 @@ def test_findings_and_scales(found):
 def test_no_trees(spark):
     none = tokens.extract_tokens(spark.createDataFrame([], SHAPE), "sds")
     assert none.count() == 0 and tokens.token_diagnostics(none).count() == 0 and tokens.token_counts(none).count() == 0
+
+
+def test_chains_and_paths_that_share_a_text(spark):
+    """Six tiers of references against plain code; two paths of one text, of which the smaller value counts."""
+    ref = {"a.b": "2px", "a": {"b": "1px"}, "deep": {"l1": {"l2": {"l3": {"l4": {"l5": [{"x": True}, {}, []]}}}}}}
+    sys_ = {f"s{n}": f"{{edsSys.s{n - 1}}} {n} {{edsRef.a.b}}" for n in range(1, 6)} | {"s0": "{edsRef.a.b}", "x.y": "{edsSys.s5}", "x": {"y": "9px"}, "z": "{edsSys.x.y}"}
+    rows = [("k", "ref", None, "a", json.dumps(ref)), ("k", "sys", "light", "b", json.dumps(sys_)), ("k", "sys", "dark", "c", '{"s2": "0px"}'), ("k", "sys", "print", "c", '{"only": "1px"}')]
+    got = {(r.id, tuple(r.path)): (r.resolved.light, r.resolved.dark) for r in tokens.extract_tokens(spark.createDataFrame(rows, SHAPE), "sds").collect()}
+    light = ["1px"]
+    for n in range(1, 6):
+        light.append(f"{light[-1]} {n} 1px")
+    dark = light[:2] + ["0px"]
+    for n in range(3, 6):
+        dark.append(f"{dark[-1]} {n} 1px")
+    assert {i: v for (i, _), v in got.items() if i.startswith("sys.s")} == {f"sys.s{n}": (light[n], dark[n]) for n in range(6)}
+    assert got["sys.x.y", ("x.y",)] == (light[5], dark[5]) and got["sys.x.y", ("x", "y")] == ("9px", "9px")
+    assert got["sys.z", ("z",)] == (min(light[5], "9px"), min(dark[5], "9px")) and got["ref.deep.l1.l2.l3.l4.l5.0.x", ("deep", "l1", "l2", "l3", "l4", "l5", "0", "x")] == ("true", "true")
+    assert len(got) == 12
