@@ -333,9 +333,12 @@ def near_duplicates(rows: DataFrame) -> DataFrame:
     return names.join(joined, names["name"] == joined["node"], "left").select("_row", F.coalesce("component", "name").alias("root"))
 
 
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each component: the smallest doc_id, null last."""
+def drop_near_duplicates(docs: DataFrame, last_use: bool = False) -> DataFrame:
+    """``docs`` with one row of each component: the smallest doc_id, null last. With ``last_use`` the scratch files behind
+    ``docs`` are deleted as soon as its rows are written anew: nothing else may read that frame."""
     rows = numbered(docs)
+    if last_use:
+        drop_cut(docs)
     found = near_duplicates(rows.select("_row", "_doc.text")).join(rows.select("_row", "_doc.doc_id"), "_row")
     kept = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))["_row"].alias("_row"))
     return rows.join(kept, "_row", "left_semi").select("_doc.*")

@@ -52,3 +52,18 @@ def test_near_dedup_links_by_fingerprints(spark):
     docs = spark.createDataFrame([(i, x, "en", "s", len(x), "r", 1) for i, x in rows], SCHEMA)
     out = corpus_pipeline.simhash_near_dedup(spark, docs, "")
     assert out.columns == docs.columns and sorted(r.doc_id for r in out.collect()) == [0, 10, 11, 12, 13]
+
+
+def test_near_dedup_keeps_one_copy_of_the_texts(spark):
+    """Texts written for the fingerprints are deleted once those that stay are written."""
+    import os
+
+    from sparkloom.scratch import scratch_dir
+
+    rnd, folder = random.Random(6), scratch_dir(spark)
+    rows = [(i, prose(rnd, 4), "en", "s", 1, "r", 1) for i in range(20)]
+    docs = spark.createDataFrame([*rows, (50, *rows[3][1:])], SCHEMA)
+    before = set(os.listdir(folder))
+    out = corpus_pipeline.simhash_near_dedup(spark, docs, "")
+    made = [f for f in set(os.listdir(folder)) - before if "_doc" in spark.read.parquet(f"{folder}/{f}").columns]
+    assert len(made) == 1 and sorted(r.doc_id for r in out.collect()) == list(range(20))
