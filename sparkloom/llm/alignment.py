@@ -43,6 +43,8 @@ ROWS, CHUNKS = 65_536, 2_000_000
 SHORT = 5_000
 #: Transitions that a worker remembers.
 REMEMBERED = 2_000_000
+#: Chunks that a worker remembers besides those of its block (twice as many at most), and the characters of the longest.
+RECENT, LONGEST = 200_000, 64
 
 _CUT = re.compile(r"(?<=\S)(?=[ \n])")
 _PLAIN = re.compile(r"[ \n]+[^ \n]*")
@@ -98,12 +100,10 @@ class Pieces:
         #: whether no piece reaches over a cut between chunks
         self.cuts = not any(re.search("[^\\s▁][▁ \n]", p) for p in pieces)
 
-    def ids(self, text: str) -> list[int]:
-        """Ids of a chunk, which begins with a space or line feed."""
-        if text[0] == " ":
-            return self.model.encode(text[1:]) if len(text) > 1 else [self.space]
-        found = self.model.encode(text)
-        return found[1:] if found[:1] == [self.space] else []
+    def ids(self, texts: list[str]) -> list[list[int]]:
+        """Ids of chunks, each of which begins with a space or line feed."""
+        found = self.model.encode([t[1:] if t[0] == " " else t for t in texts], num_threads=1)
+        return [(ids if len(t) > 1 else [self.space]) if t[0] == " " else ids[1:] if ids[:1] == [self.space] else [] for t, ids in zip(texts, found, strict=True)]
 
 
 class Transducer:
@@ -111,19 +111,25 @@ class Transducer:
 
     def __init__(self, a_bytes: dict[int, bytes], b_bytes: dict[int, bytes]):
         self.bytes = (a_bytes, b_bytes)
+        self.forget()
+
+    def forget(self) -> None:
         self.states: dict[tuple[int, int, bytes], int] = {}
-        self.known: list[tuple[int, int, bytes]] = []
-        self.memo: dict[tuple[int, int], int] = {}
+        #: side, leader, residual and next states by token of each state
+        self.known: list[tuple[int, int, bytes, dict[int, int]]] = []
+        #: states after a first token of side A
+        self.first: dict[int, int] = {}
+        self.steps = 0
 
     def state(self, side: int, token: int, residual: bytes) -> int:
         found = self.states.setdefault((side, token, residual), len(self.known))
         if found == len(self.known):
-            self.known.append((side, token, residual))
+            self.known.append((side, token, residual, {}))
         return found
 
     def step(self, state: int, token: int) -> int:
         """State after the side behind adds ``token``: -1 the suffix is empty, -2 the bytes differ."""
-        side, leader, residual = self.known[state]
+        side, leader, residual, _ = self.known[state]
         added = self.bytes[1 - side][token]
         if added == residual:
             return -1
@@ -133,59 +139,73 @@ class Transducer:
 
     def align(self, a: list[int], b: list[int]) -> tuple[list[tuple[int, int, int, int]], list[tuple[int, int]]] | None:
         """Groups (a from, a to, b from, b to) and links (a id, b id); None if the bytes differ."""
-        if len(self.memo) > REMEMBERED:
-            self.memo.clear()
-            self.states.clear()
-            self.known.clear()
-        groups, links, memo, known = [], [], self.memo, self.known
+        if self.steps > REMEMBERED:
+            self.forget()
+        groups, links, known, first = [], [], self.known, self.first
         i = j = 0
-        while i < len(a):
-            first_a, first_b = i, j
-            state = self.state(0, a[i], self.bytes[0][a[i]])
+        n_a, n_b = len(a), len(b)
+        while i < n_a:
+            first_a, first_b, token = i, j, a[i]
+            state = first.get(token, -3)
+            if state == -3:
+                state = first[token] = self.state(0, token, self.bytes[0][token])
             i += 1
             while state >= 0:
-                side, leader, _ = known[state]
+                side, leader, _, after = known[state]
                 if side:
-                    if i == len(a):
+                    if i == n_a:
                         return None
                     token = a[i]
                     i += 1
                     links.append((token, leader))
                 else:
-                    if j == len(b):
+                    if j == n_b:
                         return None
                     token = b[j]
                     j += 1
                     links.append((leader, token))
-                key = (state, token)
-                state = memo.get(key, -3)
+                before, state = state, after.get(token, -3)
                 if state == -3:
-                    state = memo[key] = self.step(key[0], token)
+                    state = after[token] = self.step(before, token)
+                    self.steps += 1
             if state == -2:
                 return None
             groups.append((first_a, i, first_b, j))
-        return (groups, links) if j == len(b) else None
+        return (groups, links) if j == n_b else None
 
 
 class Aligner:
-    """Both vocabularies and the transducer between them."""
+    """Both vocabularies, the transducer between them, and the chunks it went through lately, whatever block they were in."""
 
     def __init__(self, path_a: str, path_b: str):
         self.a, self.b = ByteLevel(path_a), Pieces(path_b)
         self.transducer = Transducer(self.a.bytes, self.b.bytes)
-
-    def aligned(self, text: str) -> tuple[int, int, int, str, list[int]] | None:
-        """n_a, n_b, n_groups, groups as a string, pair codes of a text that begins with a space or line feed; None if bytes differ."""
-        a, b = self.a.ids(text), self.b.ids(text)
-        raw = text.encode()
-        if b"".join(map(self.a.bytes.__getitem__, a)) != raw or b"".join(map(self.b.bytes.__getitem__, b)) != raw:
-            return None
-        found = self.transducer.align(a, b)
-        if found is None:
-            return None
-        groups, links = found
-        written = ";".join(f"{','.join(map(str, a[p:q]))}|{','.join(map(str, b[r:s]))}" for p, q, r, s in groups)
-        return len(a), len(b), len(groups), written, [x * self.b.size + y for x, y in links]
+        self.lately: dict[str, tuple[int, int, int, str, array]] = {}
+        self.before: dict[str, tuple[int, int, int, str, array]] = {}
+
+    def aligned(self, texts: list[str]) -> list[tuple[int, int, int, str, array]]:
+        """n_a, n_b, n_groups, groups as a string, pair codes of texts that begin with a space or line feed; n_a is -1 if bytes differ."""
+        lately, before = self.lately, self.before
+        new = [t for t in texts if t not in lately and t not in before]
+        found = dict(zip(new, self._run(new), strict=True)) if new else {}
+        out = [lately.get(t) or before.get(t) or found[t] for t in texts]
+        lately.update((t, x) for t, x in zip(texts, out, strict=True) if len(t) <= LONGEST)
+        if len(lately) > RECENT:
+            self.lately, self.before = {}, lately
+        return out
+
+    def _run(self, texts: list[str]) -> Iterator[tuple[int, int, int, str, array]]:
+        size, a_bytes, align = self.b.size, self.a.bytes.__getitem__, self.transducer.align
+        for text, b in zip(texts, self.b.ids(texts), strict=True):
+            a = self.a.ids(text)
+            # the transducer holds the bytes of B against those of A
+            found = align(a, b) if b"".join(map(a_bytes, a)) == text.encode() else None
+            if found is None:
+                yield -1, 0, 0, "", array("q")
+                continue
+            groups, links = found
+            written = ";".join([f"{a[p]}|{b[r]}" if q - p == 1 == s - r else f"{','.join(map(str, a[p:q]))}|{','.join(map(str, b[r:s]))}" for p, q, r, s in groups])
+            yield len(a), len(b), len(groups), written, array("q", [x * size + y for x, y in links])
 
     def chunks(self, text: str) -> list[str]:
         """Where both sides cut alike, the pieces of a text that begins with a space."""
@@ -201,31 +221,36 @@ class _Block:
         self.aligner = aligner
         self.number: dict[str, int] = {}
         self.sizes = [array("q"), array("q"), array("q")]  # n_a, n_b, n_groups of each chunk; -1: bytes differ
+        self.odd: set[int] = set()
         self.written: list[str] = []
         self.codes, self.ends = array("q"), array("q", [0])
         self.docs: list[np.ndarray] = []
         self.hashes: list[str] = []
         self.total = 0
 
-    def chunk(self, text: str) -> int:
-        found = self.number.get(text)
-        if found is None:
-            found = self.number[text] = len(self.written)
-            n_a, n_b, n_groups, written, codes = self.aligner.aligned(text) or (-1, 0, 0, "", [])
-            for column, value in zip(self.sizes, (n_a, n_b, n_groups), strict=True):
-                column.append(value)
-            self.written.append(written)
-            self.codes.extend(codes)
-            self.ends.append(len(self.codes))
-        return found
+    def read(self, texts: list[str]) -> list[int]:
+        """Numbers of chunks; those the block has not met are aligned together."""
+        number = self.number
+        new = [t for t in dict.fromkeys(texts) if t not in number]
+        if new:
+            for text, (n_a, n_b, n_groups, written, codes) in zip(new, self.aligner.aligned(new), strict=True):
+                if n_a < 0:
+                    self.odd.add(len(self.written))
+                number[text] = len(self.written)
+                for column, value in zip(self.sizes, (n_a, n_b, n_groups), strict=True):
+                    column.append(value)
+                self.written.append(written)
+                self.codes.extend(codes)
+                self.ends.append(len(self.codes))
+        return [number[t] for t in texts]
 
     def add(self, text: str | None) -> None:
         own = []
         if text:
-            own = [self.chunk(c) for c in self.aligner.chunks(" " + text)]
-            if any(self.sizes[0][c] < 0 for c in set(own)):
-                whole = self.chunk(" " + text)
-                own = [whole] if self.sizes[0][whole] >= 0 else []
+            own = self.read(self.aligner.chunks(" " + text))
+            if not self.odd.isdisjoint(own):
+                whole = self.read([" " + text])
+                own = [] if whole[0] in self.odd else whole
         self.hashes.append(hashlib.sha256(";".join([self.written[c] for c in own]).encode()).hexdigest() if own else "")
         self.docs.append(np.array(own, np.uint32))
         self.total += len(own)
@@ -259,9 +284,15 @@ class _Block:
 NAMES = ["block", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "bytes", "z", "links", "chunks", "pairs", "counts"]
 
 
+@cache
+def _aligner(path_a: str, path_b: str) -> Aligner:
+    """One for all tasks of a worker process."""
+    return Aligner(path_a, path_b)
+
+
 def _blocks(path_a: str, path_b: str, most_rows: int, most_chunks: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner, block, ids, number = Aligner(path_a, path_b), None, [], TaskContext.get().partitionId() << 33
+        aligner, block, ids, number = _aligner(path_a, path_b), None, [], TaskContext.get().partitionId() << 33
         for batch in batches:
             first = 0
             for i, text in enumerate(batch.column(1)):

@@ -73,3 +73,18 @@ def test_transducer_tracks_the_side_that_leads():
     assert t.align([0, 1], [2]) == ([(0, 2, 0, 1)], [(0, 2), (1, 2)])
     assert t.align([2], [0]) is None and t.align([0], [0]) is None and t.align([0, 1], [2, 0]) is None
     assert t.align([], []) == ([], [])
+
+
+def test_chunks_are_aligned_once_for_all_blocks():
+    """A second block takes over what a first one aligned; chunks met long ago are aligned anew, alike."""
+    aligner = alignment.Aligner(*alignment.default_paths())
+    ran, run = [], aligner._run
+    aligner._run = lambda texts: ran.append(texts) or run(texts)
+    blocks = [alignment._Block(aligner) for _ in range(2)]
+    for block in blocks:
+        block.add("one two three two")
+    assert ran == [[" one", " two", " three"]] and blocks[0].hashes == blocks[1].hashes and blocks[0].codes == blocks[1].codes
+    aligner.lately, aligner.before = {}, {}
+    again = alignment._Block(aligner)
+    again.add("one two three two")
+    assert len(ran) == 2 and again.hashes == blocks[0].hashes and again.written == blocks[0].written
