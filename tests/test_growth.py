@@ -87,3 +87,12 @@ def test_trees_are_opened_in_one_pass_and_dealt(spark, monkeypatch, name):
     monkeypatch.setattr(tokens, "cut", lambda df: made.append(plan(df)) or cut(df))
     catalog.queries()[name](spark, SF)
     assert len(made) <= 7 and made[0].count("Scan parquet") == 1 and "REPARTITION_BY_NUM" in made[0] and not any("Broadcast" in p for p in made[:6])
+
+
+def test_variables_of_stylesheets_are_not_broadcast(spark, monkeypatch):
+    from sparkloom.sources import scss
+
+    made, cut = [], scss.cut
+    monkeypatch.setattr(scss, "cut", lambda df: made.append(plan(df)) or cut(df))
+    found = plan(catalog.queries()["scss_variables"](spark, SF))
+    assert "Broadcast" not in found and not any("Broadcast" in p for p in made[3:])
