@@ -29,9 +29,10 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: SimHash fingerprints of five-word shingles that differ in at most
-    three bits; then, as fingerprints see no more than near equality, a Jaccard similarity of 0.8 or more."""
-    return similar.drop_near_duplicates(simhash.drop_near_duplicates(docs), last_use=True)
+    """One document of each group of near-duplicates stays. Links: SimHash fingerprints of five-word shingles that differ in at
+    most three bits and, as fingerprints see no more than near equality, a Jaccard similarity of 0.8 or more; groups are
+    reached over links of both kinds, so that a document dropped for one kind still links its others."""
+    return similar.drop_near_duplicates(docs, also=simhash.roots)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -227,13 +227,16 @@ def near_duplicates(docs: DataFrame, words: int = 3, keep: tuple[str, ...] = ("d
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
-    """``docs`` with one row of each component: the smallest doc_id, null last. ``drop_cut`` deletes the texts behind it."""
+    """``docs`` with one row of each component: the smallest doc_id, null last."""
     rows = numbered(docs)
     found = near_duplicates(rows.select("_doc.doc_id", "_doc.text", "_row"), words, ("doc_id", "_row"))
     kept = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))["_row"].alias("_row"))
-    out = rows.join(kept, "_row", "left_semi").select("_doc.*")
-    out._scratch_path = rows._scratch_path
-    return out
+    return rows.join(kept, "_row", "left_semi").select("_doc.*")
+
+
+def roots(rows: DataFrame, words: int = 5) -> DataFrame:
+    """_row and root, one for each component, from (_row, doc_id, text)."""
+    return near_duplicates(rows, words, ("doc_id", "_row")).select("_row", "root")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

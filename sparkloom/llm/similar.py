@@ -19,7 +19,7 @@ last; repeated rows are rows of their own; an empty table gives an empty result;
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -325,20 +325,28 @@ def near_duplicates(rows: DataFrame) -> DataFrame:
     """_row and root, one for each component, from (_row, text)."""
     marked = cut(rows.select("_row", "text").mapInArrow(_sketches, "_row long, name long, size long, bands array<long>"))
     distinct = cut(marked.join(marked.groupBy("name").agg(F.min("_row").alias("_row")), ["name", "_row"], "left_semi"))
+    names = cut(marked.select("_row", "name"))
+    drop_cut(marked)
     made: list[DataFrame] = []
     joined = components(links(distinct, rows, made=made), "u", "v")  # read here, so its tables can go
-    names = cut(marked.select("_row", "name"))
-    for table_ in [marked, distinct, *made]:
+    for table_ in [distinct, *made]:
         drop_cut(table_)
     return names.join(joined, names["name"] == joined["node"], "left").select("_row", F.coalesce("component", "name").alias("root"))
 
 
-def drop_near_duplicates(docs: DataFrame, last_use: bool = False) -> DataFrame:
-    """``docs`` with one row of each component: the smallest doc_id, null last. With ``last_use`` the scratch files behind
-    ``docs`` are deleted as soon as its rows are written anew: nothing else may read that frame."""
+def _united(a: DataFrame, b: DataFrame) -> DataFrame:
+    """_row and root of the components that the links of both frames (_row, root) make together."""
+    least = lambda x, c: x.join(x.groupBy("root").agg(F.min("_row").alias(c)), "root").select("_row", c)
+    both = cut(least(a, "u").join(least(b, "v"), "_row"))
+    joined = components(both.where("u <> v").select("u", "v").distinct(), "u", "v")
+    return both.join(joined, both["u"] == joined["node"], "left").select("_row", F.coalesce("component", "u").alias("root"))
+
+
+def drop_near_duplicates(docs: DataFrame, also: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """``docs`` with one row of each component: the smallest doc_id, null last. ``also`` gives another operator's components,
+    (_row, root) from (_row, doc_id, text): the links of both count together, and whole rows are written and moved once."""
     rows = numbered(docs)
-    if last_use:
-        drop_cut(docs)
-    found = near_duplicates(rows.select("_row", "_doc.text")).join(rows.select("_row", "_doc.doc_id"), "_row")
-    kept = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))["_row"].alias("_row"))
+    texts = rows.select("_row", "_doc.doc_id", "_doc.text")
+    found = near_duplicates(texts) if also is None else _united(also(texts), near_duplicates(texts))
+    kept = found.join(texts.drop("text"), "_row").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))["_row"].alias("_row"))
     return rows.join(kept, "_row", "left_semi").select("_doc.*")

@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 import corpus_pipeline
 from sparkloom.llm import packing
 
@@ -67,3 +69,44 @@ def test_near_dedup_keeps_one_copy_of_the_texts(spark):
     out = corpus_pipeline.simhash_near_dedup(spark, docs, "")
     made = [f for f in set(os.listdir(folder)) - before if "_doc" in spark.read.parquet(f"{folder}/{f}").columns]
     assert len(made) == 1 and sorted(r.doc_id for r in out.collect()) == list(range(20))
+
+
+def test_near_dedup_moves_whole_rows_once(spark):
+    """Texts are written down and joined with what stays once for both kinds of near-duplicates."""
+    from sparkloom.llm import similar, simhash
+
+    rnd, written, cut = random.Random(8), [], similar.cut
+    rows = [(i, prose(rnd, 8), "en", "s", 1, "r", 1) for i in range(12)]
+    near = (30, rows[2][1].replace(rows[2][1].split()[9], "changed", 1), *rows[2][2:])
+    docs = spark.createDataFrame([*rows, (20, *rows[1][1:]), near], SCHEMA)
+    with pytest.MonkeyPatch.context() as patch:
+        from sparkloom.llm import common
+
+        for module in (common, similar, simhash):
+            patch.setattr(module, "cut", lambda df: written.append(df.columns) or cut(df))
+        out = corpus_pipeline.simhash_near_dedup(spark, docs, "")
+    assert sum("_doc" in columns for columns in written) == 1
+    assert out.columns == docs.columns and sorted(r.doc_id for r in out.collect()) == list(range(12))
+
+
+def test_near_dedup_links_through_dropped_documents(spark):
+    """Links of both kinds count together: what a fingerprint drops still links its neighbours by similarity."""
+    from sparkloom.llm import simhash
+    from tests.llm.test_near_duplicates import grouped
+    from tests.llm.test_similar import jaccard, words_set
+
+    rnd, texts = random.Random(2), []
+    chain = [f"w{rnd.randrange(10**6)}" for _ in range(110)]
+    for _ in range(40):
+        chain = list(chain)
+        chain[rnd.randrange(110)] = f"x{rnd.randrange(10**6)}"
+        texts.append(" ".join(chain))
+    sets, prints = [words_set(t) for t in texts], [simhash.fingerprint(t.encode(), 5) for t in texts]
+    pairs = [(j, i) for i in range(len(texts)) for j in range(i)]
+    alike = [p for p in pairs if jaccard(sets[p[0]], sets[p[1]]) >= 0.8]
+    close = [p for p in pairs if (prints[p[0]] ^ prints[p[1]]).bit_count() <= 3]
+    want = sorted(set(grouped(len(texts), alike + close)))
+    left = set(grouped(len(texts), close))
+    assert len({g for i, g in enumerate(grouped(len(texts), [p for p in alike if left.issuperset(p)])) if i in left}) > len(want)
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t), "r", 1) for i, t in enumerate(texts)], SCHEMA)
+    assert sorted(r.doc_id for r in corpus_pipeline.simhash_near_dedup(spark, docs, "").collect()) == want
