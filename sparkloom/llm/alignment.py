@@ -44,7 +44,7 @@ SHORT = 5_000
 #: Transitions that a worker remembers.
 REMEMBERED = 2_000_000
 #: Chunks that a worker remembers besides those of its block (twice as many at most), and the characters of the longest.
-RECENT, LONGEST = 200_000, 64
+RECENT, LONGEST = 350_000, 64
 
 _CUT = re.compile(r"(?<=\S)(?=[ \n])")
 _PLAIN = re.compile(r"[ \n]+[^ \n]*")
@@ -139,17 +139,26 @@ class Transducer:
 
     def align(self, a: list[int], b: list[int]) -> tuple[list[tuple[int, int, int, int]], list[tuple[int, int]]] | None:
         """Groups (a from, a to, b from, b to) and links (a id, b id); None if the bytes differ."""
+        found = self.run(a, b)
+        if found is None:
+            return None
+        ends_a, ends_b, _, links_a, links_b = found
+        return list(zip([0, *ends_a], ends_a, [0, *ends_b], ends_b, strict=False)), list(zip(links_a, links_b, strict=True))
+
+    def run(self, a: list[int], b: list[int]) -> tuple[list[int], list[int], list[int], list[int], list[int]] | None:
+        """Where each group ends in A, in B and in the links; the ids of A and of B that are linked. None if the bytes differ."""
         if self.steps > REMEMBERED:
             self.forget()
-        groups, links, known, first = [], [], self.known, self.first
+        known, first = self.known, self.first
+        ends_a, ends_b, ends, links_a, links_b = [], [], [], [], []
         i = j = 0
         n_a, n_b = len(a), len(b)
         while i < n_a:
-            first_a, first_b, token = i, j, a[i]
+            token = a[i]
+            i += 1
             state = first.get(token, -3)
             if state == -3:
                 state = first[token] = self.state(0, token, self.bytes[0][token])
-            i += 1
             while state >= 0:
                 side, leader, _, after = known[state]
                 if side:
@@ -157,21 +166,35 @@ class Transducer:
                         return None
                     token = a[i]
                     i += 1
-                    links.append((token, leader))
+                    links_a.append(token)
+                    links_b.append(leader)
                 else:
                     if j == n_b:
                         return None
                     token = b[j]
                     j += 1
-                    links.append((leader, token))
+                    links_a.append(leader)
+                    links_b.append(token)
                 before, state = state, after.get(token, -3)
                 if state == -3:
                     state = after[token] = self.step(before, token)
                     self.steps += 1
             if state == -2:
                 return None
-            groups.append((first_a, i, first_b, j))
-        return (groups, links) if j == n_b else None
+            ends_a.append(i)
+            ends_b.append(j)
+            ends.append(len(links_a))
+        return (ends_a, ends_b, ends, links_a, links_b) if j == n_b else None
+
+
+def _written(a: list[int], b: list[int], ends_a: list[int], ends_b: list[int]) -> list[str]:
+    """Each group as a string."""
+    return [f"{a[p]}|{b[r]}" if q - p == 1 == s - r else f"{','.join(map(str, a[p:q]))}|{','.join(map(str, b[r:s]))}"
+            for p, q, r, s in zip([0, *ends_a], ends_a, [0, *ends_b], ends_b, strict=False)]
+
+
+def _codes(links_a: list[int], links_b: list[int], size: int) -> np.ndarray:
+    return np.array(links_a, np.int64) * size + np.array(links_b, np.int64)
 
 
 class Aligner:
@@ -180,10 +203,13 @@ class Aligner:
     def __init__(self, path_a: str, path_b: str):
         self.a, self.b = ByteLevel(path_a), Pieces(path_b)
         self.transducer = Transducer(self.a.bytes, self.b.bytes)
-        self.lately: dict[str, tuple[int, int, int, str, array]] = {}
-        self.before: dict[str, tuple[int, int, int, str, array]] = {}
+        self.a_sizes = np.zeros(max(self.a.bytes) + 1, np.int64)
+        for i, raw in self.a.bytes.items():
+            self.a_sizes[i] = len(raw)
+        self.lately: dict[str, tuple[int, int, int, str, bytes]] = {}
+        self.before: dict[str, tuple[int, int, int, str, bytes]] = {}
 
-    def aligned(self, texts: list[str]) -> list[tuple[int, int, int, str, array]]:
+    def aligned(self, texts: list[str]) -> list[tuple[int, int, int, str, bytes]]:
         """n_a, n_b, n_groups, groups as a string, pair codes of texts that begin with a space or line feed; n_a is -1 if bytes differ."""
         lately, before = self.lately, self.before
         new = [t for t in texts if t not in lately and t not in before]
@@ -194,18 +220,50 @@ class Aligner:
             self.lately, self.before = {}, lately
         return out
 
-    def _run(self, texts: list[str]) -> Iterator[tuple[int, int, int, str, array]]:
-        size, a_bytes, align = self.b.size, self.a.bytes.__getitem__, self.transducer.align
-        for text, b in zip(texts, self.b.ids(texts), strict=True):
-            a = self.a.ids(text)
-            # the transducer holds the bytes of B against those of A
-            found = align(a, b) if b"".join(map(a_bytes, a)) == text.encode() else None
-            if found is None:
-                yield -1, 0, 0, "", array("q")
-                continue
-            groups, links = found
-            written = ";".join([f"{a[p]}|{b[r]}" if q - p == 1 == s - r else f"{','.join(map(str, a[p:q]))}|{','.join(map(str, b[r:s]))}" for p, q, r, s in groups])
-            yield len(a), len(b), len(groups), written, array("q", [x * size + y for x, y in links])
+    def _run(self, texts: list[str]) -> list[tuple[int, int, int, str, bytes]]:
+        # a chunk that ends in white space is cut otherwise when another follows
+        plain = [t for t in texts if len(t) <= LONGEST and not t[-1].isspace()] if self.b.cuts and len(texts) > 1 else []
+        joined = self._run_joined(plain) if plain else None
+        if joined is None:
+            return [self._run_one(t, b) for t, b in zip(texts, self.b.ids(texts), strict=True)]
+        if len(plain) == len(texts):
+            return joined
+        done = dict(zip(plain, joined, strict=True))
+        rest = [t for t in texts if t not in done]
+        done.update((t, self._run_one(t, b)) for t, b in zip(rest, self.b.ids(rest), strict=True))
+        return [done[t] for t in texts]
+
+    def _run_one(self, text: str, b: list[int]) -> tuple[int, int, int, str, bytes]:
+        a = self.a.ids(text)
+        # the transducer holds the bytes of B against those of A
+        found = self.transducer.run(a, b) if b"".join(map(self.a.bytes.__getitem__, a)) == text.encode() else None
+        if found is None:
+            return -1, 0, 0, "", b""
+        ends_a, ends_b, _, links_a, links_b = found
+        return len(a), len(b), len(ends_a), ";".join(_written(a, b, ends_a, ends_b)), _codes(links_a, links_b, self.b.size).tobytes()
+
+    def _run_joined(self, texts: list[str]) -> list[tuple[int, int, int, str, bytes]] | None:
+        """The same for chunks that both sides cut alike, end to end in one go; None if a chunk's bytes do not come back."""
+        text = "".join(texts)
+        raw = text.encode()
+        a = self.a.short.encode_ordinary(text)
+        b = self.b.model.encode(text[1:]) if text[0] == " " else self.b.ids([text])[0]
+        if b"".join(map(self.a.bytes.__getitem__, a)) != raw or b"".join(map(self.b.bytes.__getitem__, b)) != raw:
+            return None
+        found = self.transducer.run(a, b)
+        if found is None:
+            return None
+        ends_a, ends_b, ends, links_a, links_b = found
+        bytes_to = np.cumsum(self.a_sizes[a])[np.array(ends_a) - 1]
+        chunk_to = np.cumsum([len(t.encode()) for t in texts] if len(raw) > len(text) else [len(t) for t in texts])
+        last = np.searchsorted(bytes_to, chunk_to)
+        if not np.array_equal(bytes_to[last], chunk_to):
+            return None
+        groups = [0, *(last + 1).tolist()]
+        to_a, to_b, to_link = ([0, *np.array(x)[last].tolist()] for x in (ends_a, ends_b, ends))
+        written, codes = _written(a, b, ends_a, ends_b), _codes(links_a, links_b, self.b.size).tobytes()
+        return [(to_a[k + 1] - to_a[k], to_b[k + 1] - to_b[k], g - f, written[f] if g - f == 1 else ";".join(written[f:g]), codes[8 * to_link[k] : 8 * to_link[k + 1]])
+                for k, (f, g) in enumerate(zip(groups, groups[1:], strict=False))]
 
     def chunks(self, text: str) -> list[str]:
         """Where both sides cut alike, the pieces of a text that begins with a space."""
@@ -223,7 +281,7 @@ class _Block:
         self.sizes = [array("q"), array("q"), array("q")]  # n_a, n_b, n_groups of each chunk; -1: bytes differ
         self.odd: set[int] = set()
         self.written: list[str] = []
-        self.codes, self.ends = array("q"), array("q", [0])
+        self.codes, self.ends = bytearray(), array("q", [0])
         self.docs: list[np.ndarray] = []
         self.hashes: list[str] = []
         self.total = 0
@@ -231,8 +289,9 @@ class _Block:
     def read(self, texts: list[str]) -> list[int]:
         """Numbers of chunks; those the block has not met are aligned together."""
         number = self.number
-        new = [t for t in dict.fromkeys(texts) if t not in number]
-        if new:
+        own = list(map(number.get, texts))
+        if None in own:
+            new = list(dict.fromkeys([t for t, k in zip(texts, own, strict=True) if k is None]))
             for text, (n_a, n_b, n_groups, written, codes) in zip(new, self.aligner.aligned(new), strict=True):
                 if n_a < 0:
                     self.odd.add(len(self.written))
@@ -240,9 +299,10 @@ class _Block:
                 for column, value in zip(self.sizes, (n_a, n_b, n_groups), strict=True):
                     column.append(value)
                 self.written.append(written)
-                self.codes.extend(codes)
-                self.ends.append(len(self.codes))
-        return [number[t] for t in texts]
+                self.codes += codes
+                self.ends.append(len(self.codes) // 8)
+            own = list(map(number.__getitem__, texts))
+        return own
 
     def add(self, text: str | None) -> None:
         own = []
@@ -251,7 +311,7 @@ class _Block:
             if not self.odd.isdisjoint(own):
                 whole = self.read([" " + text])
                 own = [] if whole[0] in self.odd else whole
-        self.hashes.append(hashlib.sha256(";".join([self.written[c] for c in own]).encode()).hexdigest() if own else "")
+        self.hashes.append(hashlib.sha256(";".join(map(self.written.__getitem__, own)).encode()).hexdigest() if own else "")
         self.docs.append(np.array(own, np.uint32))
         self.total += len(own)
 

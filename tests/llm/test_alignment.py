@@ -88,3 +88,14 @@ def test_chunks_are_aligned_once_for_all_blocks():
     again = alignment._Block(aligner)
     again.add("one two three two")
     assert len(ran) == 2 and again.hashes == blocks[0].hashes and again.written == blocks[0].written
+
+
+def test_new_chunks_are_tokenized_end_to_end():
+    """Plain chunks in one call of each tokenizer give what they give one by one; chunks that end in white space are apart."""
+    aligner = alignment.Aligner(*alignment.default_paths())
+    texts = [" the", "\ncat", " Übermaß,", " ###", "  two", " 12ab", " last "]
+    calls, short = [], aligner.a.short.encode_ordinary
+    aligner.a.ids = lambda text: calls.append(text) or short(text)
+    together = list(aligner._run(texts))
+    assert calls == [" last "]
+    assert together == [next(iter(aligner._run([t]))) for t in texts]
